@@ -102,15 +102,18 @@ TOKENS = {
 HTML = r"<!--[\s\S]*?-->"
 
 
+def _comments(language: str) -> str:
+    literals, comments = TOKENS[language]
+    comment = "|".join(comments)
+    rest = r"|(/\*[\s\S]*)" if BLOCK in comments else "|(^$)"
+    return rf"({'|'.join(literals)})|(?m:^)[ \t]*(?:{comment})[ \t]*\r?\n|{comment}{rest}"
+
+
 def _lexical(content: str) -> str:
-    arms = []
-    for language, (literals, comments) in TOKENS.items():
-        comment = "|".join(comments)
-        rest = r"|(/\*[\s\S]*)" if BLOCK in comments else "|(^$)"
-        pattern = rf"({'|'.join(literals)})|(?m:^)[ \t]*(?:{comment})[ \t]*\r?\n|{comment}{rest}"
-        by = r"\1\2"
-        arms.append(f"when {_text(language)} then {_replace(content, pattern, by)}")
-    return _tidy(f"case language {' '.join(arms)} when 'html' then {_replace(content, HTML)} else {content} end")
+    arms = " ".join(
+        f"when {_text(name)} then {_replace(content, _comments(name), chr(92) + '1' + chr(92) + '2')}" for name in TOKENS
+    )
+    return _tidy(f"case language {arms} when 'html' then {_replace(content, HTML)} else {content} end")
 
 
 def _regex(content: str) -> str:
@@ -124,11 +127,14 @@ def _regex(content: str) -> str:
 
 
 def _docstrings(content: str) -> str:
-    operand = rf"[(\[{{,=+%\\]\s*[rRbBuUfF]{{0,2}}(?:{TDQ}|{TSQ})"
+    strings = rf"(?:{TDQ}|{TSQ}|{DQ}|{SQ})"
+    operand = (
+        rf"[(\[{{,]\s*(?:[rRbBuUfF]{{0,2}}{strings}\s*)+|[=+%\\]\s*[rRbBuUfF]{{0,2}}(?:{TDQ}|{TSQ})"
+    )
     alone = rf"(?m:^)[ \t]*[rRbBuU]{{0,2}}(?:{TDQ}|{TSQ})[ \t]*(?:\r?\n|\z)"
-    literals, (comment,) = TOKENS["python"]
-    pattern = rf"({operand})|{alone}|({'|'.join(literals)})|(?m:^)[ \t]*(?:{comment})[ \t]*\r?\n|{comment}"
-    return _tidy(_replace(content, pattern, r"\1\2"))
+    pattern = rf"({operand})|{alone}|({'|'.join(TOKENS['python'][0])})"
+    bare = _replace(content, _comments("python"), r"\1\2")
+    return _tidy(_replace(bare, pattern, r"\1\2"))
 
 
 # Lines and chunks

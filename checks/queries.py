@@ -11,7 +11,7 @@ from checks import fixtures
 from glossmill.config import SKIP_PATTERNS, JobConfig
 from glossmill.functions.comments import strip_comments
 from glossmill.functions.languages import SCOPES, detect_language, extension
-from glossmill.functions.lines import break_points, is_declaration
+from glossmill.functions.lines import is_declaration
 from glossmill.functions.text import (
     decode_utf8,
     js_trim,
@@ -193,8 +193,7 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_break_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = chunking.with_cuts(_planned(spark, sf_dir), CONFIG.min_lines)
-    return lines.select("path", F.explode(break_points(F.col("lines"))).alias("line_index"))
+    return chunking.break_points(_planned(spark, sf_dir))
 
 
 def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,6 @@ of the text), and group loops that recurse (see ``functions.text``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,71 +21,86 @@ STYLESHEETS = ("css", "scss")
 MARKUP = ("html", "htm")
 
 # String literals. TRIPLE_* know escapes; *_OPEN is a literal that never closes.
-DOUBLE = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
-SINGLE = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-BACKTICK = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-TRIPLE_DOUBLE = r'"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
-TRIPLE_SINGLE = r"'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
-TRIPLE_DOUBLE_OPEN = r'"""[\s\S]*+'
-TRIPLE_SINGLE_OPEN = r"'''[\s\S]*+"
-# C++ raw strings, and numbers with quotes between digits.
-RAW_STRING = r'R"(?<mark>[^()\\\s"]{0,16})\([\s\S]*?\)\k<mark>"'
-NUMBER = r"(?<!\w)[0-9](?:'?[\w.])*+"
+DOUBLE = r'"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"'
+SINGLE = r"'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
+BACKTICK = r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
+TRIPLE_DOUBLE = r'"""[^"\\]*+(?:(?:\\(?s:.)|"(?!""))[^"\\]*+)*+"""'
+TRIPLE_SINGLE = r"'''[^'\\]*+(?:(?:\\(?s:.)|'(?!''))[^'\\]*+)*+'''"
+TRIPLE_DOUBLE_OPEN = r'"""(?s:.)*+'
+TRIPLE_SINGLE_OPEN = r"'''(?s:.)*+"
+# C++ raw strings, and the quote between the digits of a number.
+RAW_STRING = r'"(?<=(?<!\w)(?:u8|[uUL])?R")(?<mark>[^()\\\s"]{0,16})\((?s:.)*?\)\k<mark>"'
+DIGIT_QUOTE = r"'(?=\w)(?<=(?<!\w)[0-9][\w.']{0,99}')"
 # A slash after an opening or joining sign starts a regex literal, not a division.
 REGEX = (
-    r"(?:=>|[(,=:\[!&|?;{]|\breturn\b)\s*+/(?![*/])[^/\\\[\n]*+"
+    r"/(?![*/])(?<=(?:=>|[(,=:\[!&|?;{]|(?<!\w)return)\s{0,99}/)[^/\\\[\n]*+"
     r"(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
 )
 # An unquoted address holds slashes that open no comment.
-URL = r"[uU][rR][lL]\([^)\"'\n]*+\)"
+URL = r"(?<=[uU][rR][lL])\([^)\"'\n]*+\)"
 
-BLOCK = r"/\*[\s\S]*?\*/"
+BLOCK = r"/\*(?s:.)*?\*/"
 LINE = r"//[^\n]*+"
 # A backslash at the end of a line carries a C line comment over to the next.
-SPLICED_LINE = r"//[^\\\n]*+(?:\\(?:\r\n|[\s\S])?[^\\\n]*+)*+"
+SPLICED_LINE = r"//[^\\\n]*+(?:\\(?:\r\n|(?s:.))?[^\\\n]*+)*+"
 HASH = r"#[^\n]*+"
 
+# Per language: what a token of interest starts with, the literals, the comments.
 LEXICONS = {
-    "javascript": ((REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
-    "typescript": ((REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
-    "java": ((TRIPLE_DOUBLE, TRIPLE_DOUBLE_OPEN, DOUBLE, SINGLE), (BLOCK, LINE)),
-    "cpp": ((RAW_STRING, NUMBER, DOUBLE, SINGLE), (BLOCK, SPLICED_LINE)),
-    "c": ((NUMBER, DOUBLE, SINGLE), (BLOCK, SPLICED_LINE)),
+    "javascript": ("\"'`/", (REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
+    "typescript": ("\"'`/", (REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
+    "java": ("\"'/", (TRIPLE_DOUBLE, TRIPLE_DOUBLE_OPEN, DOUBLE, SINGLE), (BLOCK, LINE)),
+    "cpp": ("\"'/", (RAW_STRING, DOUBLE, DIGIT_QUOTE, SINGLE), (BLOCK, SPLICED_LINE)),
+    "c": ("\"'/", (DOUBLE, DIGIT_QUOTE, SINGLE), (BLOCK, SPLICED_LINE)),
     "python": (
+        "\"'#",
         (TRIPLE_DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE_OPEN, TRIPLE_SINGLE_OPEN, DOUBLE, SINGLE),
         (HASH,),
     ),
-    "css": ((DOUBLE, SINGLE), (BLOCK,)),
-    "scss": ((URL, DOUBLE, SINGLE), (BLOCK, LINE)),
+    "css": ("\"'/", (DOUBLE, SINGLE), (BLOCK,)),
+    "scss": ("\"'/(", (URL, DOUBLE, SINGLE), (BLOCK, LINE)),
 }
 
-# A triple-quoted string alone on its line or lines is a docstring, unless the
-# code before it is still open: a bracket, a comma, an operator, a continuation.
-DOCSTRING = rf"(?dm:^)[ \t]*+[rRbBuU]{{0,2}}(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE})[ \t]*+(?:\r?\n|\z)"
-OPERAND = rf"[(\[{{,=+%\\]\s*+[rRbBuUfF]{{0,2}}(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE})"
+# A triple-quoted string alone on its line or lines is a docstring, unless it is
+# an operand: of a bracket or a comma, with the strings it is joined to, or of an
+# operator or a continued line.
+_TRIPLE = f"(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE})"
+_STRING = f"(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE}|{DOUBLE}|{SINGLE})"
+DOCSTRING = rf"(?dm:^)[ \t]*+[rRbBuU]{{0,2}}{_TRIPLE}[ \t]*+(?:\r?\n|\z)"
+OPERAND = (
+    rf"[(\[{{,]\s*+(?:[rRbBuUfF]{{0,2}}{_STRING}\s*+)++|[=+%\\]\s*+[rRbBuUfF]{{0,2}}{_TRIPLE}"
+)
+
 
+def _pattern(language: str) -> str:
+    """Literals are kept; a comment alone on its line goes with that line.
 
-def _pattern(literals: Sequence[str], comments: Sequence[str], dropped: Sequence[str] = ()) -> str:
-    """Literals are kept; a comment alone on its line goes with that line."""
+    One look at a character decides whether a token may start there: the first
+    file line apart, that is a quote, a comment sign or the end of a line. A
+    comment alone is taken with the line end before it, not its own indent, as
+    spaces would be tried at every word.
+    """
+    starts, literals, comments = LEXICONS[language]
     comment = "|".join(comments)
-    branches = [
+    tokens = [
         f"(?<kept>{'|'.join(literals)})",
-        *dropped,
-        rf"(?dm:^)[ \t]*+(?:{comment})[ \t]*+\r?\n",
+        rf"\r?\n[ \t]*+(?:{comment})[ \t]*+(?=\r?\n)",
         comment,
     ]
     if BLOCK in comments:
-        branches.append(r"(?<rest>/\*[\s\S]*+)")
-    return "|".join(branches)
+        tokens.append(r"(?<rest>/\*(?s:.)*+)")
+    return rf"\A(?:[ \t]*+(?:{comment})[ \t]*+\r?\n)++|(?=[{starts}\r\n])(?:{'|'.join(tokens)})"
 
 
 def _strip_lexical(text: Column, language: str, docstrings: bool) -> Column:
-    literals, comments = LEXICONS[language]
-    dropped: tuple[str, ...] = ()
-    if language == "python" and docstrings:
-        literals, dropped = (OPERAND,), (DOCSTRING, f"(?<string>{'|'.join(literals)})")
-    kept = "${kept}" + ("${string}" if dropped else "") + ("${rest}" if BLOCK in comments else "")
-    return F.regexp_replace(text, _pattern(literals, comments, dropped), kept)
+    _, literals, comments = LEXICONS[language]
+    stripped = F.regexp_replace(
+        text, _pattern(language), "${kept}" + ("${rest}" if BLOCK in comments else "")
+    )
+    if language != "python" or not docstrings:
+        return stripped
+    strings = f"(?<operand>{OPERAND})|{DOCSTRING}|(?<kept>{'|'.join(literals)})"
+    return F.regexp_replace(stripped, strings, "${operand}${kept}")
 
 
 def _delete(text: Column, opener: str, closer: str) -> Column:
@@ -96,10 +109,10 @@ def _delete(text: Column, opener: str, closer: str) -> Column:
     Where an opener follows the last closer, the text from there on is matched
     once and put back, instead of being searched anew from every such opener.
     """
-    quoted = rf"\Q{opener}\E[\s\S]*?\Q{closer}\E"
+    quoted = rf"\Q{opener}\E(?s:.)*?\Q{closer}\E"
     dangling = F.contains(F.substring_index(text, closer, -1), F.lit(opener))
     return F.when(
-        dangling, F.regexp_replace(text, rf"{quoted}|(\Q{opener}\E[\s\S]*+)", "$1")
+        dangling, F.regexp_replace(text, rf"{quoted}|(\Q{opener}\E(?s:.)*+)", "$1")
     ).otherwise(F.regexp_replace(text, quoted, ""))
 
 
@@ -112,10 +125,10 @@ def _strip_regex(text: Column, language: Column) -> Column:
     # A closer that equals its opener leaves one dangling opener at most, so the
     # triple quotes need no guard.
     hashes = F.regexp_replace(text, HASH, "")
-    doubles = F.regexp_replace(hashes, r'"""[\s\S]*?"""', "")
+    doubles = F.regexp_replace(hashes, r'"""(?s:.)*?"""', "")
     return (
         F.when(language.isin(*C_LIKE), F.regexp_replace(blocks, LINE, ""))
-        .when(language == "python", F.regexp_replace(doubles, r"'''[\s\S]*?'''", ""))
+        .when(language == "python", F.regexp_replace(doubles, r"'''(?s:.)*?'''", ""))
         .when(language.isin(*MARKUP), _strip_markup(text))
         .when(language.isin(*STYLESHEETS), blocks)
         .otherwise(text)
@@ -129,10 +142,10 @@ def strip_comments(text: Column, language: Column, mode: str = "lexical", docstr
     on their line. That may empty a body, so it is off by default.
     """
     if mode == "regex":
-        return normalise_blank_lines(_strip_regex(text, language))
+        return normalise_blank_lines(_strip_regex(text, language), text)
     if mode != "lexical":
         raise ValueError(f"mode must be 'lexical' or 'regex', not {mode!r}")
     stripped = F.when(language.isin(*MARKUP), _strip_markup(text))
     for name in LEXICONS:
         stripped = stripped.when(language == name, _strip_lexical(text, name, docstrings))
-    return normalise_blank_lines(stripped.otherwise(text))
+    return normalise_blank_lines(stripped.otherwise(text), text)

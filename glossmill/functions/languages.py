@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,12 +40,8 @@ def detect_language(path: Column, language_id: Column | None = None) -> Column:
     ``language_id`` is an editor's own answer; it wins where it is spelled like
     a known extension, so a ``.h`` file opened as ``c`` is ``c``.
     """
-    ext = extension(path)
-    by_path = reduce(
-        lambda case, item: case.when(ext.isin(*item[1]), F.lit(item[0])),
-        LANGUAGE_EXTENSIONS.items(),
-        F,
-    )
+    table = F.create_map(*[F.lit(x) for name, group in LANGUAGE_EXTENSIONS.items() for e in group for x in (e, name)])
+    by_path = F.element_at(table, extension(path))
     if language_id is None:
         return by_path
     return F.coalesce(F.when(language_id.isin(*EXTENSIONS), language_id), by_path)

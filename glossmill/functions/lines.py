@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import JS_WS_CLASS, is_blank, js_trim
+from glossmill.functions.text import JS_WS_CLASS
 
-_S = f"[{JS_WS_CLASS}]"
+# White space within a line.
+LINE_SPACE = "[" + JS_WS_CLASS.replace(r"\x{09}-\x{0D}", r"\x{09}\x{0B}-\x{0D}") + "]"
+_S = LINE_SPACE
 
 # Starts of lines that open a function, a method or a class. The
-# modifier rule splits "words and spaces up to the parenthesis" into one word
-# run after another, so a line is read once however long it is.
+# modifier rule reads "words and spaces up to the parenthesis" one word after the
+# other, so a line is read once however long it is.
 DECLARATIONS = (
-    rf"(?:export{_S}+)?(?:default{_S}+)?(?:async{_S}+)?function{_S}",
-    rf"(?:export{_S}+)?(?:default{_S}+)?class{_S}",
-    rf"def{_S}",
-    rf"class{_S}",
+    rf"(?:export{_S}++)?(?:default{_S}++)?(?:async{_S}++)?function{_S}++[^\n]",
+    rf"(?:export{_S}++)?(?:default{_S}++)?class{_S}++[^\n]",
+    rf"def{_S}++[^\n]",
+    rf"class{_S}++[^\n]",
     rf"(?:public|private|protected|static|abstract|final)\w*+(?:{_S}++\w++)++{_S}*+\(",
     rf"(?:void|int|bool|auto|std::|[A-Z]\w*+){_S}++\w++{_S}*+\(",
 )
-_DECLARATION = r"\A(?:" + "|".join(DECLARATIONS) + ")"
+_DECLARATION = rf"{_S}*+(?:{'|'.join(DECLARATIONS)})"
+
+# A stretch of whole lines that ends with a blank line before a declaration, or
+# with the text. Lines are taken one by one, so a long text costs no stack.
+_STRETCH = (
+    rf"(?:\A|(?!\z))((?:(?!{_S}*+\n{_DECLARATION})[^\n]*+\n)*+"
+    rf"(?:{_S}*+(?=\n{_DECLARATION})|[^\n]*+\z))(?:\n|\z)"
+)
 
 # Cuts gathered before they are set aside as one block, see chunk_starts.
 _BLOCK = 512
@@ -30,46 +39,52 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def is_declaration(line: Column) -> Column:
-    """Whether a line, trimmed, opens a declaration; indented ones count."""
-    return js_trim(line).rlike(_DECLARATION)
+def count_lines(text: Column) -> Column:
+    return F.size(split_lines(text))
 
 
-def break_points(lines: Column) -> Column:
-    """0-based indices of declaration lines that follow a blank line.
+def is_declaration(line: Column) -> Column:
+    """Whether a line opens a declaration; indented ones count."""
+    return line.rlike(rf"\A{_DECLARATION}")
 
-    ``lines`` must be a column of its own (not an inlined ``split``), as it is
-    looked up once per line. The blank test comes first: it is the cheaper one.
-    """
-    return F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda i: (i >= 1) & is_blank(F.get(lines, i - 1)) & is_declaration(F.get(lines, i)),
-    )
+
+def stretches(text: Column) -> Column:
+    """The text cut at its break points: before every declaration line that
+    follows a blank line. The parts joined by a line end are the text."""
+    return F.regexp_extract_all(text, F.lit(_STRETCH), F.lit(1))
 
 
-def chunk_starts(points: Column, min_lines: int) -> Column:
-    """First line of every chunk: each cut is the least break point that leaves
-    ``min_lines`` lines or more behind it.
+def chunk_starts(parts: Column, min_lines: int) -> Column:
+    """First ``part`` and first ``line`` (from 0) of every chunk of ``stretches``.
 
-    Appending to an array copies it, so cuts are gathered in blocks; the work
-    stays in proportion to the file even for hundreds of thousands of cuts.
+    Each cut is the least break point that leaves ``min_lines`` lines or more
+    behind it; with 0, every break point is one. Appending to an array copies it,
+    so cuts are gathered in blocks; the work stays in proportion to the file even
+    for hundreds of thousands of cuts.
     """
+    cut = "struct<part:int,line:int>"
     start = F.struct(
-        F.expr("cast(array() as array<array<int>>)").alias("full"),
-        F.expr("array(0)").alias("open"),
-        F.lit(0).alias("last"),
+        F.expr(f"cast(array() as array<array<{cut}>>)").alias("full"),
+        F.expr(f"cast(array() as array<{cut}>)").alias("open"),
+        F.lit(0).alias("part"),
+        F.lit(0).alias("line"),
+        F.lit(-1).alias("last"),
     )
 
-    def step(acc: Column, point: Column) -> Column:
-        grown = F.concat(acc["open"], F.array(point))
-        flush = F.size(acc["open"]) >= _BLOCK
-        return F.when(
-            point - acc["last"] >= min_lines,
-            F.struct(
-                F.when(flush, F.concat(acc["full"], F.array(acc["open"]))).otherwise(acc["full"]).alias("full"),
-                F.when(flush, F.array(point)).otherwise(grown).alias("open"),
-                point.alias("last"),
-            ),
-        ).otherwise(acc)
-
-    return F.aggregate(points, start, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["open"]))
+    def step(acc: Column, lines: Column) -> Column:
+        here = F.struct(acc["part"].alias("part"), acc["line"].alias("line"))
+        cuts = (acc["last"] < 0) | (acc["line"] - acc["last"] >= min_lines)
+        flush = cuts & (F.size(acc["open"]) >= _BLOCK)
+        return F.struct(
+            F.when(flush, F.concat(acc["full"], F.array(acc["open"]))).otherwise(acc["full"]).alias("full"),
+            F.when(flush, F.array(here))
+            .when(cuts, F.concat(acc["open"], F.array(here)))
+            .otherwise(acc["open"])
+            .alias("open"),
+            (acc["part"] + 1).alias("part"),
+            (acc["line"] + lines).alias("line"),
+            F.when(cuts, acc["line"]).otherwise(acc["last"]).alias("last"),
+        )
+
+    counts = F.transform(parts, count_lines)
+    return F.aggregate(counts, start, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["open"]))

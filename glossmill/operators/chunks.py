@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.lines import break_points, chunk_starts, split_lines
+from glossmill.functions.lines import chunk_starts, count_lines, split_lines, stretches
 from glossmill.functions.text import leading_space, trailing_space
 
 
@@ -15,27 +15,34 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 
 def with_cuts(files: DataFrame, min_lines: int) -> DataFrame:
-    """Adds ``lines`` and ``starts``, the first line of each chunk.
+    """Adds ``parts``, the text cut at its break points, and ``starts``, the part
+    and line each chunk starts with.
 
-    Works inside the row: no shuffle. A short file is one chunk and is not
+    Works inside the row: no shuffle. A short file is one part, and is not
     searched for break points.
     """
-    lines = files.withColumn("lines", split_lines(F.col("content")))
-    points = F.when(F.size("lines") > min_lines, break_points(F.col("lines")))
-    starts = F.coalesce(chunk_starts(points, min_lines), F.array(F.lit(0)))
-    return lines.withColumn("starts", starts)
+    content = F.col("content")
+    parts = F.when(count_lines(content) > min_lines, stretches(content)).otherwise(F.array(content))
+    return files.withColumn("parts", parts).withColumn("starts", chunk_starts(F.col("parts"), min_lines))
+
+
+def break_points(files: DataFrame) -> DataFrame:
+    """``(path, line_index)`` of every declaration line after a blank line."""
+    cut = with_cuts(files, 0).select("path", F.explode("starts").alias("start"))
+    return cut.where("start.line > 0").select("path", F.col("start.line").alias("line_index"))
 
 
 def _pieces() -> Column:
-    lines, starts = F.col("lines"), F.col("starts")
+    parts, starts = F.col("parts"), F.col("starts")
 
     def piece(start: Column, index: Column) -> Column:
-        end = F.coalesce(F.get(starts, index + 1), F.size(lines))
+        after = F.coalesce(F.get(starts, index + 1)["part"], F.size(parts))
+        text = F.array_join(F.slice(parts, start["part"] + 1, after - start["part"]), "\n")
         return F.struct(
             index.alias("chunk_index"),
-            start.alias("start_line"),
-            end.alias("end_line"),
-            F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("text"),
+            start["line"].alias("start_line"),
+            (start["line"] + count_lines(text)).alias("end_line"),
+            text.alias("text"),
         )
 
     return F.transform(starts, piece)
@@ -65,7 +72,7 @@ def chunk_edges(files: DataFrame, min_lines: int, edges: bool) -> DataFrame:
                 ),
             ),
         )
-    return cut.drop("lines", "starts", "pieces")
+    return cut.drop("parts", "starts", "pieces")
 
 
 def rejoin(pieces: DataFrame, column: str = "text") -> DataFrame:

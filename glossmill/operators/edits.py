@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLOCK = 1024
+_BITS = 8
+_BLOCK = 1 << _BITS
 
 
 def _blocks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{_BLOCK}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s:.){{1,{_BLOCK}}}"), F.lit(0))
 
 
 def _between(blocks: Column, start: Column, end: Column) -> Column:
@@ -18,20 +19,15 @@ def _between(blocks: Column, start: Column, end: Column) -> Column:
     ``substring`` counts characters from the start of its string, so cutting a
     long text many times would read it as often. A block is short.
     """
-    first = F.floor(start / _BLOCK).cast("int")
-    last = F.floor(end / _BLOCK).cast("int")
-    offset = F.pmod(start, F.lit(_BLOCK)) + 1
-
-    def block(index: Column) -> Column:
-        return F.coalesce(F.get(blocks, index), F.lit(""))
-
-    return F.when(first == last, F.substring(block(first), offset, end - start)).otherwise(
-        F.concat(
-            F.substring(block(first), offset, F.lit(_BLOCK)),
-            F.array_join(F.slice(blocks, first + 2, last - first - 1), ""),
-            F.substring(block(last), F.lit(1), F.pmod(end, F.lit(_BLOCK))),
-        )
+    first, last = F.shiftright(start, _BITS), F.shiftright(end, _BITS)
+    offset = start.bitwiseAND(_BLOCK - 1) + 1
+    head = F.substring(F.get(blocks, first), offset, end - start)
+    across = F.concat(
+        F.substring(F.get(blocks, first), offset, F.lit(_BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, last - first - 1), ""),
+        F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), end.bitwiseAND(_BLOCK - 1)),
     )
+    return F.when(start == end, F.lit("")).when(first == last, head).otherwise(across)
 
 
 def apply_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -44,35 +40,36 @@ def apply_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
     grouped = spans.groupBy("path").agg(
         F.array_sort(F.collect_set(F.struct("start", "end", "replacement"))).alias("spans")
     )
+
+    def after_last(span: Column, index: Column) -> Column:
+        previous = F.coalesce(F.get(F.col("spans"), index - 1)["end"], F.lit(0))
+        return F.struct(previous.alias("after"), span.alias("span"))
+
+    # Each span with the end of the one before it: the text between is kept.
     joined = files.select("path", "content").join(grouped, "path", "left")
-    size = F.length("content")
     cut = joined.select(
         "path",
         "content",
-        size.alias("size"),
+        F.length("content").alias("size"),
         F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
-        "spans",
+        F.transform("spans", after_last).alias("edits"),
+        F.coalesce(F.element_at("spans", -1)["end"], F.lit(0)).alias("last"),
         F.when(F.col("spans").isNotNull(), _blocks(F.col("content"))).alias("blocks"),
     )
-    spans_, blocks = F.col("spans"), F.col("blocks")
 
-    def end_before(index: Column) -> Column:
-        return F.coalesce(F.get(spans_, index - 1)["end"], F.lit(0))
+    def misplaced(edit: Column) -> Column:
+        span = edit["span"]
+        return (span["start"] < edit["after"]) | (span["end"] < span["start"]) | (span["end"] > F.col("size"))
 
-    def misplaced(span: Column, index: Column) -> Column:
-        return (
-            (span["start"] < end_before(index)) | (span["end"] < span["start"]) | (span["end"] > F.col("size"))
-        )
+    def piece(edit: Column) -> Column:
+        span = edit["span"]
+        return F.concat(_between(F.col("blocks"), edit["after"], span["start"]), span["replacement"])
 
-    valid = ~F.exists(F.transform(spans_, misplaced), lambda bad: bad)
-    pieces = F.transform(
-        spans_,
-        lambda span, index: F.concat(_between(blocks, end_before(index), span["start"]), span["replacement"]),
-    )
     edited = F.concat(
-        F.array_join(pieces, ""), _between(blocks, end_before(F.size(spans_)), F.col("size"))
+        F.array_join(F.transform("edits", piece), ""), _between(F.col("blocks"), F.col("last"), F.col("size"))
     )
-    return cut.withColumn("applied", F.coalesce(valid, F.lit(True))).select(
+    judged = cut.withColumn("applied", F.coalesce(~F.exists("edits", misplaced), F.lit(True)))
+    return judged.select(
         "path",
         F.when(F.col("applied") & (F.col("n_spans") > 0), edited).otherwise(F.col("content")).alias("content"),
         "n_spans",

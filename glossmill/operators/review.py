@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.comments import strip_comments
-from glossmill.functions.lines import split_lines
-from glossmill.functions.text import JS_WS, js_trim, utf16_length
+from glossmill.functions.lines import LINE_SPACE, count_lines, split_lines
+from glossmill.functions.text import js_trim, utf16_length
 
 
 def length_guard(source_length: Column, output_length: Column, ratio: float) -> Column:
@@ -76,12 +76,15 @@ def review(pairs: DataFrame) -> DataFrame:
     )
 
 
-def code_lines(text: Column, language: Column) -> Column:
-    """Lines of code: comments, blank lines and trailing space do not count."""
-    bare = F.transform(
-        split_lines(strip_comments(text, language)), lambda line: F.rtrim(line, F.lit(JS_WS))
-    )
-    return F.filter(bare, lambda line: line != "")
+def code_text(text: Column, language: Column) -> Column:
+    """The code alone: without comments, blank lines and space at line ends.
+
+    A run of spaces is looked at from its first one only, however long it is, and
+    plain characters are passed over before anything else is asked of them.
+    """
+    bare = strip_comments(text, language)
+    line_ends = rf"(?![!-~])(?<!{LINE_SPACE})(?:{LINE_SPACE}*+\n)++"
+    return F.ltrim(F.regexp_replace(bare, line_ends, "\n"), F.lit("\n"))
 
 
 def preservation_audit(pairs: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def preservation_audit(pairs: DataFrame) -> DataFrame:
     before, after, language = F.col("before"), F.col("after"), F.col("language")
     return pairs.withColumns(
         {
-            "code_kept": code_lines(before, language) == code_lines(after, language),
-            "lines_kept": F.size(split_lines(after)) >= F.size(split_lines(before)),
+            "code_kept": code_text(before, language) == code_text(after, language),
+            "lines_kept": count_lines(after) >= count_lines(before),
         }
     ).withColumn("preserved", F.col("code_kept") & F.col("lines_kept"))
