@@ -76,7 +76,7 @@ PLANNED_SOME_BLANK = _planned(fixtures.SOME_BLANK)
 
 # Comments
 
-BLOCK, LINE, HASH = r"/\*[\s\S]*?\*/", r"//[^\n]*", r"#[^\n]*"
+BLOCK, LINE, HASH = r"/\*[\s\S]*?\*/", r"//[^\r\n]*", r"#[^\r\n]*"
 DQ, SQ, BT = r'"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"', r"'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'", r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
 TDQ = r'"""(?:[^"\\]|\\[\s\S]|"[^"\\]|"\\[\s\S]|""[^"\\]|""\\[\s\S])*"""'
 TSQ = TDQ.replace('"', "'")
@@ -87,8 +87,8 @@ REGEX = (
     r"(?:=>|[(,=:\[!&|?;{]|\breturn\b)\s*/"
     rf"(?:[^/*\\\[\n]|\\[^\n]|{IN_CLASS})(?:[^/\\\[\n]|\\[^\n]|{IN_CLASS})*/"
 )
-SPLICED = r"//[^\\\n]*(?:\\(?:\r\n|[\s\S])?[^\\\n]*)*"
-URL = r"[uU][rR][lL]\([^)\"'\n]*\)"
+SPLICED = r"//[^\\\r\n]*(?:\\(?:\r\n|[\s\S])?[^\\\r\n]*)*"
+URL = r"[uU][rR][lL]\([^()\"'\n]*\)"
 TOKENS = {
     "javascript": ((REGEX, DQ, SQ, BT), (BLOCK, LINE)),
     "typescript": ((REGEX, DQ, SQ, BT), (BLOCK, LINE)),
@@ -117,8 +117,8 @@ def _lexical(content: str) -> str:
 
 
 def _regex(content: str) -> str:
-    c_like = _replace(_replace(content, BLOCK), LINE)
-    python = _replace(_replace(_replace(content, HASH), r'"""[\s\S]*?"""'), r"'''[\s\S]*?'''")
+    c_like = _replace(_replace(content, BLOCK), r"//[^\n]*")
+    python = _replace(_replace(_replace(content, r"#[^\n]*"), r'"""[\s\S]*?"""'), r"'''[\s\S]*?'''")
     return _tidy(
         f"case when language in ('javascript', 'typescript', 'java', 'cpp', 'c') then {c_like} "
         f"when language = 'python' then {python} when language = 'html' then {_replace(content, HTML)} "

@@ -28,8 +28,9 @@ TRIPLE_DOUBLE = r'"""[^"\\]*+(?:(?:\\(?s:.)|"(?!""))[^"\\]*+)*+"""'
 TRIPLE_SINGLE = r"'''[^'\\]*+(?:(?:\\(?s:.)|'(?!''))[^'\\]*+)*+'''"
 TRIPLE_DOUBLE_OPEN = r'"""(?s:.)*+'
 TRIPLE_SINGLE_OPEN = r"'''(?s:.)*+"
-# C++ raw strings, and the quote between the digits of a number.
+# C++ raw strings, closed and not, and the quote between the digits of a number.
 RAW_STRING = r'"(?<=(?<!\w)(?:u8|[uUL])?R")(?<mark>[^()\\\s"]{0,16})\((?s:.)*?\)\k<mark>"'
+RAW_STRING_OPEN = r'"(?<=(?<!\w)(?:u8|[uUL])?R")[^()\\\s"]{0,16}\((?s:.)*+'
 DIGIT_QUOTE = r"'(?=\w)(?<=(?<!\w)[0-9][\w.']{0,99}')"
 # A slash after an opening or joining sign starts a regex literal, not a division.
 REGEX = (
@@ -37,20 +38,20 @@ REGEX = (
     r"(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
 )
 # An unquoted address holds slashes that open no comment.
-URL = r"(?<=[uU][rR][lL])\([^)\"'\n]*+\)"
+URL = r"(?<=[uU][rR][lL])\([^()\"'\n]*+\)"
 
 BLOCK = r"/\*(?s:.)*?\*/"
-LINE = r"//[^\n]*+"
+LINE = r"//[^\r\n]*+"
 # A backslash at the end of a line carries a C line comment over to the next.
-SPLICED_LINE = r"//[^\\\n]*+(?:\\(?:\r\n|(?s:.))?[^\\\n]*+)*+"
-HASH = r"#[^\n]*+"
+SPLICED_LINE = r"//[^\\\r\n]*+(?:\\(?:\r\n|(?s:.))?[^\\\r\n]*+)*+"
+HASH = r"#[^\r\n]*+"
 
 # Per language: what a token of interest starts with, the literals, the comments.
 LEXICONS = {
     "javascript": ("\"'`/", (REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
     "typescript": ("\"'`/", (REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
     "java": ("\"'/", (TRIPLE_DOUBLE, TRIPLE_DOUBLE_OPEN, DOUBLE, SINGLE), (BLOCK, LINE)),
-    "cpp": ("\"'/", (RAW_STRING, DOUBLE, DIGIT_QUOTE, SINGLE), (BLOCK, SPLICED_LINE)),
+    "cpp": ("\"'/", (RAW_STRING, RAW_STRING_OPEN, DOUBLE, DIGIT_QUOTE, SINGLE), (BLOCK, SPLICED_LINE)),
     "c": ("\"'/", (DOUBLE, DIGIT_QUOTE, SINGLE), (BLOCK, SPLICED_LINE)),
     "python": (
         "\"'#",
@@ -124,10 +125,10 @@ def _strip_regex(text: Column, language: Column) -> Column:
     blocks = _delete(text, "/*", "*/")
     # A closer that equals its opener leaves one dangling opener at most, so the
     # triple quotes need no guard.
-    hashes = F.regexp_replace(text, HASH, "")
+    hashes = F.regexp_replace(text, r"#[^\n]*+", "")
     doubles = F.regexp_replace(hashes, r'"""(?s:.)*?"""', "")
     return (
-        F.when(language.isin(*C_LIKE), F.regexp_replace(blocks, LINE, ""))
+        F.when(language.isin(*C_LIKE), F.regexp_replace(blocks, r"//[^\n]*+", ""))
         .when(language == "python", F.regexp_replace(doubles, r"'''(?s:.)*?'''", ""))
         .when(language.isin(*MARKUP), _strip_markup(text))
         .when(language.isin(*STYLESHEETS), blocks)

@@ -24,16 +24,6 @@ DECLARATIONS = (
 )
 _DECLARATION = rf"{_S}*+(?:{'|'.join(DECLARATIONS)})"
 
-# A stretch of whole lines that ends with a blank line before a declaration, or
-# with the text. Lines are taken one by one, so a long text costs no stack.
-_STRETCH = (
-    rf"(?:\A|(?!\z))((?:(?!{_S}*+\n{_DECLARATION})[^\n]*+\n)*+"
-    rf"(?:{_S}*+(?=\n{_DECLARATION})|[^\n]*+\z))(?:\n|\z)"
-)
-
-# Cuts gathered before they are set aside as one block, see chunk_starts.
-_BLOCK = 512
-
 
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
@@ -48,43 +38,20 @@ def is_declaration(line: Column) -> Column:
     return line.rlike(rf"\A{_DECLARATION}")
 
 
-def stretches(text: Column) -> Column:
-    """The text cut at its break points: before every declaration line that
-    follows a blank line. The parts joined by a line end are the text."""
-    return F.regexp_extract_all(text, F.lit(_STRETCH), F.lit(1))
-
-
-def chunk_starts(parts: Column, min_lines: int) -> Column:
-    """First ``part`` and first ``line`` (from 0) of every chunk of ``stretches``.
+def chunk_texts(text: Column, min_lines: int) -> Column:
+    """The text cut into chunks, an array; joined by a line end they are the text.
 
     Each cut is the least break point that leaves ``min_lines`` lines or more
-    behind it; with 0, every break point is one. Appending to an array copies it,
-    so cuts are gathered in blocks; the work stays in proportion to the file even
-    for hundreds of thousands of cuts.
+    behind it, a break point being a declaration line after a blank line. So a
+    chunk is that many lines but one, then lines up to a blank line before a
+    declaration, or up to the end. Lines are taken one by one and none is taken
+    back, so a long text costs neither stack nor a second look.
     """
-    cut = "struct<part:int,line:int>"
-    start = F.struct(
-        F.expr(f"cast(array() as array<array<{cut}>>)").alias("full"),
-        F.expr(f"cast(array() as array<{cut}>)").alias("open"),
-        F.lit(0).alias("part"),
-        F.lit(0).alias("line"),
-        F.lit(-1).alias("last"),
+    ahead = rf"{LINE_SPACE}*+\n{_DECLARATION}"
+    chunk = (
+        rf"(?:\A|(?!\z))((?:[^\n]*+\n){{0,{min_lines - 1}}}+(?:(?!{ahead})[^\n]*+\n)*+"
+        rf"(?:{LINE_SPACE}*+(?=\n{_DECLARATION})|[^\n]*+\z))(?:\n|\z)"
     )
-
-    def step(acc: Column, lines: Column) -> Column:
-        here = F.struct(acc["part"].alias("part"), acc["line"].alias("line"))
-        cuts = (acc["last"] < 0) | (acc["line"] - acc["last"] >= min_lines)
-        flush = cuts & (F.size(acc["open"]) >= _BLOCK)
-        return F.struct(
-            F.when(flush, F.concat(acc["full"], F.array(acc["open"]))).otherwise(acc["full"]).alias("full"),
-            F.when(flush, F.array(here))
-            .when(cuts, F.concat(acc["open"], F.array(here)))
-            .otherwise(acc["open"])
-            .alias("open"),
-            (acc["part"] + 1).alias("part"),
-            (acc["line"] + lines).alias("line"),
-            F.when(cuts, acc["line"]).otherwise(acc["last"]).alias("last"),
-        )
-
-    counts = F.transform(parts, count_lines)
-    return F.aggregate(counts, start, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["open"]))
+    return F.when(
+        count_lines(text) > min_lines, F.regexp_extract_all(text, F.lit(chunk), F.lit(1))
+    ).otherwise(F.array(text))

@@ -5,74 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.lines import chunk_starts, count_lines, split_lines, stretches
+from glossmill.functions.lines import chunk_texts, count_lines, split_lines
 from glossmill.functions.text import leading_space, trailing_space
 
+_BITS = 8
+
 
 def file_lines(files: DataFrame) -> DataFrame:
     """``(path, line_index, line)``, one row per line."""
     return files.select("path", F.posexplode(split_lines(F.col("content"))).alias("line_index", "line"))
 
 
-def with_cuts(files: DataFrame, min_lines: int) -> DataFrame:
-    """Adds ``parts``, the text cut at its break points, and ``starts``, the part
-    and line each chunk starts with.
+def _with_texts(files: DataFrame, min_lines: int) -> DataFrame:
+    """Adds ``texts``, a file's chunks, and ``counts``, their numbers of lines.
 
-    Works inside the row: no shuffle. A short file is one part, and is not
-    searched for break points.
+    Works inside the row: no shuffle.
     """
-    content = F.col("content")
-    parts = F.when(count_lines(content) > min_lines, stretches(content)).otherwise(F.array(content))
-    return files.withColumn("parts", parts).withColumn("starts", chunk_starts(F.col("parts"), min_lines))
+    texts = files.withColumn("texts", chunk_texts(F.col("content"), min_lines))
+    return texts.withColumn("counts", F.transform("texts", count_lines))
 
 
-def break_points(files: DataFrame) -> DataFrame:
-    """``(path, line_index)`` of every declaration line after a blank line."""
-    cut = with_cuts(files, 0).select("path", F.explode("starts").alias("start"))
-    return cut.where("start.line > 0").select("path", F.col("start.line").alias("line_index"))
+def _total(values: Column, start: Column, length: Column) -> Column:
+    return F.aggregate(F.slice(values, start + 1, length), F.lit(0), lambda acc, n: acc + n)
+
 
+def chunks(files: DataFrame, min_lines: int, *keep: str) -> DataFrame:
+    """``(path, *keep, chunk_index, start_line, end_line, text)``.
 
-def _pieces() -> Column:
-    parts, starts = F.col("parts"), F.col("starts")
+    Line numbers count from 0, ``end_line`` is exclusive. The texts of one file
+    joined by a line end give back its content.
+    """
+    counts, blocks = F.col("counts"), F.col("blocks")
+    # A chunk starts after all lines before it: whole blocks of chunks, then the
+    # chunks of its own block. That is little work even in a file of thousands.
+    numbered = _with_texts(files, min_lines).withColumn(
+        "blocks",
+        F.transform(
+            F.sequence(F.lit(0), F.shiftright(F.size(counts) - 1, _BITS)),
+            lambda block: _total(counts, F.shiftleft(block, _BITS), F.lit(1 << _BITS)),
+        ),
+    )
 
-    def piece(start: Column, index: Column) -> Column:
-        after = F.coalesce(F.get(starts, index + 1)["part"], F.size(parts))
-        text = F.array_join(F.slice(parts, start["part"] + 1, after - start["part"]), "\n")
+    def piece(text: Column, index: Column) -> Column:
+        block = F.shiftright(index, _BITS)
+        inside = index.bitwiseAND((1 << _BITS) - 1)
+        start = _total(blocks, F.lit(0), block) + _total(counts, F.shiftleft(block, _BITS), inside)
         return F.struct(
             index.alias("chunk_index"),
-            start["line"].alias("start_line"),
-            (start["line"] + count_lines(text)).alias("end_line"),
+            start.alias("start_line"),
+            F.get(counts, index).alias("lines"),
             text.alias("text"),
         )
 
-    return F.transform(starts, piece)
-
+    return numbered.select("path", *keep, F.inline(F.transform("texts", piece))).select(
+        "path",
+        *keep,
+        "chunk_index",
+        "start_line",
+        (F.col("start_line") + F.col("lines")).alias("end_line"),
+        "text",
+    )
 
-def chunks(files: DataFrame, min_lines: int, *keep: str) -> DataFrame:
-    """``(path, *keep, chunk_index, start_line, end_line, text)``.
 
-    Line numbers count from 0, ``end_line`` is exclusive. The texts of one file
-    joined by a line end give back its content.
-    """
-    return with_cuts(files, min_lines).select("path", *keep, F.inline(_pieces()))
+def break_points(files: DataFrame) -> DataFrame:
+    """``(path, line_index)`` of every declaration line after a blank line: where
+    chunks start if one line is enough for a chunk."""
+    starts = chunks(files, 1).where("start_line > 0")
+    return starts.select("path", F.col("start_line").alias("line_index"))
 
 
 def chunk_edges(files: DataFrame, min_lines: int, edges: bool) -> DataFrame:
     """Adds ``n_chunks`` and, if asked for, ``edges``: each chunk's own leading
     and trailing white space, which a model's trimmed answer has lost."""
-    cut = with_cuts(files, min_lines)
-    cut = cut.withColumn("n_chunks", F.size("starts"))
+    cut = files.withColumn("texts", chunk_texts(F.col("content"), min_lines))
+    cut = cut.withColumn("n_chunks", F.size("texts"))
     if edges:
-        cut = cut.withColumn("pieces", _pieces()).withColumn(
+        cut = cut.withColumn(
             "edges",
             F.transform(
-                "pieces",
-                lambda p: F.struct(
-                    leading_space(p["text"]).alias("lead"), trailing_space(p["text"]).alias("trail")
+                "texts",
+                lambda text: F.struct(
+                    leading_space(text).alias("lead"), trailing_space(text).alias("trail")
                 ),
             ),
         )
-    return cut.drop("parts", "starts", "pieces")
+    return cut.drop("texts")
 
 
 def rejoin(pieces: DataFrame, column: str = "text") -> DataFrame:
