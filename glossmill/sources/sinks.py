@@ -39,6 +39,7 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
         def put(path: str, content: str) -> None:
             if path.startswith("/") or ".." in path.split("/"):
                 raise ValueError("path leaves the tree")
+            raw = content.encode("utf-8")
             target = posixpath.join(base, path)
             folder = posixpath.dirname(target)
             if folder not in made:
@@ -46,7 +47,7 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
                 made.add(folder)
             draft = posixpath.join(folder, f".{uuid.uuid4().hex}.part")
             with system.open_output_stream(draft) as stream:
-                stream.write(content.encode("utf-8"))
+                stream.write(raw)
             system.move(draft, target)
 
         for frame in frames:
