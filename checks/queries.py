@@ -245,7 +245,7 @@ def file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = document.corpus_requests(_planned(spark, sf_dir, fixtures.SOME_BLANK))
+    built = requests.build_requests(chunking.deal(_chunks(spark, sf_dir)), CONFIG)
 
     def answer(batch: object) -> list[str]:
         out = []

@@ -92,6 +92,13 @@ def chunk_edges(files: DataFrame, min_lines: int, edges: bool) -> DataFrame:
     return cut.drop("texts")
 
 
+def deal(pieces: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal chunk rows out one by one, so that the chunks of a very long file do
+    not stay in one task. Before requests are built: they repeat the text."""
+    keys = ("path", "chunk_index")
+    return pieces.repartition(partitions, *keys) if partitions else pieces.repartition(*keys)
+
+
 def rejoin(pieces: DataFrame, column: str = "text") -> DataFrame:
     """``(path, content)`` from chunk rows, in order.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,31 +32,47 @@ def _between(blocks: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, F.lit("")).when(first == last, head).otherwise(across)
 
 
-def apply_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
+def apply_spans(
+    files: DataFrame, spans: DataFrame, accept: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
     """``(path, content, n_spans, applied)``: every span replaced by its text.
 
     Equal spans are one edit. A file with spans that overlap or leave the text is
     not edited but marked ``applied = false``; one without spans stays as it is.
-    A group of spans is one file's, and its result one row.
+    ``accept`` judges a span by the text it covers and its replacement; a span it
+    turns down is left out. Files are shuffled once. A group of spans is one
+    file's, and its result one row.
     """
     grouped = spans.groupBy("path").agg(
         F.array_sort(F.collect_set(F.struct("start", "end", "replacement"))).alias("spans")
     )
+    cut = (
+        files.select("path", "content")
+        .join(grouped, "path", "left")
+        .withColumn("size", F.length("content"))
+        .withColumn("blocks", F.when(F.col("spans").isNotNull(), _blocks(F.col("content"))))
+    )
+    blocks = F.col("blocks")
+    if accept is not None:
+
+        def taken(span: Column) -> Column:
+            return accept(_between(blocks, span["start"], span["end"]), span["replacement"])
+
+        cut = cut.withColumn("spans", F.filter("spans", taken))
 
     def after_last(span: Column, index: Column) -> Column:
         previous = F.coalesce(F.get(F.col("spans"), index - 1)["end"], F.lit(0))
         return F.struct(previous.alias("after"), span.alias("span"))
 
     # Each span with the end of the one before it: the text between is kept.
-    joined = files.select("path", "content").join(grouped, "path", "left")
-    cut = joined.select(
+    cut = cut.select(
         "path",
         "content",
-        F.length("content").alias("size"),
+        "size",
+        "blocks",
         F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
         F.transform("spans", after_last).alias("edits"),
-        F.coalesce(F.element_at("spans", -1)["end"], F.lit(0)).alias("last"),
-        F.when(F.col("spans").isNotNull(), _blocks(F.col("content"))).alias("blocks"),
+        F.coalesce(F.try_element_at("spans", F.lit(-1))["end"], F.lit(0)).alias("last"),
     )
 
     def misplaced(edit: Column) -> Column:
@@ -63,10 +81,10 @@ def apply_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
 
     def piece(edit: Column) -> Column:
         span = edit["span"]
-        return F.concat(_between(F.col("blocks"), edit["after"], span["start"]), span["replacement"])
+        return F.concat(_between(blocks, edit["after"], span["start"]), span["replacement"])
 
     edited = F.concat(
-        F.array_join(F.transform("edits", piece), ""), _between(F.col("blocks"), F.col("last"), F.col("size"))
+        F.array_join(F.transform("edits", piece), ""), _between(blocks, F.col("last"), F.col("size"))
     )
     judged = cut.withColumn("applied", F.coalesce(~F.exists("edits", misplaced), F.lit(True)))
     return judged.select(

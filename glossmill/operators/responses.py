@@ -14,12 +14,7 @@ from glossmill.operators.chunks import chunk_edges
 from glossmill.operators.review import length_guard
 
 
-def generate(
-    requests: DataFrame,
-    answer: Callable[[Any], Any],
-    batch_size: int = 16,
-    partitions: int | None = None,
-) -> DataFrame:
+def generate(requests: DataFrame, answer: Callable[[Any], Any], batch_size: int = 16) -> DataFrame:
     """``(path, chunk_index, output, error)`` by calling ``answer`` on batches.
 
     ``answer`` takes a pandas frame of request rows and returns one text, None or
@@ -27,10 +22,10 @@ def generate(
     so only those at fault end with an ``error``. Waiting between calls, retries
     and keys are its own business.
 
-    No call needs another's result, so chunks are dealt out by themselves: a file
-    of very many chunks does not stay in one task. Write the result with
-    ``sources.workspace.keep`` before using it, or a lost task calls the model
-    again.
+    No call needs another's result: a partition's requests run one after the
+    other, partitions side by side, and ``chunks.deal`` sets how many there are.
+    Write the result with ``sources.workspace.keep`` before using it, or a lost
+    task calls the model again.
     """
 
     def run(frames: Iterator[Any]) -> Iterator[Any]:
@@ -68,9 +63,7 @@ def generate(
                         }
                     )
 
-    keys = ("path", "chunk_index")
-    dealt = requests.repartition(partitions, *keys) if partitions else requests.repartition(*keys)
-    return dealt.mapInPandas(run, RESPONSES)
+    return requests.mapInPandas(run, RESPONSES)
 
 
 def normalise_output(output: Column) -> Column:

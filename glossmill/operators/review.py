@@ -15,13 +15,14 @@ def length_guard(source_length: Column, output_length: Column, ratio: float) ->
     return output_length.cast("double") >= source_length.cast("double") * F.lit(float(ratio))
 
 
-def guarded(pairs: DataFrame, ratio: float) -> DataFrame:
-    """Adds ``accepted`` to ``(before, after)`` rows, judged on trimmed lengths."""
+def long_enough(before: Column, after: Column, ratio: float) -> Column:
+    """``length_guard`` on the trimmed lengths of two texts."""
+    return length_guard(utf16_length(js_trim(before)), utf16_length(js_trim(after)), ratio)
 
-    def size(column: str) -> Column:
-        return utf16_length(js_trim(F.col(column)))
 
-    return pairs.withColumn("accepted", length_guard(size("before"), size("after"), ratio))
+def guarded(pairs: DataFrame, ratio: float) -> DataFrame:
+    """Adds ``accepted`` to ``(before, after)`` rows."""
+    return pairs.withColumn("accepted", long_enough(F.col("before"), F.col("after"), ratio))
 
 
 def line_changes(before: Column, after: Column) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from glossmill.config import SELECTION_RATIO, JobConfig
 from glossmill.functions.text import strip_code_fences
-from glossmill.operators.chunks import chunks
+from glossmill.operators.chunks import chunks, deal
 from glossmill.operators.edits import apply_spans, extract_selections
 from glossmill.operators.requests import build_requests
 from glossmill.operators.responses import assemble, generate, normalise_output
-from glossmill.operators.review import guarded, review
+from glossmill.operators.review import long_enough, review
 from glossmill.operators.select import not_blank, ordered, select_files
 from glossmill.operators.summary import run_summary
 from glossmill.sources.sinks import write_table
@@ -25,12 +25,19 @@ from glossmill.sources.workspace import keep
 def plan_files(files: DataFrame, config: JobConfig = JobConfig()) -> DataFrame:
     """The files of ``(path, content | raw)`` a run documents."""
     chosen = select_files(source_files(files), "generate", config.skip_patterns)
-    return chosen if config.max_files is None else ordered(chosen, config.max_files)
+    if config.max_files is None:
+        return chosen
+    # Only paths go through the top-k; it gathers its rows in one task.
+    return chosen.join(ordered(chosen.select("path"), config.max_files), "path", "left_semi")
 
 
 def corpus_requests(planned: DataFrame, config: JobConfig = JobConfig()) -> DataFrame:
     """Requests for every chunk of ``plan_files`` rows. No shuffle."""
-    return build_requests(chunks(not_blank(planned), config.min_lines, "language"), config)
+    return build_requests(_corpus_chunks(planned, config), config)
+
+
+def _corpus_chunks(planned: DataFrame, config: JobConfig) -> DataFrame:
+    return chunks(not_blank(planned), config.min_lines, "language")
 
 
 def document_corpus(planned: DataFrame, responses: DataFrame, config: JobConfig = JobConfig()) -> DataFrame:
@@ -63,8 +70,8 @@ def run_corpus(
     """
     spark = files.sparkSession
     planned = plan_files(files, config)
-    requests = corpus_requests(planned, config)
-    responses = keep(generate(requests, answer, partitions=config.generate_partitions), "responses")
+    dealt = deal(_corpus_chunks(planned, config), config.generate_partitions)
+    responses = keep(generate(build_requests(dealt, config), answer), "responses")
     source = ("content",) if config.review else ()
     write_table(assemble(planned, responses, config, *source), f"{target}/files")
     done = spark.read.parquet(f"{target}/files")
@@ -88,13 +95,13 @@ def document_selections(
     ratio: float = SELECTION_RATIO,
 ) -> DataFrame:
     """``(path, content, n_spans, applied)``: accepted answers put in place of
-    the selections they answer; files without any stay as they are."""
+    the selections they answer; files without any stay as they are. An answer is
+    judged beside the text it replaces, so the files are shuffled once."""
     answers = responses.where(F.col("error").isNull()).select(
         "path",
         F.col("chunk_index").alias("start"),
-        strip_code_fences(normalise_output(F.col("output"))).alias("after"),
+        strip_code_fences(normalise_output(F.col("output"))).alias("replacement"),
     )
-    picked = extract_selections(files, selections).withColumnRenamed("text", "before")
-    accepted = guarded(picked.join(answers, ["path", "start"]), ratio).where("accepted")
-    spans = accepted.select("path", "start", "end", F.col("after").alias("replacement"))
-    return apply_spans(files, spans)
+    chosen = selections.where(F.col("end") > F.col("start"))
+    spans = chosen.join(answers, ["path", "start"]).select("path", "start", "end", "replacement")
+    return apply_spans(files, spans, lambda before, after: long_enough(before, after, ratio))

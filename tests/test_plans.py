@@ -5,7 +5,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from checks.compare import TABLES  # noqa: F401
 from glossmill.config import JobConfig
 from glossmill.operators import chunks as chunking
 from glossmill.operators import review
@@ -74,6 +73,26 @@ def test_assembling_shuffles_each_side_once_and_no_source_text(spark, files):
     assert "ObjectHashAggregate(keys=[path" in text and "partial_collect_set" in text
 
 
+def test_selections_shuffle_the_files_once(spark, files):
+    planned, _ = responses_of(files)
+    chosen = planned.select("path", F.lit(1).alias("start"), F.lit(9).alias("end"))
+    answers = planned.select(
+        "path", F.lit(1).alias("chunk_index"), F.lit("x").alias("output"), F.lit(None).cast("string").alias("error")
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(document.document_selections(planned, chosen, answers))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("ReadSchema: struct<path:string,content:string>") == 1
+
+
+def test_a_cap_sends_paths_through_the_top_k(files):
+    text = plan(document.plan_files(files, JobConfig(max_files=10)))
+    top = text[text.index("TakeOrderedAndProject") :]
+    assert "content" not in top.split("Parquet")[1].split("ReadSchema")[1].split(">")[0]
+
+
 def test_chunk_arrays_are_not_evaluated_per_element(files):
     """The array of chunks is a column when lambdas look into it."""
     text = plan(chunking.chunks(document.plan_files(files), 80))

@@ -61,7 +61,7 @@ def test_generate_isolates_failures(spark):
             out.append(KeyError() if number % 11 == 0 else None if number % 13 == 0 else f"ok {number}")
         return out
 
-    got = {r.chunk_index: (r.output, r.error) for r in generate(built, answer, 8, 3).collect()}
+    got = {r.chunk_index: (r.output, r.error) for r in generate(built.repartition(3), answer, 8).collect()}
     assert len(got) == 100
     for i, pair in got.items():
         if i % 10 == 0:
