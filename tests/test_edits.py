@@ -114,6 +114,9 @@ def test_audit(spark):
         ("python", "  x = 1  \n\n\n\ny", "# d\n  x = 1\n#\n#\ny # z"),
         ("python", "  x\n", " x\n"),
         ("c", "\n\na;\n", "// d\n\na;\n"),
+        ("c", "a; \u00a0\t\u3000\n \u2028 \n  b;", "a;\n\n  b;\r\n"),
+        ("c", "a;\u00a0b;", "a; b;"),
+        ("c", "a" + " " * 200_000 + "b" + "\u00a0" * 100_000 + "c", "x"),
     ]
     got = preservation_audit(spark.createDataFrame(rows, "language string, before string, after string")).collect()
     assert [(r.code_kept, r.lines_kept, r.preserved) for r in got] == [
@@ -123,4 +126,7 @@ def test_audit(spark):
         (True, True, True),
         (False, True, False),
         (True, True, True),
+        (True, True, True),
+        (False, True, False),
+        (False, True, False),
     ]
