@@ -76,7 +76,7 @@ PLANNED_SOME_BLANK = _planned(fixtures.SOME_BLANK)
 
 # Comments
 
-BLOCK, LINE, HASH = r"/\*[\s\S]*?\*/", r"//[^\r\n]*", r"#[^\r\n]*"
+BLOCK, LINE, HASH = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", r"//[^\r\n]*", r"#[^\r\n]*"
 DQ, SQ, BT = r'"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"', r"'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'", r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
 TDQ = r'"""(?:[^"\\]|\\[\s\S]|"[^"\\]|"\\[\s\S]|""[^"\\]|""\\[\s\S])*"""'
 TSQ = TDQ.replace('"', "'")

@@ -40,7 +40,9 @@ REGEX = (
 # An unquoted address holds slashes that open no comment.
 URL = r"(?<=[uU][rR][lL])\([^()\"'\n]*+\)"
 
-BLOCK = r"/\*(?s:.)*?\*/"
+# Ends at the first closer whatever follows it: a shortest match would reach on,
+# over code, to a closer at the end of a line.
+BLOCK = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 LINE = r"//[^\r\n]*+"
 # A backslash at the end of a line carries a C line comment over to the next.
 SPLICED_LINE = r"//[^\\\r\n]*+(?:\\(?:\r\n|(?s:.))?[^\\\r\n]*+)*+"

@@ -131,6 +131,9 @@ LEXICAL_CASES = [
     ("cpp", "u8'a' u8\"//\" 0x1'f /* y */ 'b'\n", "u8'a' u8\"//\" 0x1'f  'b'\n"),
     ("c", "a // one \\\n still one\nb\n", "a \nb\n"),
     ("c", "a /* open // b\n", "a /* open // b\n"),
+    ("c", "a\n/* b */ int x; /* c */\ny\n", "a\n int x; \ny\n"),
+    ("c", "/* b */ int x; /* c */\ny\n", " int x; \ny\n"),
+    ("c", "a\n /***/ /** b **/\n/**/\nc /*/ d */ e\n", "a\n  \nc  e\n"),
     ("python", 's = "a#b" # c\n', 's = "a#b"\n'),
     ("python", "x = 1  # c\ny = 2\n", "x = 1  \ny = 2\n"),
     ("python", "t = '''a # b\n''' # c\n", "t = '''a # b\n'''\n"),
@@ -170,7 +173,7 @@ def test_literals_survive(values):
         "cpp": ['"a // b"', "'\"'", 'R"(/* q */)"', "1'000"],
     }
     comments = {
-        "javascript": ["// COMMENT\n", "/* COMMENT \n */"],
+        "javascript": ["// COMMENT\n", "/* COMMENT \n */", "/* COMMENT */\n"],
         "python": ["# COMMENT 'x\n"],
         "cpp": ["// COMMENT\n", "/* COMMENT \" */", "// COMMENT \\\nCOMMENT\n"],
     }
