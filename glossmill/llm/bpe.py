@@ -81,8 +81,10 @@ class Encoder:
         for b in range(256):
             if b not in alphabet:
                 alphabet[b] = chr(b) if 161 <= b != 173 else chr(next(others))
-        self.inner = [self.vocab[alphabet[b]] for b in range(256)]
-        self.final = [self.vocab[alphabet[b] + self.suffix] for b in range(256)]
+        self.byte_sign = [alphabet[b] for b in range(256)]
+        self.inner = [self.vocab[c] for c in self.byte_sign]
+        self.final = [self.vocab[c + self.suffix] for c in self.byte_sign]
+        self.short_word = tokenizer.model.tokenize
         sample = "".join(map(chr, range(256)))
         self.latin = _PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and all(
             self.normalise(c) == c.lower() for c in sample if not _SPACE.match(c)
@@ -170,8 +172,13 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """A lower-case word of Latin-1."""
         if (found := self.words.get(word)) is None:
-            *body, last = word.encode()
-            found = array("i", self.tree([*(self.inner[b] for b in body), self.final[last]])).tobytes()
+            data = word.encode()
+            if len(data) <= LEAF_SYMBOLS:
+                signs = word if len(data) == len(word) and word.isprintable() else "".join([self.byte_sign[b] for b in data])
+                ids = [token.id for token in self.short_word(signs)]
+            else:
+                ids = self.tree([*(self.inner[b] for b in data[:-1]), self.final[data[-1]]])
+            found = array("i", ids).tobytes()
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
             self.words[word] = found
@@ -259,6 +266,13 @@ def _lists(buffers: list[bytes | None]):
     return pa.ListArray.from_arrays(offsets, values)
 
 
+@lru_cache(maxsize=2)
+def _token_column(path: str):
+    import pyarrow as pa
+
+    return pa.array(encoder(path).tokens, pa.string())
+
+
 def _encode_texts(path: str):
     @F.arrow_udf("array<int>")
     def encode_texts(texts):
@@ -342,15 +356,18 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode_ids(lists):
         import pyarrow as pa
-
-        tokens = encoder(path).tokens
-        known = range(len(tokens))
-        out = []
-        for x in lists.to_pylist():
-            try:
-                out.append(x if x is None else " ".join([tokens[i] for i in x]))
-            except (IndexError, TypeError):
-                out.append(" ".join([tokens[i] for i in x if i is not None and i in known]))
-        return pa.array(out, pa.string())
+        import pyarrow.compute as pc
+
+        tokens = _token_column(path)
+        values, offsets = lists.values, lists.offsets
+        known = pc.and_kleene(pc.greater_equal(values, 0), pc.less(values, len(tokens)))
+        if pc.all(known, skip_nulls=False, min_count=0).as_py():
+            texts = pc.binary_join(pa.ListArray.from_arrays(offsets, tokens.take(values)), " ")
+            return pc.if_else(lists.is_valid(), texts, None)
+        names = tokens.to_pylist()
+        return pa.array(
+            [x if x is None else " ".join([names[i] for i in x if i is not None and 0 <= i < len(names)]) for x in lists.to_pylist()],
+            pa.string(),
+        )
 
     return decode_ids(ids)

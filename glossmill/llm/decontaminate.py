@@ -27,14 +27,20 @@ _BASE = 0x9E3779B97F4A7C15
 _FOUND = "array<struct<item:bigint,coverage:double,n_tiles:int,matched_words:int,longest:int>>"
 
 
-def _powers(n: int):
-    """Powers of the base modulo 2**64, and of its inverse."""
+_powers: list = []
+
+
+def _powers_up_to(n: int):
+    """Powers of the base modulo 2**64 and of its inverse, ``n`` at least; kept, and made longer by doubling."""
     import numpy as np
 
-    inverse = pow(_BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        ones = np.ones(1, np.uint64)
-        return tuple(np.cumprod(np.concatenate([ones, np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(10, n.bit_length())
+        _powers[:] = [
+            np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
+            for b in (_BASE, pow(_BASE, -1, 1 << 64))
+        ]
+    return _powers
 
 
 class Rolling:
@@ -44,9 +50,9 @@ class Rolling:
         import numpy as np
 
         self.n = len(ids)
-        power, self.inverse = _powers(self.n)
-        terms = ids.astype(np.uint64) * power[: self.n]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        power, self.inverse = _powers_up_to(self.n)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(ids.astype(np.uint64) * power[: self.n], out=self.sums[1:])
 
     def windows(self, size: int):
         last = self.n - size + 1
@@ -136,17 +142,19 @@ class Index:
         ids = np.array([number(w, 0) for w in byte_words(text)], np.int64)
         if not len(ids) or not len(self.seeds):
             return
-        rolling, known = None, np.concatenate([[0], np.cumsum(ids == 0)])
+        rolling, unknown = None, np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(ids == 0, out=unknown[1:])
         hits: dict[int, list[tuple[int, int, int]]] = {}
         for size in self.sizes:
             if size > len(ids):
                 break
-            places = np.flatnonzero(known[size:] == known[:-size])
+            places = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(places):
                 continue
             rolling = rolling or Rolling(ids)
             prints = rolling.windows(size)[places]
-            seen = np.isin(prints, self.seeds)
+            nearest = np.minimum(np.searchsorted(self.seeds, prints), len(self.seeds) - 1)
+            seen = self.seeds[nearest] == prints
             for place, print_ in zip(places[seen].tolist(), prints[seen].tolist()):
                 for at in self.owners[print_]:
                     if self.items[at][1] == size:

@@ -14,7 +14,6 @@ import operator
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +38,28 @@ BARS = {
 }
 
 
-@lru_cache(maxsize=200_000)
+_ENDINGS = ".,;:!?#*$%&|"
+
+
 def _shape(word: str) -> tuple[str, int, bool]:
     """A word with its runs of letters and digits as one sign each; how many others it has; whether it shouts."""
+    core = word.rstrip(_ENDINGS)
+    end = word[len(core) :]
+    if core.isalpha():
+        kind = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[1:].islower() else None
+        if kind:
+            return kind + end, len(end), kind == "A" and len(core) > 1
     out, letters = [], 0
-    for c in word:
+    for c in core:
         kind = c
         if c.isalpha():
-            letters += 1
             kind = "A" if c.isupper() else "a"
         elif c.isnumeric():
-            letters += 1
             kind = "0"
+        letters += kind is not c or c in "Aa0"
         if kind not in "Aa0" or out[-1:] != [kind]:
             out.append(kind)
-    return "".join(out), len(word) - letters, len(word) > 1 and word.isupper()
+    return "".join(out) + end, len(word) - letters, len(core) > 1 and core.isupper()
 
 
 @dataclass(frozen=True)
@@ -73,7 +79,7 @@ def look(text: str | None) -> Look:
     counts, shapes = Counter(words), Counter()
     signs = size = shouted = bare = 0
     for word, k in counts.items():
-        shape, other, shouts = _shape(word) if len(word) < 100 else (f"{len(word)}", 0, False)
+        shape, other, shouts = _shape(word)
         shapes[shape] += k
         signs += other * k
         size += len(word) * k
@@ -208,7 +214,7 @@ def train(df: DataFrame, model: LabelModel, text: str = "text", rows: int = FIT_
     # Each class weighs the same, or the rarer would hardly be learned.
     weight = np.where(y >= 0.5, 0.5 / max((y >= 0.5).sum(), 1), 0.5 / max((y < 0.5).sum(), 1)).astype(np.float32)
     w, speed = np.zeros(WIDTH + 1, np.float32), np.zeros(WIDTH + 1, np.float32)
-    for _ in range(400):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ ((p - y) * weight) + 1e-4 * w
         speed = 0.9 * speed - grad.astype(np.float32)
