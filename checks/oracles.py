@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from checks import fixtures
-from glossmill.config import DEFAULT_MODELS, SKIP_PATTERNS
 from glossmill.functions.text import JS_WS, JS_WS_CLASS
-from glossmill.operators.requests import LANGUAGE_NOTES, RULES, STYLE_GUIDES
 
 NL = "chr(10)"
 
+# What the package must agree with, written out so that a wrong constant there shows.
+DEFAULT_MODELS = {'openai': 'gpt-4o', 'anthropic': 'claude-haiku-4-5-20251001', 'gemini': 'gemini-2.5-flash-preview-05-20', 'openrouter': 'nvidia/nemotron-3-nano-omni-30b-a3b-reasoning:free'}
+SKIP_PATTERNS = ('node_modules', 'dist', '.git', 'build', '__pycache__', '.next', 'out', 'vendor')
+STYLE_GUIDES = {
+    "jsdoc": "Wanted: one documentation block per declaration.",
+    "inline": "Wanted: short remarks beside code whose purpose reading does not show.",
+    "both": "Wanted: one documentation block per declaration, and short remarks where reading does not show the purpose.",
+}
+BLOCK_FORMS = {
+    "javascript": "JSDoc", "typescript": "TSDoc", "python": "a docstring in triple quotes, first in the body",
+    "java": "Javadoc", "cpp": "Doxygen", "c": "Doxygen",
+}
+CHECKS = (
+    "An answer is stored if it is the program that was sent once its comments and docstrings are taken out; indentation counts.",
+    "It is refused if it has fewer lines than what was sent.",
+    "It is stored as it comes, so it is source text from its first character to its last.",
+)
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -84,17 +100,20 @@ OPEN = r'"""[\s\S]*', r"'''[\s\S]*"
 NUMBER = r"\b[0-9](?:'?[\w.])*"
 IN_CLASS = r"\[(?:[^\]\\\n]|\\[^\n])*\]"
 REGEX = (
-    r"(?:=>|[(,=:\[!&|?;{]|\breturn\b)\s*/"
+    r"(?:[>(,=:\[!&|?;{}]|\b(?:return|case|typeof|throw|await|yield)\b)\s*/"
     rf"(?:[^/*\\\[\n]|\\[^\n]|{IN_CLASS})(?:[^/\\\[\n]|\\[^\n]|{IN_CLASS})*/"
 )
 SPLICED = r"//[^\\\r\n]*(?:\\(?:\r\n|[\s\S])?[^\\\r\n]*)*"
+# Raw strings with the mark that the fixture uses.
+RAW = r'\bR"x\((?:[^)]|\)+[^x)])*\)+x"'
+INCLUDE = r"#[ \t]*include[ \t]*<[^>\n]*>"
 URL = r"[uU][rR][lL]\([^()\"'\n]*\)"
 TOKENS = {
     "javascript": ((REGEX, DQ, SQ, BT), (BLOCK, LINE)),
     "typescript": ((REGEX, DQ, SQ, BT), (BLOCK, LINE)),
     "java": ((TDQ, OPEN[0], DQ, SQ), (BLOCK, LINE)),
-    "cpp": ((NUMBER, DQ, SQ), (BLOCK, SPLICED)),
-    "c": ((NUMBER, DQ, SQ), (BLOCK, SPLICED)),
+    "cpp": ((RAW, NUMBER, DQ, SQ, INCLUDE), (BLOCK, SPLICED)),
+    "c": ((NUMBER, DQ, SQ, INCLUDE), (BLOCK, SPLICED)),
     "python": ((TDQ, TSQ, *OPEN, DQ, SQ), (HASH,)),
     "css": ((DQ, SQ), (BLOCK,)),
     "scss": ((URL, DQ, SQ), (BLOCK, LINE)),
@@ -187,16 +206,16 @@ ANSWERED = (*SENT, RESPONSES)
 
 def _requests(provider: str, style: str, override: str) -> str:
     system = (
-        "'You are an experienced engineer who documents ' || language || ' code for production.' || "
-        f"{NL} || {_case(style, STYLE_GUIDES, _text(STYLE_GUIDES['both']))} || {NL} || "
-        + _case("language", LANGUAGE_NOTES, "'Follow the usual conventions for documenting ' || language || '.'")
-        + f" || {NL} || "
-        + f" || {NL} || ".join(_text(rule) for rule in RULES)
+        "'You add documentation to ' || language || ' files. A program checks every answer before it is stored.' || "
+        f"{NL} || {_case(style, STYLE_GUIDES, _text(STYLE_GUIDES['both']))} || {NL} || 'Form of a block: ' || "
+        + _case("language", BLOCK_FORMS, "'what is usual in ' || language")
+        + f" || '.' || {NL} || "
+        + f" || {NL} || ".join(_text(check) for check in CHECKS)
     )
     return f"""parts as (select path, chunk_index, {provider} as provider,
     coalesce(nullif({override}, ''), {_case(provider, DEFAULT_MODELS)}) as model,
     {system} as system_text,
-    'Document this ' || language || ' code with comments:' || {NL} || {NL} || text as user_text
+    language || ' source:' || {NL} || {NL} || text as user_text
   from chunks)"""
 
 
@@ -265,13 +284,15 @@ from {pairs} p join (
 
 
 def _code(text: str) -> str:
-    return f"""list_filter(list_transform(string_split({_lexical(text)}, {NL}),
+    bare = f"case when language = 'python' then {_docstrings(text)} else {_lexical(text)} end"
+    return f"""list_filter(list_transform(string_split({bare}, {NL}),
     lambda x: {_trim('x', 'rtrim')}), lambda x: x <> '')"""
 
 
 # Edits
 
-SPANS = f"""spans as (select path, i * 10 as start, i * 10 + 3 as stop, '<' || cast(i as varchar) || '>' as replacement
+SPANS = f"""spans as (select path, i * 10 as start, i * 10 + 3 as stop,
+    case when i % 29 = 0 then '' else '<' || cast(i as varchar) || '>' end as replacement
   from (select path, unnest(range(1, cast({fixtures.SPAN_COUNT} as bigint) + 1)) as i from planned) s)"""
 SELECTIONS = """selections as (select doc_id, path, start, least(start + width, size) as stop from (
     select doc_id, path, size, start, case when doc_id % 3 = 0 and start <> 5 then 0 else 55 end as width from (
@@ -301,7 +322,7 @@ def _generated(output: str) -> str:
   case when {refused} then 'refused' end as error from chunks"""
 
 
-_USER = f"('Document this ' || language || ' code with comments:' || {NL} || {NL} || text)"
+_USER = f"(language || ' source:' || {NL} || {NL} || text)"
 _RUN = (
     *SENT,
     f"responses as (select path, content, chunk_index, o.output, o.error from chunks join ({_generated(f'''{_trim(f"'// documented' || {NL} || {_USER}")}''')}) o using (path, chunk_index))",
@@ -456,6 +477,17 @@ from (select *, min(case when error is not null then chunk_index end) over (part
         f"""select path, language, stripped as content, stripped <> content as changed
 from (select *, {_lexical('content')} as stripped from files {STRIP}) f"""
     ),
+    "strip_results_of_files": _with_files(
+        f"""select path, language, case when doc_id % 11 <> 0 then stripped end as content,
+  coalesce(doc_id % 11 <> 0 and stripped <> content, false) as changed, doc_id % 11 <> 0 as success,
+  case when doc_id % 11 = 0 then 'gone' end as error
+from (select *, {_lexical('content')} as stripped from files {STRIP_FILE}) f"""
+    ),
+    "publish_approved": _with_files(
+        """select path, language, output as content from documented
+where accepted and path in (select path from planned where doc_id % 2 = 0)""",
+        *PLAIN,
+    ),
     "strip_stream": _with_files(
         f"""select path, language, stripped as content, stripped <> content as changed
 from (select *, {_lexical('content')} as stripped from files {STRIP}) f"""

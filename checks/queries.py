@@ -22,9 +22,9 @@ from glossmill.functions.text import (
 from glossmill.operators import chunks as chunking
 from glossmill.operators import edits, requests, responses, review, select, summary
 from glossmill.plans import document
-from glossmill.plans.strip import strip_corpus
+from glossmill.plans.strip import strip_corpus, strip_results
 from glossmill.sources import sinks, tree
-from glossmill.sources.tables import source_files, spread
+from glossmill.sources.tables import source_files
 from glossmill.sources.workspace import keep, work_dir
 from glossmill.streaming.strip import strip_arriving
 
@@ -33,7 +33,7 @@ GLOBS = ("node_mod*", "d?st", "src1", "{src7,src8}", "repo/src[23]")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +303,8 @@ def _spans(files: DataFrame) -> DataFrame:
         "path",
         (F.col("i") * 10).alias("start"),
         (F.col("i") * 10 + 3).alias("end"),
-        F.concat(F.lit("<"), F.col("i").cast("string"), F.lit(">")).alias("replacement"),
+        # One span in 29 has no replacement.
+        F.when(F.col("i") % 29 != 0, F.concat(F.lit("<"), F.col("i").cast("string"), F.lit(">"))).alias("replacement"),
     )
 
 
@@ -391,6 +392,21 @@ def strip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_corpus(_files(spark, sf_dir))
 
 
+def strip_results_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh file could not be read."""
+    unread = F.col("doc_id") % 11 == 0
+    files = _files(spark, sf_dir).withColumn("read_error", F.when(unread, "gone"))
+    return strip_results(files.withColumn("content", F.when(~unread, F.col("content"))), scope="strip_file")
+
+
+def publish_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted outputs of the files that were approved, written and read back."""
+    target = work_dir(spark, "published")
+    approvals = _planned(spark, sf_dir).where("doc_id % 2 = 0").select("path")
+    document.publish(document_corpus(spark, sf_dir), approvals, target)
+    return spark.read.parquet(target).select("path", F.col("language").cast("string"), "content")
+
+
 def strip_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``strip_files`` over files that arrive on a stream."""
     landing, target = work_dir(spark, "landing"), work_dir(spark, "stripped")
@@ -412,6 +428,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         generate_batch, document_corpus, document_corpus_edges, review_corpus, document_run,
         apply_spans, selection_extract, selection_replace, selection_requests, document_selections,
         length_guard, review_changes, review_stripped, preservation_audit,
-        run_summary, strip_files, strip_stream,
+        run_summary, strip_files, strip_results_of_files, publish_approved, strip_stream,
     )
 }

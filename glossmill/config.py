@@ -35,7 +35,7 @@ class JobConfig:
     ``min_lines`` is the least number of lines of every chunk but a file's last;
     a chunk grows until a declaration follows a blank line, so it has no upper
     bound. ``generate_partitions`` bounds how many model calls run side by side
-    (``None`` leaves it to the session). ``max_files`` caps the ordered listing.
+    (``None`` leaves it to the session).
     """
 
     provider: str = "openai"
@@ -45,7 +45,6 @@ class JobConfig:
     skip_patterns: tuple[str, ...] = SKIP_PATTERNS
     review: bool = True
     generate_partitions: int | None = None
-    max_files: int | None = None
     guard_ratio: float | None = FILE_RATIO
     per_chunk_fences: bool = False
     preserve_edges: bool = False

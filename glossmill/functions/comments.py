@@ -28,15 +28,38 @@ TRIPLE_DOUBLE = r'"""[^"\\]*+(?:(?:\\(?s:.)|"(?!""))[^"\\]*+)*+"""'
 TRIPLE_SINGLE = r"'''[^'\\]*+(?:(?:\\(?s:.)|'(?!''))[^'\\]*+)*+'''"
 TRIPLE_DOUBLE_OPEN = r'"""(?s:.)*+'
 TRIPLE_SINGLE_OPEN = r"'''(?s:.)*+"
-# C++ raw strings, closed and not, and the quote between the digits of a number.
+# Templates, with templates inside their holes and holes inside those.
+_PLAIN = r"`[^`\\$]*+(?:(?:\\(?s:.)|\$(?!\{))[^`\\$]*+)*+`"
+
+
+def _hole(inner: str) -> str:
+    return rf"\$\{{(?:[^{{}}`\"']++|{DOUBLE}|{SINGLE}|{inner}|\{{[^{{}}]*+\}})*+\}}"
+
+
+def _template(inner: str) -> str:
+    return rf"`(?:[^`\\$]++|\\(?s:.)|{_hole(inner)}|\$)*+`"
+
+
+TEMPLATE = _template(_template(_PLAIN))
+# Python f-strings, whose holes may hold the quote that they stand in.
+_FIELD = rf"\{{(?:[^{{}}\"'\n\\]++|{DOUBLE}|{SINGLE}|\{{[^{{}}\n]*+\}})*+\}}"
+F_MARK = r"(?<=(?<!\w)(?:[fF]|[rR][fF]|[fF][rR]))"
+F_DOUBLE = rf'{F_MARK}"(?:[^"\\{{\n]++|\\(?s:.)|\{{\{{|{_FIELD})*+"'
+F_SINGLE = rf"{F_MARK}'(?:[^'\\{{\n]++|\\(?s:.)|\{{\{{|{_FIELD})*+'"
+# C++ raw strings, closed and not; numbers, which may hold quotes; names of headers.
 RAW_STRING = r'"(?<=(?<!\w)(?:u8|[uUL])?R")(?<mark>[^()\\\s"]{0,16})\((?s:.)*?\)\k<mark>"'
 RAW_STRING_OPEN = r'"(?<=(?<!\w)(?:u8|[uUL])?R")[^()\\\s"]{0,16}\((?s:.)*+'
-DIGIT_QUOTE = r"'(?=\w)(?<=(?<!\w)[0-9][\w.']{0,99}')"
-# A slash after an opening or joining sign starts a regex literal, not a division.
-REGEX = (
-    r"/(?![*/])(?<=(?:=>|[(,=:\[!&|?;{]|(?<!\w)return)\s{0,99}/)[^/\\\[\n]*+"
+NUMBER = r"(?<!\w)[0-9][\w.]*+(?:'[\w.]++)*+"
+INCLUDE = r"#[ \t]*+include[ \t]*+<[^>\n]*+>"
+# A slash after an opening or joining sign, or a word that an operand follows, starts
+# a regex literal, not a division; after a closing brace it may be either, and is kept.
+_REGEX = (
+    r"/(?![*/])[^/\\\[\n]*+"
     r"(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
 )
+REGEX = rf"(?:[>(,=:\[!&|?;{{}}]|(?<!\w)(?:return|case|typeof|throw|await|yield)|\A)\s*+{_REGEX}"
+# An address in the text between tags.
+ADDRESS = r"(?<=\w)://[^\s<>\"'`]*+"
 # An unquoted address holds slashes that open no comment.
 URL = r"(?<=[uU][rR][lL])\([^()\"'\n]*+\)"
 
@@ -50,14 +73,14 @@ HASH = r"#[^\r\n]*+"
 
 # Per language: what a token of interest starts with, the literals, the comments.
 LEXICONS = {
-    "javascript": ("\"'`/", (REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
-    "typescript": ("\"'`/", (REGEX, DOUBLE, SINGLE, BACKTICK), (BLOCK, LINE)),
+    "javascript": (r"\"'`/>(,=:\[!\&|?;{}rctay", (ADDRESS, REGEX, DOUBLE, SINGLE, TEMPLATE, BACKTICK), (BLOCK, LINE)),
+    "typescript": (r"\"'`/>(,=:\[!\&|?;{}rctay", (ADDRESS, REGEX, DOUBLE, SINGLE, TEMPLATE, BACKTICK), (BLOCK, LINE)),
     "java": ("\"'/", (TRIPLE_DOUBLE, TRIPLE_DOUBLE_OPEN, DOUBLE, SINGLE), (BLOCK, LINE)),
-    "cpp": ("\"'/", (RAW_STRING, RAW_STRING_OPEN, DOUBLE, DIGIT_QUOTE, SINGLE), (BLOCK, SPLICED_LINE)),
-    "c": ("\"'/", (DOUBLE, DIGIT_QUOTE, SINGLE), (BLOCK, SPLICED_LINE)),
+    "cpp": ("\"'/#0-9", (RAW_STRING, RAW_STRING_OPEN, DOUBLE, NUMBER, SINGLE, INCLUDE), (BLOCK, SPLICED_LINE)),
+    "c": ("\"'/#0-9", (DOUBLE, NUMBER, SINGLE, INCLUDE), (BLOCK, SPLICED_LINE)),
     "python": (
         "\"'#",
-        (TRIPLE_DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE_OPEN, TRIPLE_SINGLE_OPEN, DOUBLE, SINGLE),
+        (TRIPLE_DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE_OPEN, TRIPLE_SINGLE_OPEN, F_DOUBLE, F_SINGLE, DOUBLE, SINGLE),
         (HASH,),
     ),
     "css": ("\"'/", (DOUBLE, SINGLE), (BLOCK,)),

@@ -95,8 +95,10 @@ def chunk_edges(files: DataFrame, min_lines: int, edges: bool) -> DataFrame:
 def deal(pieces: DataFrame, partitions: int | None = None) -> DataFrame:
     """Deal chunk rows out one by one, so that the chunks of a very long file do
     not stay in one task. Before requests are built: they repeat the text."""
-    keys = ("path", "chunk_index")
-    return pieces.repartition(partitions, *keys) if partitions else pieces.repartition(*keys)
+    spark = pieces.sparkSession
+    # A number of its own: without one, adaptive execution puts small rows into a few tasks, but a call costs seconds.
+    usual = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pieces.repartition(partitions or usual, "path", "chunk_index")
 
 
 def rejoin(pieces: DataFrame, column: str = "text") -> DataFrame:

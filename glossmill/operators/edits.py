@@ -37,14 +37,15 @@ def apply_spans(
 ) -> DataFrame:
     """``(path, content, n_spans, applied)``: every span replaced by its text.
 
-    Equal spans are one edit. A file with spans that overlap or leave the text is
-    not edited but marked ``applied = false``; one without spans stays as it is.
+    Equal spans are one edit, and a null replacement is an empty one. A file with
+    spans that overlap, leave the text or have no start or end is not edited but marked ``applied = false``; one without spans stays as it is.
     ``accept`` judges a span by the text it covers and its replacement; a span it
     turns down is left out. Files are shuffled once. A group of spans is one
     file's, and its result one row.
     """
+    replacement = F.coalesce("replacement", F.lit("")).alias("replacement")
     grouped = spans.groupBy("path").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end", "replacement"))).alias("spans")
+        F.array_sort(F.collect_set(F.struct("start", "end", replacement))).alias("spans")
     )
     cut = (
         files.select("path", "content")
@@ -77,7 +78,8 @@ def apply_spans(
 
     def misplaced(edit: Column) -> Column:
         span = edit["span"]
-        return (span["start"] < edit["after"]) | (span["end"] < span["start"]) | (span["end"] > F.col("size"))
+        wrong = (span["start"] < edit["after"]) | (span["end"] < span["start"]) | (span["end"] > F.col("size"))
+        return F.coalesce(wrong, F.lit(True))
 
     def piece(edit: Column) -> Column:
         span = edit["span"]

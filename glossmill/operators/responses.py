@@ -75,7 +75,11 @@ def file_results(responses: DataFrame) -> DataFrame:
     """``(path, success, error)``: one failed chunk fails its file, the first
     failed chunk's message stands for it."""
     failed = F.col("error").isNotNull()
-    return responses.groupBy("path").agg(
+    # A chunk has failed if no response to it is an answer.
+    tried = responses.groupBy("path", "chunk_index").agg(
+        F.when(F.bool_and(failed), F.min("error")).alias("error")
+    )
+    return tried.groupBy("path").agg(
         F.bool_and(~failed).alias("success"),
         F.min_by("error", F.when(failed, F.col("chunk_index"))).alias("error"),
     )
@@ -84,12 +88,17 @@ def file_results(responses: DataFrame) -> DataFrame:
 def gather(responses: DataFrame) -> DataFrame:
     """``(path, answers)``, a file's responses in chunk order.
 
-    A set, so copies of one response collapse before the shuffle and a group
-    never outgrows its file.
+    A set, so copies of one response collapse before the shuffle. Of several
+    responses to one chunk an answer comes before an error, then the least text.
     """
-    return responses.groupBy("path").agg(
-        F.array_sort(F.collect_set(F.struct("chunk_index", "output", "error"))).alias("answers")
-    )
+    response = F.struct("chunk_index", F.col("error").isNotNull().alias("failed"), "output", "error")
+    grouped = responses.groupBy("path").agg(F.array_sort(F.collect_set(response)).alias("answers"))
+
+    def first_of_chunk(answer: Column, index: Column) -> Column:
+        before = F.get(F.col("answers"), index - 1)["chunk_index"]
+        return (index == 0) | (before != answer["chunk_index"])
+
+    return grouped.withColumn("answers", F.filter("answers", first_of_chunk))
 
 
 def assemble(files: DataFrame, responses: DataFrame, config: JobConfig, *keep: str) -> DataFrame:

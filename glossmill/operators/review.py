@@ -90,11 +90,14 @@ def _code_text(bare: Column) -> Column:
 def preservation_audit(pairs: DataFrame) -> DataFrame:
     """Adds ``code_kept``, ``lines_kept`` and their conjunction ``preserved`` to
     ``(language, before, after)`` rows: a documented text must hold the same code,
-    comments, blank lines and space at line ends apart, and at least as many lines.
+    comments, docstrings, blank lines and space at line ends apart, and at least as many lines.
     """
     before, after, language = F.col("before"), F.col("after"), F.col("language")
     bare = pairs.withColumns(
-        {"bare_before": strip_comments(before, language), "bare_after": strip_comments(after, language)}
+        {
+            "bare_before": strip_comments(before, language, docstrings=True),
+            "bare_after": strip_comments(after, language, docstrings=True),
+        }
     )
     # Most documented texts are the same once stripped, and need no second look.
     bare_before, bare_after = F.col("bare_before"), F.col("bare_after")

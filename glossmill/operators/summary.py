@@ -13,8 +13,9 @@ def run_summary(results: DataFrame, first: int = 5) -> DataFrame:
     The failures are cut to ``first`` by a top-k before they are gathered, so
     they stay few however many files failed.
     """
-    failures = results.where(~F.col("success") & (F.col("error") != "")).select(
-        F.col("path").alias("failed_path"), F.concat_ws(": ", "path", "error").alias("message")
+    reason = F.coalesce(F.nullif("error", F.lit("")), F.lit("unknown error"))
+    failures = results.where(~F.col("success")).select(
+        F.col("path").alias("failed_path"), F.concat_ws(": ", "path", reason).alias("message")
     )
     top = failures.orderBy("failed_path", "message").limit(first)
     messages = top.agg(

@@ -14,21 +14,20 @@ from glossmill.operators.chunks import chunks, deal
 from glossmill.operators.edits import apply_spans, extract_selections
 from glossmill.operators.requests import build_requests
 from glossmill.operators.responses import assemble, generate, normalise_output
-from glossmill.operators.review import long_enough, review
-from glossmill.operators.select import not_blank, ordered, select_files
+from glossmill.operators.review import line_changes, long_enough, review
+from glossmill.operators.select import not_blank, select_files
 from glossmill.operators.summary import run_summary
 from glossmill.sources.sinks import write_table
 from glossmill.sources.tables import source_files
 from glossmill.sources.workspace import keep
 
 
+CHANGES = ("lines_added", "lines_removed", "changed")
+
+
 def plan_files(files: DataFrame, config: JobConfig = JobConfig()) -> DataFrame:
     """The files of ``(path, content | raw)`` a run documents."""
-    chosen = select_files(source_files(files), "generate", config.skip_patterns)
-    if config.max_files is None:
-        return chosen
-    # Only paths go through the top-k; it gathers its rows in one task.
-    return chosen.join(ordered(chosen.select("path"), config.max_files), "path", "left_semi")
+    return select_files(source_files(files), "generate", config.skip_patterns)
 
 
 def corpus_requests(planned: DataFrame, config: JobConfig = JobConfig()) -> DataFrame:
@@ -63,7 +62,7 @@ def run_corpus(
     files: DataFrame, answer: Callable[[Any], Any], target: str, config: JobConfig = JobConfig()
 ) -> DataFrame:
     """The whole run. Writes ``target/files`` and, if the config asks for it,
-    ``target/review``; returns the one-row summary.
+    ``target/review``, the line counts of accepted files; returns the one-row summary.
 
     Responses are written before they are used, so no retry calls the model
     twice, and every later step reads the written files.
@@ -72,14 +71,35 @@ def run_corpus(
     planned = plan_files(files, config)
     dealt = deal(_corpus_chunks(planned, config), config.generate_partitions)
     responses = keep(generate(build_requests(dealt, config), answer), "responses")
-    source = ("content",) if config.review else ()
-    write_table(assemble(planned, responses, config, *source), f"{target}/files")
+    if config.review:
+        assembled = _with_changes(assemble(planned, responses, config, "content"))
+    else:
+        assembled = assemble(planned, responses, config)
+    write_table(assembled, f"{target}/files")
     done = spark.read.parquet(f"{target}/files")
     if config.review:
-        _changes(done).write.parquet(f"{target}/review")
+        done.where("accepted").select("path", *CHANGES).write.parquet(f"{target}/review")
     return run_summary(done)
 
 
+def _with_changes(done: DataFrame) -> DataFrame:
+    """Line counts in place of the source text, which is not stored again."""
+    counted = done.withColumn("changes", F.when(F.col("accepted"), line_changes(F.col("content"), F.col("output"))))
+    return counted.select(
+        *(c for c in done.columns if c != "content"),
+        "changes.lines_added",
+        "changes.lines_removed",
+        F.when(F.col("accepted"), ~F.col("content").eqNullSafe(F.col("output"))).alias("changed"),
+    )
+
+
+def publish(done: DataFrame, approvals: DataFrame, target: str) -> None:
+    """Write the accepted outputs of ``done`` that ``approvals`` names by ``path``,
+    as ``(path, language, content)`` by language, at a new place."""
+    approved = done.where("accepted").join(approvals.select("path").distinct(), "path", "left_semi")
+    write_table(approved.select("path", "language", F.col("output").alias("content")), target)
+
+
 def selection_requests(
     files: DataFrame, selections: DataFrame, config: JobConfig = JobConfig()
 ) -> DataFrame:

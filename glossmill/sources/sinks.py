@@ -11,6 +11,13 @@ from glossmill.config import RESULTS
 from glossmill.sources.workspace import keep, root_opener
 
 
+def _in_use(system: Any, base: str) -> bool:
+    from pyarrow import fs
+
+    found = system.get_file_info(base).type
+    return found == fs.FileType.File or (found == fs.FileType.Directory and bool(system.get_file_info(fs.FileSelector(base))))
+
+
 def write_table(files: DataFrame, path: str) -> None:
     """Parquet by language, at a place that does not exist yet."""
     files.write.partitionBy("language").parquet(path)
@@ -19,13 +26,17 @@ def write_table(files: DataFrame, path: str) -> None:
 def write_tree(files: DataFrame, root: str) -> DataFrame:
     """Write ``(path, content)`` as files under ``root``; returns ``(path, success, error)``.
 
-    ``root`` is a folder or URI that every executor sees. Each file is written
+    ``root`` is a folder or URI that every executor sees, and is refused if it
+    holds anything. Each file is written
     under a name of its own and then moved into place, so a task that runs twice
     leaves whole files. The results are a written table: reading them does not
     write again.
     """
 
     open_root = root_opener(root)
+    system, base = open_root()
+    if _in_use(system, base):
+        raise FileExistsError(f"{root} already exists")
 
     def write(frames: Iterator[Any]) -> Iterator[Any]:
         import posixpath

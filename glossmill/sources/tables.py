@@ -15,12 +15,3 @@ def source_files(files: DataFrame, language_id: Column | None = None) -> DataFra
         files = files.withColumn("content", decode_utf8(F.col("raw"))).drop("raw")
     return files.withColumn("language", detect_language(F.col("path"), language_id))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer splits than the session has cores.
-
-    A file of one row group is one task however long its rows take. A large
-    input has splits enough, and is left alone: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -21,6 +21,8 @@ def work_dir(spark: SparkSession, label: str) -> str:
     context = spark.sparkContext
     base = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor sees")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="glossmill-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/glossmill-{label}-{uuid.uuid4().hex}"

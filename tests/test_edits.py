@@ -19,7 +19,7 @@ def edit(spark, texts, spans):
 
 
 def test_spans(spark):
-    texts = ["abcdef", "abc", "abc", "abc", "abc", "", "a\U0001f600b", "abc", "abc"]
+    texts = ["abcdef", "abc", "abc", "abc", "abc", "", "a\U0001f600b", "abc", "abc", "abc", "abc", "abc"]
     spans = [
         [(4, 5, ""), (1, 2, "")],
         [],
@@ -30,6 +30,9 @@ def test_spans(spark):
         [(1, 2, "é")],
         [(0, 1, "x"), (0, 1, "x")],
         [(0, 3, ""), (3, 3, "end")],
+        [(1, 2, None)],
+        [(0, 1, "x"), (2, None, "y")],
+        [(None, 1, "x")],
     ]
     assert edit(spark, texts, spans) == [
         ("acdf", 2, True),
@@ -41,6 +44,9 @@ def test_spans(spark):
         ("aéb", 1, True),
         ("xbc", 1, True),
         ("end", 2, True),
+        ("ac", 1, True),
+        ("abc", 2, False),
+        ("abc", 1, False),
     ]
 
 
@@ -116,6 +122,7 @@ def test_audit(spark):
         ("c", "\n\na;\n", "// d\n\na;\n"),
         ("c", "a; \u00a0\t\u3000\n \u2028 \n  b;", "a;\n\n  b;\r\n"),
         ("c", "a;\u00a0b;", "a; b;"),
+        ("python", "def f(a):\n    return a\n", 'def f(a):\n    """Return a."""\n    return a\n'),
         ("c", "a" + " " * 200_000 + "b" + "\u00a0" * 100_000 + "c", "x"),
     ]
     got = preservation_audit(spark.createDataFrame(rows, "language string, before string, after string")).collect()
@@ -128,5 +135,6 @@ def test_audit(spark):
         (True, True, True),
         (True, True, True),
         (False, True, False),
+        (True, True, True),
         (False, True, False),
     ]

@@ -87,12 +87,6 @@ def test_selections_shuffle_the_files_once(spark, files):
     assert text.count("ReadSchema: struct<path:string,content:string>") == 1
 
 
-def test_a_cap_sends_paths_through_the_top_k(files):
-    text = plan(document.plan_files(files, JobConfig(max_files=10)))
-    top = text[text.index("TakeOrderedAndProject") :]
-    assert "content" not in top.split("Parquet")[1].split("ReadSchema")[1].split(">")[0]
-
-
 def test_chunk_arrays_are_not_evaluated_per_element(files):
     """The array of chunks is a column when lambdas look into it."""
     text = plan(chunking.chunks(document.plan_files(files), 80))

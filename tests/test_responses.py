@@ -44,7 +44,7 @@ def test_prompt_parts(values):
     jsdoc, inline, both, unknown, css = (
         p.split("\n") for p in values(rows, "l string, s string", system_prompt(F.col("l"), F.col("s")))
     )
-    assert len(jsdoc) == 11 and len({jsdoc[1], inline[1], both[1]}) == 3 and unknown == both
+    assert len(jsdoc) == 6 and len({jsdoc[1], inline[1], both[1]}) == 3 and unknown == both
     assert "css" in css[0] and "css" in css[2] and css[3:] == jsdoc[3:]
 
 

@@ -142,6 +142,14 @@ LEXICAL_CASES = [
     ("css", "a { b: '/* no */' } /* yes */\n", "a { b: '/* no */' }\n"),
     ("scss", "a { b: url(http://x/y) } // c\n", "a { b: url(http://x/y) }\n"),
     ("html", "a<!-- b -->c", "ac\n"),
+    ("typescript", "<p>See https://x.y/z</p>; // c\n", "<p>See https://x.y/z</p>;\n"),
+    ("javascript", "t = `${b ? `http://x/${c}` : ''}`; // d\n", "t = `${b ? `http://x/${c}` : ''}`;\n"),
+    ("javascript", "case /\\/\\//.test(b): d(); // e\n", "case /\\/\\//.test(b): d();\n"),
+    ("javascript", "/\\/\\//.test(b); // e\n", "/\\/\\//.test(b);\n"),
+    ("python", 'x = f"{d["#k"]}" # c\n', 'x = f"{d["#k"]}"\n'),
+    ("c", "#include <a//b.h> // c\n", "#include <a//b.h>\n"),
+    *(("javascript", "x =" + " " * n + "/https?:\\/\\//.test(u); // c\n", "x =" + " " * n + "/https?:\\/\\//.test(u);\n") for n in (1, 10, 100, 10_000)),
+    *(("cpp", "x = 0x" + "a" * n + "'b + f('/*'); // it's\n", "x = 0x" + "a" * n + "'b + f('/*');\n") for n in (1, 10, 100, 10_000)),
 ]
 
 
