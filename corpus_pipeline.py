@@ -14,13 +14,9 @@ from glossmill.llm import decontaminate, queries, secret_scan, simhash, toxicity
 from glossmill.sources.workspace import keep
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the score from which a text is toxic; weights come from the labelled rows of ``docs``."""
-    model = queries.toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
     scored = docs.withColumn("__score", toxicity.score(F.col("text"), model))
     return scored.filter(F.col("__score") < queries.TOXIC_FROM).select(*docs.columns)
 
@@ -32,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ import heapq
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ LEAF_SYMBOLS = 48
 #: Tokens taken from either side of a join at first.
 WINDOW = 4
 #: Words and runs that a worker remembers; both memories start anew when full.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _NO_RANK = 1 << 60
 # White space that separates runs: the Unicode property. str.split() also takes
@@ -55,7 +55,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.path, tokenizer = path, Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -69,13 +69,6 @@ class Encoder:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"{path}: added tokens must match their text as it stands")
         self.added = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made: list[int] = []
-        for left, right in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.rank[self.vocab[left], self.vocab[right]] = len(self.made)
-            self.made.append(self.vocab[left + right])
-        self.parts = {made: pair for pair, made in zip(self.rank, self.made, strict=True)}
-        self.tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
         alphabet = {b: self.pre_tokenise(bytes([b]).decode())[0][0] for b in range(33, 127)}
         others = iter(range(256, 512))
         for b in range(256):
@@ -92,11 +85,23 @@ class Encoder:
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    @cached_property
+    def merges(self) -> tuple[dict[tuple[int, int], int], list[int], dict[int, tuple[int, int]]]:
+        """Ranks by pair, tokens by rank, pairs by token; only long words need them."""
+        with open(self.path, encoding="utf-8") as file:
+            pairs = json.load(file)["model"]["merges"]
+        rank, made = {}, []
+        for pair in pairs:
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            rank[self.vocab[left], self.vocab[right]] = len(made)
+            made.append(self.vocab[left + right])
+        return rank, made, dict(zip(made, rank, strict=True))
+
     def symbols(self, token: int) -> list[int]:
         """What a token was merged from."""
-        out, todo = [], [token]
+        out, todo, parts = [], [token], self.merges[2]
         while todo:
-            if pair := self.parts.get(token := todo.pop()):
+            if pair := parts.get(token := todo.pop()):
                 todo += pair[::-1]
             else:
                 out.append(token)
@@ -106,11 +111,12 @@ class Encoder:
         """Apply the merges, the lowest rank first and the leftmost of equals."""
         if len(symbols) > 4 * LEAF_SYMBOLS:
             return self._merge_long(symbols)
-        ids, rank = list(symbols), self.rank.get
+        rank, made, _ = self.merges
+        ids, rank = list(symbols), rank.get
         ranks = [rank(pair, _NO_RANK) for pair in zip(ids, ids[1:])]
         while ranks and (least := min(ranks)) != _NO_RANK:
             at = ranks.index(least)
-            ids[at : at + 2] = [self.made[least]]
+            ids[at : at + 2] = [made[least]]
             del ranks[at]
             if at:
                 ranks[at - 1] = rank((ids[at - 1], ids[at]), _NO_RANK)
@@ -120,7 +126,8 @@ class Encoder:
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """The same in n log n steps, for windows that have grown long."""
-        ids, rank, n = list(symbols), self.rank, len(symbols)
+        rank, made, _ = self.merges
+        ids, n = list(symbols), len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(rank[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in rank]
         heapq.heapify(queue)
@@ -129,7 +136,7 @@ class Encoder:
             right = after[at]
             if right >= n or (ids[at], ids[right]) != pair:
                 continue
-            ids[at], ids[right] = self.made[least], -1
+            ids[at], ids[right] = made[least], -1
             after[at] = after[right]
             if after[at] < n:
                 before[after[at]] = at
@@ -267,17 +274,46 @@ def _lists(buffers: list[bytes | None]):
 
 
 @lru_cache(maxsize=2)
-def _token_column(path: str):
+def _tokens(path: str):
+    """The tokens' texts by id, as an Arrow column."""
     import pyarrow as pa
 
-    return pa.array(encoder(path).tokens, pa.string())
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    by_id = {i: token for token, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
 
 
-def _encode_texts(path: str):
-    @F.arrow_udf("array<int>")
+def _decode(lists, path: str):
+    """An Arrow column of id lists as texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens, values = _tokens(path), lists.values
+    known = pc.and_kleene(pc.greater_equal(values, 0), pc.less(values, len(tokens)))
+    if pc.all(known, skip_nulls=False, min_count=0).as_py():
+        texts = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, tokens.take(values)), " ")
+        return pc.if_else(lists.is_valid(), texts, None)
+    names = tokens.to_pylist()
+    ids = lists.to_pylist()
+    return pa.array([x if x is None else " ".join([names[i] for i in x if i is not None and 0 <= i < len(names)]) for x in ids], pa.string())
+
+
+def _coded(lists, path: str):
+    import pyarrow as pa
+
+    return pa.StructArray.from_arrays([lists, _decode(lists, path)], ["ids", "decoded"])
+
+
+_CODED = "struct<ids:array<int>,decoded:string>"
+
+
+def _encode_texts(path: str, decoded: bool):
+    @F.arrow_udf(_CODED if decoded else "array<int>")
     def encode_texts(texts):
         own = encoder(path)
-        return _lists([own.encode(t or "") for t in texts.to_pylist()])
+        lists = _lists([own.encode(t or "") for t in texts.to_pylist()])
+        return _coded(lists, path) if decoded else lists
 
     # So that the optimizer never encodes again for each use of the ids.
     return encode_texts.asNondeterministic()
@@ -311,39 +347,43 @@ def _encode_leaves(path: str):
     return encode_leaves
 
 
-def _join_leaves(path: str):
-    @F.arrow_udf("array<int>")
+def _join_leaves(path: str, decoded: bool):
+    @F.arrow_udf(_CODED if decoded else "array<int>")
     def join_leaves(leaves):
         own = encoder(path)
-        return _lists([array("i", own.concatenate(x)).tobytes() for x in leaves.to_pylist()])
+        lists = _lists([array("i", own.concatenate(x)).tobytes() for x in leaves.to_pylist()])
+        return _coded(lists, path) if decoded else lists
 
-    return join_leaves
+    return join_leaves.asNondeterministic()
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Add the token ids of every whole text; a column of that name is replaced.
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """Add the token ids of every whole text and, if a name is given, the text ``decoded`` from them.
 
-    ``path`` is a vocabulary file that every executor can open. A null text gives
-    no ids, as an empty one; other columns, repeated rows and null keys pass through.
+    Columns of these names are replaced. ``path`` is a vocabulary file that every
+    executor can open. A null text gives no ids, as an empty one; other columns,
+    repeated rows and null keys pass through.
     Texts of up to ``leaf_chars`` code points stay where they are. Longer ones are
     cut into leaves, which are dealt out singly, each once however many copies the
     text has; a text's ids meet again in the row that holds them. This part runs at
     once, and its ids are a written table.
     """
-    df = df.drop(ids)
+    added = [ids] if decoded is None else [ids, decoded]
+    df = df.drop(*added)
+    columns, key, coded = df.columns, "__key", "__coded"
+    values = [F.col(coded).alias(ids)] if decoded is None else [F.col(f"{coded}.ids").alias(ids), F.col(f"{coded}.decoded").alias(decoded)]
     is_long = F.coalesce(F.length(text), F.lit(0)) > leaf_chars
-    short = df.filter(~is_long).withColumn(ids, _encode_texts(path)(F.col(text)))
-    key = f"__key_{ids}"
+    short = df.filter(~is_long).withColumn(coded, _encode_texts(path, decoded is not None)(F.col(text))).select(*columns, *values)
     long = df.filter(is_long).withColumn(key, F.sha2(text, 256))
     leaves = long.select(key, F.explode(_cut_texts(path, leaf_chars)(F.col(text))).alias("cut")).select(key, "cut.*")
     encoded = leaves.dropDuplicates([key, "leaf"]).withColumn("ids", _encode_leaves(path)(F.col("text"), F.col("pieces")))
     joined = (
         encoded.groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("leaf", "open", "ids"))).alias("leaves"))
-        .select(key, _join_leaves(path)(F.col("leaves")).alias(ids))
+        .select(key, _join_leaves(path, decoded is not None)(F.col("leaves")).alias(coded))
     )
     # Written, so that a long text with many copies can be split as a skewed key.
-    return short.unionByName(long.join(keep(joined, "long-texts"), key).drop(key))
+    return short.unionByName(long.join(keep(joined, "long-texts"), key).select(*columns, *values))
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -355,19 +395,6 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode_ids(lists):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        tokens = _token_column(path)
-        values, offsets = lists.values, lists.offsets
-        known = pc.and_kleene(pc.greater_equal(values, 0), pc.less(values, len(tokens)))
-        if pc.all(known, skip_nulls=False, min_count=0).as_py():
-            texts = pc.binary_join(pa.ListArray.from_arrays(offsets, tokens.take(values)), " ")
-            return pc.if_else(lists.is_valid(), texts, None)
-        names = tokens.to_pylist()
-        return pa.array(
-            [x if x is None else " ".join([names[i] for i in x if i is not None and 0 <= i < len(names)]) for x in lists.to_pylist()],
-            pa.string(),
-        )
+        return _decode(lists, path)
 
     return decode_ids(ids)

@@ -14,9 +14,13 @@ TOKENIZER = "word_bpe_49k.json"
 #: A text is toxic from this score on.
 TOXIC_FROM = 0.3
 SHINGLE, MAX_BITS = 3, 3
+#: Rows that a Python worker holds at a time.
+BATCH_ROWS = 1_000
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Rows are whole texts, so Python workers get fewer of them at a time than is usual."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,8 +35,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
 
 def with_tokens(documents: DataFrame) -> DataFrame:
     """``ids`` and ``decoded`` of every text."""
-    path = public_tokenizers.path(TOKENIZER)
-    return bpe.encode(documents, path).withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return bpe.encode(documents, public_tokenizers.path(TOKENIZER), decoded="decoded")
 
 
 def token_digests(tokens: DataFrame) -> list[F.Column]:
@@ -44,29 +47,29 @@ def token_digests(tokens: DataFrame) -> list[F.Column]:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = with_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    tokens = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.select("doc_id", *token_digests(tokens))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
-    model = toxicity_model(documents, _table(spark, sf_dir, "labels"))
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity_model(documents, table(spark, sf_dir, "labels"))
     scored = documents.select("doc_id", toxicity.score(F.col("text"), model).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_model.classify(documents).select("doc_id", "weak", "score", "kept")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=SHINGLE, max_bits=MAX_BITS)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=SHINGLE, max_bits=MAX_BITS)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = _table(spark, sf_dir, "documents").select("doc_id", license_scan.scan(F.col("text")).alias("s"))
+    scanned = table(spark, sf_dir, "documents").select("doc_id", license_scan.scan(F.col("text")).alias("s"))
     names = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return scanned.select(
         "doc_id",
@@ -81,13 +84,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.judge(documents).select(*columns)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     root = warc.archive_folder(pages)
     records = warc.read_records(warc.write_archives(pages, root), root)
     is_response = F.col("record_type") == "response"
@@ -102,14 +105,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.leaks(documents, _table(spark, sf_dir, "benchmark"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(documents, table(spark, sf_dir, "benchmark"))
     leaks = found.select("doc_id", F.explode("leaks").alias("leak"))
     return leaks.select("doc_id", F.col("leak.item").alias("item_id"), "leak.coverage", "leak.n_tiles", "leak.matched_words", "leak.longest")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
     return found.select(
         "doc_id",
@@ -120,7 +123,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     weights = html_text.fit(pages)
     text = pages.select("page_id", "url", html_text.main_text(F.col("html"), weights).alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("bigint"))

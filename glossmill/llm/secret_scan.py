@@ -218,14 +218,21 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", rate: floa
     Texts without spans, null ones too, stay as they are.
     """
 
+    levels = bars(df.select(scan(F.col(text)).alias("found")), "found", rate)
+
     @F.arrow_udf("string")
-    def replaced(texts, spans):
+    def replaced(texts):
         import pyarrow as pa
 
         out = []
-        for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        for t in texts.to_pylist():
+            base = base_spans(t or "")
+            found = [(value, end) for _, _, end, value in base]
+            for start, end, level in tested_spans(t or "", base):
+                if level >= levels[sum(end - start >= s for s in STRATA) - 1]:
+                    found.append((start, end))
             merged: list[list[int]] = []
-            for start, end in sorted((s["value"], s["end"]) for s in found):
+            for start, end in sorted(found):
                 if merged and start <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], end)
                 else:
@@ -237,7 +244,4 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", rate: floa
             out.append("".join([*pieces, t[at:]]) if merged else t)
         return pa.array(out, pa.string())
 
-    scanned = df.withColumn("__found", scan(F.col(text)))
-    levels = bars(scanned, "__found", rate)
-    spans = scanned.withColumn("__spans", discovered(F.col("__found"), levels))
-    return spans.withColumn(text, replaced(F.col(text), F.col("__spans"))).select(*df.columns)
+    return df.withColumn(text, replaced(F.col(text)))
