@@ -1,0 +1,328 @@
+"""The training-text operators against brute force, round trips and held-out labels."""
+
+import hashlib
+import random
+import re
+from array import array
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from checks.compare import database, duck_rows, spark_rows
+from glossmill.llm import bpe, components, decontaminate, html_text, license_scan, oracles, quality_model, quality_rules, queries, secret_scan, simhash, toxicity, warc
+from glossmill.llm.words import byte_words
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path(queries.TOKENIZER)
+DOC = "doc_id bigint, text string, note string"
+# Nulls, empty and blank texts, ties, repeated rows, a very long text, a very long word, a null id.
+TEXTS = [None, "", " \n\t", "One two three.", "One two three.", "word " * 30_000, "a" * 30_000 + " b", "Ünïcode ΣΑΣ <|endoftext|> it's 12 ½", "x"]
+ROWS = [(i, t, "n") for i, t in enumerate(TEXTS)] + [(3, "One two three.", "n"), (None, "One two three.", "n"), (None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, DOC)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def key(row):
+    return tuple((v is None, str(v)) for v in row)
+
+
+def ids_of(text, library):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_bpe_tree_is_exact():
+    own, library, rng = bpe.encoder(PATH), Tokenizer.from_file(PATH), random.Random(1)
+    soups = ["aab'sre tn", "aaaaaaab", "thereinstionoued", "é­ΣσİßŸ½… Ａ漢\x1c\x85한"]
+    for n in range(400):
+        text = "".join(rng.choices(rng.choice(soups), k=rng.choice([1, 9, 70, 400])))
+        want = ids_of(text, library)
+        assert array("i", own.encode(text)).tolist() == want
+        leaves = own.cut(text, 7)
+        for leaf in leaves:
+            words = leaf["pieces"] or []
+            leaf["ids"] = array("i", own.encode(leaf["text"])).tolist() if leaf["text"] is not None else [i for w in words for i in own.tree(array("i", w).tolist())]
+        assert own.concatenate(leaves) == want
+
+
+def test_bpe_on_odd_rows(odd, none):
+    library = Tokenizer.from_file(PATH)
+    clashing = odd.withColumn("ids", F.lit("mine"))
+    got = bpe.encode(clashing, PATH, decoded="decoded", leaf_chars=1_000)
+    assert got.columns == ["doc_id", "text", "note", "ids", "decoded"]
+    rows = got.collect()
+    assert sorted((r[:3] for r in rows), key=key) == sorted(ROWS, key=key)
+    for r in rows:
+        assert r.ids == ids_of(r.text, library) and r.decoded == library.decode(r.ids, skip_special_tokens=False)
+    assert bpe.encode(none, PATH).count() == 0
+
+
+def test_decode_skips_what_it_does_not_know(spark):
+    df = spark.createDataFrame([([320, -1, 10**6],), (None,), ([],)], "ids array<int>")
+    assert [r[0] for r in df.select(bpe.decode(F.col("ids"), PATH)).collect()] == ["a</w>", None, ""]
+
+
+def plain_components(values):
+    label = list(range(len(values)))
+    for i, a in enumerate(values):
+        for j in range(i):
+            if bin(a ^ values[j]).count("1") <= 3:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_links_connect_what_is_near(spark):
+    rng = random.Random(2)
+    values = {rng.getrandbits(64) for _ in range(60)}
+    for v in list(values):
+        for _ in range(6):
+            v ^= sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 4)))
+            values.add(v)
+    values = sorted(values)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    prints = spark.createDataFrame(signed, "fingerprint bigint")
+    # Three to a key: larger ones go block by block.
+    for key_rows in (3, simhash.KEY_ROWS):
+        found = {r.node: r.root for r in components.components(simhash.links(prints, key_rows=key_rows), "a", "b").collect()}
+        got = [found.get(s, s) for (s,) in signed]
+        want = plain_components(values)
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(values)) for j in range(i))
+
+
+def test_near_duplicates_on_odd_rows(odd, none, documents):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(ROWS)
+    of = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert of[0].fingerprint == 0 and of[0].component_id == of[1].component_id == of[2].component_id == 0
+    assert of[4].component_id == 3 and {r.component_id for r in got if r.doc_id is None} == {0, 3}
+    kept = simhash.keep_one(odd).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({r.component_id for r in got})
+    assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+    nulls = odd.filter("doc_id is null").unionByName(odd.filter("doc_id = 8").withColumn("doc_id", F.lit(None).cast("bigint")))
+    assert simhash.keep_one(nulls).count() == 3
+    rows = simhash.near_duplicates(documents).collect()
+    prints = [r.fingerprint & (2**64 - 1) for r in rows]
+    label = plain_components(prints)
+    least = {c: min(r.doc_id for r, x in zip(rows, label) if x == c) for c in label}
+    assert [r.component_id for r in rows] == [least[c] for c in label]
+
+
+def test_toxicity(spark, odd, none, documents):
+    base = toxicity.Model()
+    measure = lambda t: toxicity.measure(t, base)[2]
+    assert measure("you are an idiot") > measure("an idiot") > measure('he said "idiot"') > measure("a nice day") == 0
+    assert measure("you are not an idiot") < measure("you are an idiot") and measure("i will kill you") > measure("kill time")
+    model = toxicity.fit(none.withColumn("toxic", F.lit(1)))
+    assert model.weights == base.weights
+    scores = [r[0] for r in odd.select(toxicity.score(F.col("text"), base)).collect()]
+    assert len(scores) == len(ROWS) and max(scores) < queries.TOXIC_FROM
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    # One label in twenty is wrong.
+    assert sum(r.predicted == r.toxic for r in rows) > 0.85 * len(rows)
+    assert not any(r.predicted and not r.toxic for r in rows)
+
+
+def test_quality_classifier(spark, odd, none):
+    good, bad = (1,) * 3, (-1, -1, 0)
+    model = quality_model.expectation_maximisation([(good, 90), (bad, 10)])
+    assert model.posterior(good) > 0.9 > 0.5 > model.posterior(bad)
+    assert quality_model.classify(odd.withColumn("score", F.lit("mine"))).count() == len(ROWS)
+    assert quality_model.classify(none).count() == 0
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op3_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert sum(r.kept == bool(r.quality) for r in rows) > 0.97 * len(rows)
+
+
+def test_licences(odd):
+    assert len(license_scan.rules()) > 300
+
+    def names(text):
+        n, words = license_scan.normalise(text)
+        found = license_scan.keywords_in(words)
+        return license_scan.base_places(words, found), [(f.label, f.first, f.last) for f in license_scan.detect(words, found)]
+
+    assert names("CC BY cc-by") == ([(0, "cc-by"), (2, "cc-by")], [("cc-by", 0, 1), ("cc-by", 2, 3)])
+    # The whole notice stands, the names inside it are suppressed.
+    assert names("x Licensed under the Apache License, Version 2.0.") == ([(4, "apache")], [("apache-2.0", 1, 8)])
+    assert names("permit license") == ([], [])
+    rows = odd.select(license_scan.scan(F.col("text")).alias("s")).select("s.*").collect()
+    assert len(rows) == len(ROWS) and {r.score for r in rows} == {0.0}
+    assert [r.n_words for r in rows][:5] == [0, 0, 0, 3, 3]
+
+
+def test_intervals_within_others_go():
+    rng = random.Random(4)
+    for _ in range(300):
+        hits = [(0, a, a + rng.randrange(1, 9), "x") for a in rng.choices(range(30), k=rng.randrange(12))]
+        want = []
+        for h in hits:
+            if not any(w[1] <= h[1] and h[2] <= w[2] for w in want):
+                want.append(h)
+        assert license_scan._not_contained(hits) == want
+
+
+def test_quality_rules(odd, none):
+    got = quality_rules.judge(odd).select("doc_id", "text", "n_words", "n_repeat_words", "n_dup_lines", "base_failed", "kept").collect()
+    assert len(got) == len(ROWS) and not any(r.kept for r in got)
+    assert [r.n_repeat_words for r in got if r.doc_id == 5] == [30_000]
+    assert quality_rules.judge(none).count() == 0
+    plan = quality_rules.judge(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_sql_twins(spark, name):
+    columns, want = duck_rows(database(SF), oracles.ORACLES[name])
+    got = contract.queries()[name](spark, SF)
+    assert sorted(got.columns) == columns and spark_rows(got) == want
+
+
+def test_warc(spark, tmp_path):
+    big, small = "é" * 600, "s" * 999
+    rows = [(1, "u\n%", big), (2, None, big), (5, "u", big), (5, "u", big), (3, "u", small), (4, "u", small), (6, "u", None), (None, "u", big), (None, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit(1))
+    root = str(tmp_path / "warc")
+    index = warc.write_archives(pages, root, archive_bytes=400)
+    records = warc.read_records(index, root, gap=0, most=300).collect()
+    kinds = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in records), key=key)
+    assert kinds == sorted(
+        [(1, "revisit", 5, 1200), (2, "revisit", 5, 1200), (5, "response", None, 1200), (5, "response", None, 1200), (3, "response", None, 999)]
+        + [(4, "response", None, 999), (6, "response", None, 0), (None, "revisit", 5, 1200), (None, "response", None, 0)], key=key
+    )
+    for r in records:
+        if r.payload is not None:
+            assert hashlib.sha1(r.payload).hexdigest() == r.payload_digest and len(r.payload) == r.payload_bytes
+    assert warc.read_records(index.filter("page_id = 4"), root).count() == 1
+    empty = warc.write_archives(pages.filter("false"), str(tmp_path / "none"))
+    assert warc.read_records(empty, str(tmp_path / "none")).count() == 0
+
+
+def plain_tiles(item, text, least):
+    free, used, out = [True] * len(item), [True] * len(text), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and free[i + n] and used[j + n] and item[i + n] == text[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return out
+        free[i : i + n], used[j : j + n] = [False] * n, [False] * n
+        out += n
+
+
+def test_tiles_cover_what_greedy_tiling_covers():
+    rng = random.Random(6)
+    for _ in range(150):
+        item, text = (np.array(rng.choices(range(1, 4), k=rng.randrange(3, 18))) for _ in range(2))
+        assert sum(t[2] for t in decontaminate.tiles(item, text, 3)) == plain_tiles(item.tolist(), text.tolist(), 3)
+
+
+def test_leaks(spark, odd, none):
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words), "x"), (2, "Short One", "x"), (3, None, "x"), (None, "", "x"), (1, " ".join(words), "x")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string, leaks string")
+    texts = ["a " + " ".join(words[20:] + ["gap"] + words[:20]) + " z", " ".join(words[:12]), "a short, one!", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("leaks", F.lit(0))
+    for part_words in (5, 1000):
+        got = decontaminate.leaks(docs, bench, part_words=part_words).collect()
+        assert [[(x.item, x.coverage, x.n_tiles) for x in r.leaks] for r in got] == [[(1, 1.0, 2)], [], [(2, 1.0, 1)], [], []]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [1, 3, 4]
+    assert decontaminate.clean(odd, bench).count() == len(ROWS) and decontaminate.clean(none, bench.filter("false")).count() == 0
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern, least, group in ((0, secret_scan.ASSIGN, 12, 2), (1, re.compile("AKIA[A-Z0-9]+"), 18, 0), (2, re.compile("[0-9a-f]+"), 16, 0)):
+        out += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def test_secrets(spark, odd, none):
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices(["token", "API_key", "=", ": ", '"', "AKIA", "0123456789abcdef", "Zz9+", "é", " ", "secret"], k=12))
+        assert [s[:3] for s in secret_scan.base_spans(text)] == plain_base(text)
+    random62 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    assert secret_scan.battery(random62)[0] == "base62" and secret_scan.battery(random62)[1] > 3
+    for ordinary in ("thisIsACamelCaseIdentifierName1", "some-long-hyphenated-word-2024", "a1" * 12, "0123456789" * 3, "DE89370400440532013000"):
+        assert secret_scan.battery(ordinary) is None or secret_scan.battery(ordinary)[1] < 3
+    rows = [(1, f"é key {random62} end"), (2, 'token = "abcdefghijkl"'), (3, None), (4, ""), (5, "clean")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("spans", F.lit(1))
+    spans = {r.doc_id: r[1] for r in secret_scan.find(df).select("doc_id", secret_scan.joined(F.col("spans"))).collect()}
+    assert spans == {1: "random:6:46", 2: "assign:0:21", 3: "", 4: "", 5: ""}
+    texts = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert texts == {1: "é key [SECRET] end", 2: 'token = "[SECRET]"', 3: None, 4: "", 5: "clean"}
+    assert secret_scan.find(odd).count() == len(ROWS) and secret_scan.redact(none).count() == 0
+
+
+PAGE = """<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><main><article><header><h1>Real &amp; title</h1></header>
+<p>First <b>para</b>graph<br>line&nbsp;two.</p><div class="ad">Buy now</div><ul><li>one</li><li>two</ul><form>Mail</form><p>Last</p></article>
+<section id="comments"><article><p>Nice post, thanks a lot for it.</p></article></section></main><footer>F</footer><script>var a="</p>no";</script></body></html>"""
+
+
+def test_html(spark):
+    weights = html_text.Weights()
+    assert html_text.extract(PAGE, weights).split("\n\n") == ["Real & title", "First paragraph line two.", "one", "two", "Last"]
+    for text in (None, "", "<", "<!-- x", "<script>x", "<a \"" * 5_000, "<b>" * 20_000 + "</i>" * 20_000):
+        assert html_text.extract(text, weights) in ("", "<")
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.randrange(-3, 4) for _ in range(rng.randrange(9))]
+        first, end = html_text.best_stretch(scores)
+        assert sum(scores[first:end]) == max([0] + [sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)])
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        blocks = (" ".join(html_text.html.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", article))
+        want[r.page_id] = "\n\n".join(b for b in blocks if b)
+    got = {r.page_id: r.text for r in queries.op10_html_text(spark, SF).collect()}
+    assert got == want and html_text.fit(pages.filter("false")) == weights
+
+
+def test_pipeline_is_its_stages(spark, documents):
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    model = queries.toxicity_model(documents, labels)
+    rows = [r for r in documents.collect() if toxicity.measure(r.text or "", model)[2] == 0 or r.doc_id]
+    score = {r.doc_id: r[1] for r in documents.select("doc_id", toxicity.score(F.col("text"), model)).collect()}
+    rows = sorted((r for r in rows if score[r.doc_id] < queries.TOXIC_FROM), key=lambda r: r.doc_id)
+    label = plain_components([simhash.simhash(r.text, 3) for r in rows])
+    rows = [r for i, r in enumerate(rows) if label[i] == i]
+    items = [byte_words(r.text) for r in bench.collect()]
+
+    def leaked(text):
+        words = byte_words(text)
+        grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        return any(sum(any(tuple(x[j : j + 5]) in grams for j in range(max(0, i - 4), i + 1)) for i in range(len(x))) >= 0.5 * len(x) for x in items)
+
+    want = {r.doc_id for r in rows if not leaked(r.text)}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} == want and len(got) == len(want) < documents.count()
+    library = Tokenizer.from_file(PATH)
+    text = {r.doc_id: r.text for r in rows}
+    clean = [r for r in got if not secret_scan.base_spans(text[r.doc_id])]
+    assert all(r.ids == ids_of(text[r.doc_id], library) for r in clean)
+    assert len(clean) < len(got)
