@@ -20,6 +20,8 @@ from (select doc_id, source, text, repeat(chr(34), 3) as q3,
         case when cast(doc_id % 14 as int) < 4 then chr(10) || 't = ' || chr(39) || 'a//b' || chr(92) || chr(39) || chr(39) || ' + ' || chr(96) || 'x/*y*/' || chr(96) || '; // n' || chr(10)
             || 'case  /' || chr(92) || '/[/' || chr(34) || ']/.test(u): z(); // n' || chr(13) || chr(10) || 'v = a / b; // n' || chr(10)
           when cast(doc_id % 14 as int) = 4 then chr(10) || 's = ' || chr(39) || 'a#b' || chr(92) || chr(39) || chr(39) || '  # n' || chr(10) || 't = ' || repeat(chr(39), 3) || 'x#' || chr(10) || 'y' || repeat(chr(39), 3) || '  # n' || chr(10)
+            || 'def g(a=' || chr(39) || 'k:' || chr(39) || '):' || chr(10) || '    ' || chr(39) || 'one' || chr(39) || ' ' || chr(34) || 'line' || chr(34) || chr(10)
+            || '    v = [' || chr(10) || '      ' || chr(34) || 'kept' || chr(34) || chr(10) || '    ]' || chr(10) || 'class C(g):' || chr(10) || chr(10) || '    ' || chr(34) || 'c' || chr(34) || chr(10) || '    x = {g:' || chr(10) || '    ' || chr(34) || 'kept' || chr(34) || chr(10) || '    }' || chr(10)
           when cast(doc_id % 14 as int) = 5 then chr(10) || 'String t = ' || repeat(chr(34), 3) || ' // no ' || chr(92) || repeat(chr(34), 3) || ' ' || repeat(chr(34), 3) || '; // n' || chr(10) || 'public static int f(int a) { return ' || chr(39) || chr(34) || chr(39) || '; }' || chr(10)
           when cast(doc_id % 14 as int) in (6, 8) then chr(10) || '#include <a//b.h>' || chr(10) || 'auto t = R' || chr(34) || 'x(// no )' || chr(34) || ' )x' || chr(34) || '; int n = 1' || chr(39) || '000' || chr(39) || '0; // n' || chr(10)
           when cast(doc_id % 14 as int) = 7 then chr(10) || '#include <a//b.h>' || chr(10) || 'int n = 0x1' || chr(39) || 'f; char c = ' || chr(39) || chr(34) || chr(39) || '; // n ' || chr(92) || chr(10) || 'more' || chr(10)

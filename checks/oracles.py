@@ -150,10 +150,13 @@ def _docstrings(content: str) -> str:
     operand = (
         rf"[(\[{{,]\s*(?:[rRbBuUfF]{{0,2}}{strings}\s*)+|[=+%\\]\s*[rRbBuUfF]{{0,2}}(?:{TDQ}|{TSQ})"
     )
-    alone = rf"(?m:^)[ \t]*[rRbBuU]{{0,2}}(?:{TDQ}|{TSQ})[ \t]*(?:\r?\n|\z)"
-    pattern = rf"({operand})|{alone}|({'|'.join(TOKENS['python'][0])})"
+    joined, end = rf"(?:[ \t]*[rRbBuU]{{0,2}}{strings})*", r"[ \t]*(?:\r?\n|\z)"
+    alone = rf"(?m:^)[ \t]*[rRbBuU]{{0,2}}(?:{TDQ}|{TSQ}){joined}{end}"
+    header = rf"(?m:^)[ \t]*(?:async[ \t]+)?(?:def|class)[ \t](?:{DQ}|{SQ}|[^\n\"'])*:[ \t]*\r?\n"
+    plain = rf"((?:\A|{header})(?:[ \t]*\r?\n)*)[ \t]*[rRbBuU]{{0,2}}(?:{DQ}|{SQ}){joined}{end}"
+    pattern = rf"({operand})|{alone}|{plain}|({'|'.join(TOKENS['python'][0])})"
     bare = _replace(content, _comments("python"), r"\1\2")
-    return _tidy(_replace(bare, pattern, r"\1\2"))
+    return _tidy(_replace(bare, pattern, r"\1\2\3"))
 
 
 # Lines and chunks

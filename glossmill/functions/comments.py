@@ -87,12 +87,21 @@ LEXICONS = {
     "scss": ("\"'/(", (URL, DOUBLE, SINGLE), (BLOCK, LINE)),
 }
 
-# A triple-quoted string alone on its line or lines is a docstring, unless it is
-# an operand: of a bracket or a comma, with the strings it is joined to, or of an
-# operator or a continued line.
+# A triple-quoted string alone on its line or lines is a docstring, with strings
+# joined to it, unless it is an operand: of a bracket or a comma, with the strings
+# it is joined to, or of an operator or a continued line.
 _TRIPLE = f"(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE})"
 _STRING = f"(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE}|{DOUBLE}|{SINGLE})"
-DOCSTRING = rf"(?dm:^)[ \t]*+[rRbBuU]{{0,2}}{_TRIPLE}[ \t]*+(?:\r?\n|\z)"
+_ENDS_LINE = r"[ \t]*+(?:\r?\n|\z)"
+_JOINED = rf"(?:[ \t]*+[rRbBuU]{{0,2}}{_STRING})*+"
+DOCSTRING = rf"(?dm:^)[ \t]*+[rRbBuU]{{0,2}}{_TRIPLE}{_JOINED}{_ENDS_LINE}"
+# A string in plain quotes is one at the start of a file, or first in the body
+# under a definition's header that is one line; elsewhere it may be an operand.
+_HEADER = (
+    rf"(?dm:^)[ \t]*+(?:async[ \t]++)?+(?:def|class)[ \t][^\n\"':]*+"
+    rf"(?:(?:{DOUBLE}|{SINGLE}|:(?![ \t]*+\r?\n))[^\n\"':]*+)*+:[ \t]*+\r?\n"
+)
+PLAIN_DOCSTRING = rf"(?<head>(?:\A|{_HEADER})(?:[ \t]*+\r?\n)*+)[ \t]*+[rRbBuU]{{0,2}}(?:{DOUBLE}|{SINGLE}){_JOINED}{_ENDS_LINE}"
 OPERAND = (
     rf"[(\[{{,]\s*+(?:[rRbBuUfF]{{0,2}}{_STRING}\s*+)++|[=+%\\]\s*+[rRbBuUfF]{{0,2}}{_TRIPLE}"
 )
@@ -125,8 +134,8 @@ def _strip_lexical(text: Column, language: str, docstrings: bool) -> Column:
     )
     if language != "python" or not docstrings:
         return stripped
-    strings = f"(?<operand>{OPERAND})|{DOCSTRING}|(?<kept>{'|'.join(literals)})"
-    return F.regexp_replace(stripped, strings, "${operand}${kept}")
+    strings = f"(?<operand>{OPERAND})|{DOCSTRING}|{PLAIN_DOCSTRING}|(?<kept>{'|'.join(literals)})"
+    return F.regexp_replace(stripped, strings, "${operand}${head}${kept}")
 
 
 def _delete(text: Column, opener: str, closer: str) -> Column:

@@ -165,6 +165,16 @@ def test_docstrings(values):
         ('x = (\n  "a"  # b\n  """c"""\n)\n', 'x = (\n  "a"  \n  """c"""\n)\n'),
         ('x = [1,\n"""a""",\n"""b"""\n]\n', 'x = [1,\n"""a""",\n"""b"""\n]\n'),
         ('x = \\\n"""a"""\n"""gone"""\ny\n', 'x = \\\n"""a"""\ny\n'),
+        ("def f(a='k:', b: int = 1) -> \"T\":\n    'one line'\n    g()\n", "def f(a='k:', b: int = 1) -> \"T\":\n    g()\n"),
+        ("class A:\n\n    'one' r\"two\"\n    x = 'kept'\n", "class A:\n\n    x = 'kept'\n"),
+        ("\n'module' \"too\"\nx\n", "\nx\n"),
+        ('"""a""" "b"\ny\n', "y\n"),
+        ("def f():\n    'kept' + x\n", "def f():\n    'kept' + x\n"),
+        ("def f():\n    'kept' \\\n    'too'\n", "def f():\n    'kept' \\\n    'too'\n"),
+        ("x = {1:\n'kept'\n}\n", "x = {1:\n'kept'\n}\n"),
+        ("x = a or \\\n  'kept'\n", "x = a or \\\n  'kept'\n"),
+        ("async def f(): return\n'kept'\n", "async def f(): return\n'kept'\n"),
+        ('s = """\ndef f():\n  "kept"\n"""\n', 's = """\ndef f():\n  "kept"\n"""\n'),
     ]
     python = strip_comments(F.col("t"), F.lit("python"), docstrings=True)
     check(values, python, cases)
