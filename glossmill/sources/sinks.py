@@ -18,9 +18,15 @@ def _in_use(system: Any, base: str) -> bool:
     return found == fs.FileType.File or (found == fs.FileType.Directory and bool(system.get_file_info(fs.FileSelector(base))))
 
 
-def write_table(files: DataFrame, path: str) -> None:
-    """Parquet by language, at a place that does not exist yet."""
-    files.write.partitionBy("language").parquet(path)
+def write_table(files: DataFrame, path: str, rebalance: bool = False) -> None:
+    """Parquet by language, at a place that does not exist yet.
+
+    Each task writes a file of every language it meets. ``rebalance`` shuffles the
+    rows by language first, into tasks of the session's advisory size that hold one
+    language each or nearly so; a language that is most of the rows is split.
+    """
+    dealt = files.hint("rebalance", "language") if rebalance else files
+    dealt.write.partitionBy("language").parquet(path)
 
 
 def write_tree(files: DataFrame, root: str) -> DataFrame:

@@ -18,8 +18,10 @@ from glossmill.operators.select import in_skipped_folder
 from glossmill.sources.tables import source_files
 from glossmill.sources.workspace import root_opener, work_dir
 
-LISTING = "path string, is_folder boolean, size long"
+LISTING = "path string, is_folder boolean, size long, read_error string"
+LISTED_ROWS = 10_000
 READ_BYTES = 128 << 20
+READ_FILES = 20_000
 BATCH_BYTES = 32 << 20
 
 
@@ -29,13 +31,18 @@ def _list_folders(root: str) -> Callable[[Iterator[Any]], Iterator[Any]]:
     def run(frames: Iterator[Any]) -> Iterator[Any]:
         import os
         import posixpath
-        from itertools import islice
 
         import pandas as pd
         from pyarrow import fs
 
         system, base = open_root()
 
+        def size_of(entry: os.DirEntry) -> int:
+            try:
+                return entry.stat().st_size
+            except OSError:  # gone since; reading it says so
+                return 0
+
         def entries(folder: str) -> Iterator[tuple[str, bool, int]]:
             where = posixpath.join(base, folder) if folder else base
             if isinstance(system, fs.LocalFileSystem):
@@ -45,23 +52,39 @@ def _list_folders(root: str) -> Callable[[Iterator[Any]], Iterator[Any]]:
                         if entry.is_dir(follow_symlinks=False):
                             yield path, True, 0
                         elif entry.is_file():
-                            yield path, False, entry.stat().st_size
+                            yield path, False, size_of(entry)
             else:
                 for info in system.get_file_info(fs.FileSelector(where)):
                     path = posixpath.join(folder, info.base_name)
                     yield path, info.type == fs.FileType.Directory, info.size or 0
 
+        def frame_of(rows: list[tuple[str, bool, int, str | None]]) -> Any:
+            return pd.DataFrame(rows, columns=["path", "is_folder", "size", "read_error"])
+
         for frame in frames:
             for folder in frame["path"]:
-                found = entries(folder)
-                while rows := list(islice(found, 10_000)):
-                    yield pd.DataFrame(rows, columns=["path", "is_folder", "size"])
+                rows = []
+                try:
+                    for entry in entries(folder):
+                        rows.append((*entry, None))
+                        if len(rows) == LISTED_ROWS:
+                            yield frame_of(rows)
+                            rows = []
+                except OSError as cause:
+                    if not folder:
+                        raise
+                    rows.append((folder, True, 0, str(cause) or type(cause).__name__))
+                if rows:
+                    yield frame_of(rows)
 
     return run
 
 
 def list_tree(spark: SparkSession, root: str, skip_patterns: Iterable[str] = SKIP_PATTERNS) -> DataFrame:
-    """``(path, language, size)`` of the supported files under ``root``.
+    """``(path, language, size, read_error)`` of the supported files under ``root``.
+
+    A folder below it that cannot be listed, or is gone by then, is a row too, with
+    its ``read_error`` and no language; a root that cannot be listed is an error.
 
     Folders are listed level by level, each level by as many tasks as it has
     folders to share out, and skipped folders are never entered. The driver only
@@ -77,22 +100,24 @@ def list_tree(spark: SparkSession, root: str, skip_patterns: Iterable[str] = SKI
         folders.repartition(min(count, width)).mapInPandas(_list_folders(root), LISTING).write.parquet(part)
         entries = spark.read.schema(LISTING).parquet(part)
         below = F.concat("path", F.lit("/"))
-        folders = entries.where(F.col("is_folder") & ~in_skipped_folder(below, patterns)).select("path")
+        listable = F.col("is_folder") & F.col("read_error").isNull()
+        folders = entries.where(listable & ~in_skipped_folder(below, patterns)).select("path")
         count, level = folders.count(), level + 1
     return (
         spark.read.schema(LISTING)
         .parquet(*[f"{table}/level={i}" for i in range(level)])
-        .where(~F.col("is_folder"))
-        .select("path", detect_language(F.col("path")).alias("language"), "size")
-        .where(F.col("language").isNotNull())
+        .where(~F.col("is_folder") | F.col("read_error").isNotNull())
+        .select("path", F.when(~F.col("is_folder"), detect_language(F.col("path"))).alias("language"), "size", "read_error")
+        .where("language is not null or read_error is not null")
     )
 
 
 def read_files(listing: DataFrame, root: str) -> DataFrame:
     """``(path, language, content, read_error)`` of listed files.
 
-    Files are dealt out over as many tasks as their sizes ask for. Every listed
-    file gives a row: one that cannot be read has its ``read_error``.
+    Files are dealt out over as many tasks as their sizes and their number ask for.
+    Every listed file gives a row: one that cannot be read has its ``read_error``,
+    and a row that has one already keeps it.
     """
     open_root = root_opener(root)
 
@@ -125,10 +150,15 @@ def read_files(listing: DataFrame, root: str) -> DataFrame:
             yield frame_of(rows)
 
     cores = listing.sparkSession.sparkContext.defaultParallelism
-    total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    dealt = listing.select("path").repartition(max(cores, -(-total // READ_BYTES)))
+    if "read_error" not in listing.columns:
+        listing = listing.withColumn("read_error", F.lit(None).cast("string"))
+    there = listing.where("read_error is null")
+    total, number = there.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    dealt = there.select("path").repartition(max(cores, -(-total // READ_BYTES), -(-number // READ_FILES)))
     raw = dealt.mapInPandas(run, "path string, raw binary, read_error string")
-    return source_files(raw).select("path", "language", "content", "read_error")
+    read = source_files(raw).select("path", "language", "content", "read_error")
+    not_listed = listing.where("read_error is not null")
+    return read.unionByName(not_listed.select("path", "language", F.lit(None).cast("string").alias("content"), "read_error"))
 
 
 def scan_tree(spark: SparkSession, root: str, skip_patterns: Iterable[str] = SKIP_PATTERNS) -> DataFrame:

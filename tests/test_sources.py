@@ -61,6 +61,42 @@ def test_a_file_that_vanishes_is_a_row(spark, tree):
     assert got["_priv/_u.py"].content is None and "_u.py" in got["_priv/_u.py"].read_error
 
 
+def test_a_folder_that_cannot_be_listed_is_a_row(spark, tree, monkeypatch):
+    from glossmill.sources import tree as module
+
+    def with_a_gone_folder(root):
+        run = list_folders(root)
+
+        def listed(frames):
+            import pandas as pd
+
+            def more():
+                for frame in frames:
+                    top = "" in set(frame["path"])
+                    yield pd.concat([frame, pd.DataFrame({"path": ["gone.py"]})]) if top else frame
+
+            return run(more())
+
+        return listed
+
+    list_folders = module._list_folders
+    monkeypatch.setattr(module, "_list_folders", with_a_gone_folder)
+    got = {r.path: r for r in scan_tree(spark, str(tree)).collect()}
+    assert set(got) == KEPT | {"gone.py"}
+    assert got["gone.py"].language is None and got["gone.py"].content is None and "gone.py" in got["gone.py"].read_error
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="nowhere"):
+        list_tree(spark, str(tree / "nowhere")).count()
+
+
+def test_write_table_in_few_files(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("l"), F.col("id") % 3).alias("language"), F.lit("x").alias("content"))
+    for rebalance in (False, True):
+        write_table(rows.repartition(4), str(tmp_path / str(rebalance)), rebalance)
+    files = {flag: len(list((tmp_path / flag).rglob("*.parquet"))) for flag in ("False", "True")}
+    assert files["True"] == 3 < files["False"] and spark.read.parquet(str(tmp_path / "True")).count() == 400
+
+
 def test_write_tree(spark, tmp_path):
     rows = [("a/b.py", "é\n"), ("../x.py", "no"), ("/y.py", "no"), ("n.py", None)]
     files = spark.createDataFrame(rows, "path string, content string")
