@@ -116,12 +116,15 @@ def document_selections(
 ) -> DataFrame:
     """``(path, content, n_spans, applied)``: accepted answers put in place of
     the selections they answer; files without any stay as they are. An answer is
-    judged beside the text it replaces, so the files are shuffled once."""
-    answers = responses.where(F.col("error").isNull()).select(
+    judged beside the text it replaces, so the files are shuffled once. Of several
+    answers to one selection the least text counts; selections that overlap, those
+    with one start among them, leave their file as it is."""
+    answered = responses.where(F.col("error").isNull()).select(
         "path",
         F.col("chunk_index").alias("start"),
         strip_code_fences(normalise_output(F.col("output"))).alias("replacement"),
     )
+    answers = answered.groupBy("path", "start").agg(F.min("replacement").alias("replacement"))
     chosen = selections.where(F.col("end") > F.col("start"))
     spans = chosen.join(answers, ["path", "start"]).select("path", "start", "end", "replacement")
     return apply_spans(files, spans, lambda before, after: long_enough(before, after, ratio))
