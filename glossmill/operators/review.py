@@ -29,7 +29,9 @@ def line_changes(before: Column, after: Column) -> Column:
     """``(lines_added, lines_removed)``, counting lines as a multiset.
 
     Both texts are in the row, so the lines are sorted and counted inside it: no
-    line is shuffled, and a line that repeats everywhere makes no hot key.
+    line is shuffled, and a line that repeats everywhere makes no hot key. What is
+    summed up is how far the counts of each line are apart, added and removed
+    together; their difference is that of the numbers of lines.
     """
 
     def tagged(text: Column, weight: int) -> Column:
@@ -37,31 +39,22 @@ def line_changes(before: Column, after: Column) -> Column:
             split_lines(text), lambda line: F.struct(line.alias("line"), F.lit(weight).alias("weight"))
         )
 
-    def settle(acc: Column) -> tuple[Column, Column]:
-        return (
-            acc["added"] + F.greatest(acc["net"], F.lit(0)),
-            acc["removed"] + F.greatest(-acc["net"], F.lit(0)),
-        )
-
-    def state(line: Column, net: Column, added: Column, removed: Column) -> Column:
-        return F.struct(
-            line.alias("line"), net.alias("net"), added.alias("added"), removed.alias("removed")
-        )
+    def state(line: Column, net: Column, apart: Column) -> Column:
+        return F.struct(line.alias("line"), net.alias("net"), apart.alias("apart"))
 
     def step(acc: Column, item: Column) -> Column:
-        added, removed = settle(acc)
         return F.when(
-            acc["line"].eqNullSafe(item["line"]),
-            state(acc["line"], acc["net"] + item["weight"], acc["added"], acc["removed"]),
-        ).otherwise(state(item["line"], item["weight"], added, removed))
+            acc["line"] == item["line"], state(acc["line"], acc["net"] + item["weight"], acc["apart"])
+        ).otherwise(state(item["line"], item["weight"], acc["apart"] + F.abs(acc["net"])))
 
     def finish(acc: Column) -> Column:
-        added, removed = settle(acc)
-        return F.struct(added.alias("lines_added"), removed.alias("lines_removed"))
+        apart, more = acc["apart"] + F.abs(acc["net"]), count_lines(after) - count_lines(before)
+        half = lambda n: F.shiftright(n, 1)
+        return F.struct(half(apart + more).alias("lines_added"), half(apart - more).alias("lines_removed"))
 
     zero = F.lit(0)
-    lines = F.array_sort(F.concat(tagged(before, -1), tagged(after, 1)))
-    counted = F.aggregate(lines, state(F.lit(None).cast("string"), zero, zero, zero), step, finish)
+    lines = F.sort_array(F.concat(tagged(before, -1), tagged(after, 1)))
+    counted = F.aggregate(lines, state(F.lit(None).cast("string"), zero, zero), step, finish)
     same = F.struct(zero.alias("lines_added"), zero.alias("lines_removed"))
     return F.when(before == after, same).otherwise(counted)
 
