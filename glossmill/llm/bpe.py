@@ -193,7 +193,7 @@ class Encoder:
 
     def run(self, run: str) -> bytes:
         """A text without white space."""
-        if self.latin and run.isascii() or max(run) <= "\xff":
+        if self.latin and (run.isascii() or max(run) <= "\xff"):
             if not self.added.search(run):
                 return b"".join(map(self.word, _LATIN.findall(run.lower())))
         return array("i", [i for word in self.split(run) for i in self.tree(word)]).tobytes()

@@ -119,7 +119,7 @@ class Index:
     def __init__(self, part: Part):
         import numpy as np
 
-        self.min_match = part.min_match
+        self.part, self.min_match = part, part.min_match
         self.number: dict[bytes, int] = {}
         self.items = []
         owners: dict[int, dict[int, list[int]]] = {}
@@ -180,17 +180,15 @@ class Index:
                 yield at, matched / len(item), len(found_tiles), matched, max(t[2] for t in found_tiles)
 
 
-_indexes: dict[Part, Index] = {}
+_indexes: list[Index] = []
 
 
 def _index(shared) -> Index:
-    """Built once in each worker."""
+    """Built once in each worker; the index holds its part, so that no other is taken for it."""
     part = shared.value
-    key = id(part)
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(part)
-    return _indexes[key]
+    if not _indexes or _indexes[0].part is not part:
+        _indexes[:] = [Index(part)]
+    return _indexes[0]
 
 
 def parts(benchmark: DataFrame, id: str = "item_id", text: str = "text", min_match: int = MIN_MATCH, part_words: int = PART_WORDS) -> Iterator[Part]:

@@ -1,9 +1,11 @@
 """The training-text operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import json
 import random
 import re
 from array import array
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -62,6 +64,17 @@ def test_bpe_tree_is_exact():
         assert own.concatenate(leaves) == want
 
 
+def test_bpe_where_case_counts(tmp_path):
+    """A vocabulary that does not lower its texts takes the path of any other letters."""
+    spec = json.loads(Path(PATH).read_text("utf-8"))
+    spec["normalizer"] = {"type": "NFC"}
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(spec), "utf-8")
+    own, library = bpe.encoder(str(cased)), Tokenizer.from_file(str(cased))
+    for text in ("Two Words", "ÀB cD's É1", "plain", ""):
+        assert array("i", own.encode(text)).tolist() == ids_of(text, library)
+
+
 def test_bpe_on_odd_rows(odd, none):
     library = Tokenizer.from_file(PATH)
     clashing = odd.withColumn("ids", F.lit("mine"))
@@ -240,6 +253,17 @@ def test_tiles_cover_what_greedy_tiling_covers():
         assert sum(t[2] for t in decontaminate.tiles(item, text, 3)) == plain_tiles(item.tolist(), text.tolist(), 3)
 
 
+def test_an_index_is_that_of_its_part():
+    """Parts that follow each other in one worker may stand at the same address."""
+
+    class Shared:
+        def __init__(self, *words):
+            self.value = decontaminate.Part(((1, words),), 1)
+
+    for word in (b"one", b"two", b"three") * 20:
+        assert list(decontaminate._index(Shared(word)).number) == [word]
+
+
 def test_leaks(spark, odd, none):
     words = [f"w{i}" for i in range(40)]
     items = [(1, " ".join(words), "x"), (2, "Short One", "x"), (3, None, "x"), (None, "", "x"), (1, " ".join(words), "x")]
