@@ -28,6 +28,7 @@ HEADLINE = (
     "document_corpus",
     "review_corpus",
     "apply_spans",
+    "apply_spans_sparse",
     "review_stripped",
     "preservation_audit",
     "plan_summary",

@@ -433,6 +433,12 @@ from (select *, min(case when error is not null then chunk_index end) over (part
         _summary("documented"), *_RUN, *_documented(OUTPUT, _unfence("text"), 0.5)
     ),
     "apply_spans": _with_files(_spliced("spans"), PLANNED, SPANS),
+    "apply_spans_sparse": _with_files(
+        _spliced("few"),
+        PLANNED,
+        SPANS,
+        "few as (select spans.* from spans join planned on spans.path = planned.path where language = 'scss')",
+    ),
     "selection_extract": _with_files(
         "select path, language, start, stop as \"end\", text from picked", PLANNED, SELECTIONS, PICKED
     ),

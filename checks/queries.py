@@ -313,6 +313,12 @@ def apply_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply_spans(files, _spans(files))
 
 
+def apply_spans_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits in the files of one language."""
+    files = _planned(spark, sf_dir)
+    return edits.apply_spans(files, _spans(files.where("language = 'scss'")), sparse=True)
+
+
 def _selections(files: DataFrame) -> DataFrame:
     """Two selections per file, cut to its length; some are empty."""
     size = F.length("content")
@@ -426,7 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_lines, declarations, find_break_points, chunk_files, chunk_rejoin,
         build_requests, request_envelopes, resolve_models, normalise_outputs, file_results,
         generate_batch, document_corpus, document_corpus_edges, review_corpus, document_run,
-        apply_spans, selection_extract, selection_replace, selection_requests, document_selections,
+        apply_spans, apply_spans_sparse, selection_extract, selection_replace, selection_requests, document_selections,
         length_guard, review_changes, review_stripped, preservation_audit,
         run_summary, strip_files, strip_results_of_files, publish_approved, strip_stream,
     )

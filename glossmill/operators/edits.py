@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 
 _BITS = 8
 _BLOCK = 1 << _BITS
+#: Paths are marked by their hash in so many bits, which are sent to every task: 16 MB, however many paths.
+MARK_BITS = 1 << 27
+#: Bits of one bitmap of ``bitmap_construct_agg``.
+_BITMAP_BITS = 1 << 15
+
+
+def _marked(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(path, content, marked)``: files that have no spans are almost all not marked, those that have some all are."""
+    slot = F.pmod(F.xxhash64("path"), F.lit(MARK_BITS))
+    bucket, position = F.floor(slot / _BITMAP_BITS).alias("bucket"), F.pmod(slot, F.lit(_BITMAP_BITS))
+    bitmaps = spans.groupBy(bucket).agg(F.bitmap_construct_agg(position).alias("bitmap"))
+    byte = F.substring("bitmap", (F.floor(position / 8) + 1).cast("int"), F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(position, F.lit(8)).cast("int"))
+    placed = files.select("path", "content", bucket).join(F.broadcast(bitmaps), "bucket", "left")
+    return placed.select("path", "content", F.coalesce(bit == 1, F.lit(False)).alias("marked"))
 
 
 def _blocks(text: Column) -> Column:
@@ -33,16 +48,24 @@ def _between(blocks: Column, start: Column, end: Column) -> Column:
 
 
 def apply_spans(
-    files: DataFrame, spans: DataFrame, accept: Callable[[Column, Column], Column] | None = None
+    files: DataFrame, spans: DataFrame, accept: Callable[[Column, Column], Column] | None = None, sparse: bool = False
 ) -> DataFrame:
     """``(path, content, n_spans, applied)``: every span replaced by its text.
 
     Equal spans are one edit, and a null replacement is an empty one. A file with
-    spans that overlap, leave the text or have no start or end is not edited but marked ``applied = false``; one without spans stays as it is.
+    spans that overlap, leave the text or have no start or end is not edited but marked ``applied = false``; one without
+    spans stays as it is.
     ``accept`` judges a span by the text it covers and its replacement; a span it
     turns down is left out. Files are shuffled once. A group of spans is one
     file's, and its result one row.
+    With ``sparse``, for spans in a few of many files, the result is the same, but
+    files without spans are told apart before the shuffle and pass beside it;
+    ``files`` is then read twice.
     """
+    if sparse:
+        marked = _marked(files, spans)
+        untouched = marked.where("not marked").select("path", "content", F.lit(0).alias("n_spans"), F.lit(True).alias("applied"))
+        return apply_spans(marked.where("marked"), spans, accept).unionByName(untouched)
     replacement = F.coalesce("replacement", F.lit("")).alias("replacement")
     grouped = spans.groupBy("path").agg(
         F.array_sort(F.collect_set(F.struct("start", "end", replacement))).alias("spans")

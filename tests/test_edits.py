@@ -14,7 +14,9 @@ from glossmill.plans.document import document_selections, selection_requests
 def edit(spark, texts, spans):
     files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
     rows = [(str(i), *s) for i, many in enumerate(spans) for s in many]
-    got = apply_spans(files, spark.createDataFrame(rows, SPANS)).collect()
+    made = spark.createDataFrame(rows, SPANS)
+    got = apply_spans(files, made).collect()
+    assert sorted(apply_spans(files, made, sparse=True).collect()) == sorted(got)
     return [tuple(r)[1:] for r in sorted(got, key=lambda r: int(r.path))]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossmill.config import JobConfig
 from glossmill.operators import chunks as chunking
 from glossmill.operators import review
+from glossmill.operators.edits import apply_spans
 from glossmill.plans import document
 from glossmill.plans.strip import strip_corpus
 
@@ -87,6 +88,21 @@ def test_selections_shuffle_the_files_once(spark, files):
     assert text.count("ReadSchema: struct<path:string,content:string>") == 1
 
 
+def test_sparse_spans_shuffle_no_other_text(spark, files):
+    """Of the files only those whose path is marked are shuffled; the rest is joined with the marks alone."""
+    spans = files.select("path", F.lit(1).alias("start"), F.lit(2).alias("end"), F.lit("x").alias("replacement")).where("path like '%7.py'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edited = apply_spans(files, spans, sparse=True)
+        text, rows = plan(edited), edited.groupBy("n_spans").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    edited_side, untouched_side = text.split("\n   :- ", 1)[1].split("\n   +- ", 1)
+    assert "SortMergeJoin" in edited_side and "BroadcastHashJoin" in edited_side
+    assert "SortMergeJoin" not in untouched_side and not re.search(r"Exchange hashpartitioning\(path", untouched_side)
+    assert sorted(tuple(r) for r in rows) == [(0, 180), (1, 20)]
+
+
 def test_chunk_arrays_are_not_evaluated_per_element(files):
     """The array of chunks is a column when lambdas look into it."""
     text = plan(chunking.chunks(document.plan_files(files), 80))
