@@ -43,6 +43,8 @@ ORDINARY_CHANGES = 0.12
 TEST_LEVEL = 0.001
 #: Share of ordinary strings among what is discovered, at most.
 FALSE_DISCOVERIES = 0.001
+#: From this level on a token is discovered, however many were tried.
+SURE = 300.0
 #: Strata of length begin here.
 STRATA = (16, 24, 32, 48, 64)
 
@@ -51,6 +53,13 @@ def _normal(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _log_above(z: float) -> float:
+    """The natural logarithm of the chance of more than ``z``; by its asymptotic series where ``erfc`` comes near 0."""
+    if z < 30:
+        return math.log(0.5 * math.erfc(z / math.sqrt(2)))
+    return -z * z / 2 - math.log(z * math.sqrt(2 * math.pi)) + math.log1p(-1 / z**2 + 3 / z**4)
+
+
 def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -81,7 +90,7 @@ def battery(token: str) -> tuple[str, float] | None:
     if 1 - _normal((chi - free) / math.sqrt(2 * free * (1 - 1 / n))) < TEST_LEVEL:
         return None
     mean, spread = free + (n - 1) * uneven, math.sqrt(2 * free + 4 * n * uneven)
-    p_uniform = _normal((chi - mean) / spread)
+    uniform = _log_above((mean - chi) / spread)
     # Runs of character classes, given how many of each class there are.
     classes = [_class(c) for c in body]
     changes = sum(a != b for a, b in zip(classes, classes[1:]))
@@ -91,7 +100,7 @@ def battery(token: str) -> tuple[str, float] | None:
     if 2 * (1 - _normal(abs(changes - (n - 1) * share) / deviation)) < TEST_LEVEL:
         return None
     usual = (n - 1) * ORDINARY_CHANGES
-    p_runs = 1 - _normal((changes - 0.5 - usual) / math.sqrt(usual * (1 - ORDINARY_CHANGES)))
+    runs = _log_above((changes - 0.5 - usual) / math.sqrt(usual * (1 - ORDINARY_CHANGES)))
     # Serial correlation of neighbours, by character code.
     codes = [ord(c) for c in body]
     middle = sum(codes) / n
@@ -99,9 +108,9 @@ def battery(token: str) -> tuple[str, float] | None:
     serial = sum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:])) / total if total else 1.0
     if 2 * (1 - _normal(abs(serial * math.sqrt(n) + 1 / math.sqrt(n)))) < TEST_LEVEL:
         return None
-    # Fisher's combination of two.
-    product = max(p_uniform, 1e-300) * max(p_runs, 1e-300)
-    return name, -math.log10(max(min(1.0, product * (1 - math.log(product))), 1e-300))
+    # Fisher's combination of two, in logarithms.
+    both = uniform + runs
+    return name, max(0.0, -(both + math.log1p(-both)) / math.log(10))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -169,8 +178,8 @@ def bars(scanned: DataFrame, found: str = "found", rate: float = FALSE_DISCOVERI
     """
     tested = scanned.select(F.explode(f"{found}.tested").alias("t"))
     length = F.col("t.end") - F.col("t.start")
-    # Down to the tenth, so a level is never taken for more than it is.
-    counts = tested.groupBy(_stratum(length).alias("stratum"), F.floor(F.col("t.level") * 10).cast("int").alias("tenth")).count().collect()
+    # Down to the tenth, so a level is never taken for more than it is; levels beyond SURE count as one, as no bar is higher.
+    counts = tested.groupBy(_stratum(length).alias("stratum"), F.floor(F.least("t.level", F.lit(SURE)) * 10).cast("int").alias("tenth")).count().collect()
     out = []
     for stratum in range(len(STRATA)):
         tenths = sorted(((r["tenth"], r["count"]) for r in counts if r["stratum"] == stratum), reverse=True)

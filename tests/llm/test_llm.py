@@ -302,6 +302,30 @@ def test_secrets(spark, odd, none):
     assert secret_scan.find(odd).count() == len(ROWS) and secret_scan.redact(none).count() == 0
 
 
+ALPHABETS = {
+    "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def test_long_random_tokens_are_found(spark):
+    for z in (-50, -8, 0, 5, 29.999):
+        assert abs(secret_scan._log_above(z) - np.log(0.5 * secret_scan.math.erfc(z / 2**0.5))) < 1e-9
+    assert abs(secret_scan._log_above(30) - secret_scan._log_above(29.999999)) < 1e-4
+    rng = random.Random(12)
+    for name, alphabet in ALPHABETS.items():
+        found = {}
+        for n in (200, 342, 768, 1_024, 10_000, 100_000):
+            # Of random tokens, few fail a test by chance.
+            levels = [x[1] for x in (secret_scan.battery("".join(rng.choices(alphabet, k=n))) for _ in range(5)) if x and x[0] == name]
+            assert len(levels) >= 3 and min(levels) > 5
+            found[n] = min(levels)
+        assert list(found.values()) == sorted(found.values()) and found[100_000] > 300
+    texts = ["key " + "".join(rng.choices(ALPHABETS["base64"], k=n)) for n in (100_000, 342, 342, 342, 768, 768, 768)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sum(r.text == "key [SECRET]" for r in secret_scan.redact(df).collect()) >= 5
+
+
 PAGE = """<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><main><article><header><h1>Real &amp; title</h1></header>
 <p>First <b>para</b>graph<br>line&nbsp;two.</p><div class="ad">Buy now</div><ul><li>one</li><li>two</ul><form>Mail</form><p>Last</p></article>
 <section id="comments"><article><p>Nice post, thanks a lot for it.</p></article></section></main><footer>F</footer><script>var a="</p>no";</script></body></html>"""
