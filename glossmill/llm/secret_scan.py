@@ -27,11 +27,14 @@ ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "random")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# A sign of equality ends a token, so that the value of NAME=value is a token of its own.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Encodings by alphabet, the smallest first; their size, and how much more unevenly
 #: ordinary strings use them than random ones do (k * sum of squared shares, less 1).
 ENCODINGS = (
+    ("digits", re.compile(r"[0-9]+"), 10, 0.6),
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16, 0.6),
+    ("letters", re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+"), 26, 0.7),
     ("base32", re.compile(r"[A-Z2-7]+"), 32, 1.1),
     ("base36", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 36, 1.2),
     ("base62", re.compile(r"[A-Za-z0-9]+"), 62, 2.4),
@@ -65,10 +68,8 @@ def _class(c: str) -> int:
 
 
 def encoding(token: str) -> tuple[str, int, float] | None:
-    """The smallest encoding that holds a token; none for numbers and for words without a digit in one case."""
+    """The smallest encoding that holds a token; letters in one case may begin with a capital."""
     body = token.rstrip("=")
-    if body.isdigit() or (body.isalpha() and (body.islower() or body.isupper() or body[1:].islower())):
-        return None
     return next(((name, size, uneven) for name, pattern, size, uneven in ENCODINGS if pattern.fullmatch(body)), None)
 
 
@@ -83,6 +84,8 @@ def battery(token: str) -> tuple[str, float] | None:
     if found is None or n < STRATA[0]:
         return None
     name, size, uneven = found
+    if name == "letters":
+        body = body.lower()
     # Chi-squared against a uniform alphabet; by its mean and variance, as n is small for a table.
     counts = Counter(body.lower() if name == "hex" else body)
     chi = size / n * sum(c * c for c in counts.values()) - n
@@ -110,7 +113,9 @@ def battery(token: str) -> tuple[str, float] | None:
         return None
     # Fisher's combination of two, in logarithms.
     both = uniform + runs
-    return name, max(0.0, -(both + math.log1p(-both)) / math.log(10))
+    # Characters of one class have no runs to tell: the first test stands alone.
+    level = both + math.log1p(-both) if share else uniform
+    return name, max(0.0, -level / math.log(10))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:

@@ -326,6 +326,22 @@ def test_long_random_tokens_are_found(spark):
     assert sum(r.text == "key [SECRET]" for r in secret_scan.redact(df).collect()) >= 5
 
 
+def test_secrets_after_a_name_and_in_one_class(spark):
+    rng = random.Random(5)
+    value = "".join(rng.choices(ALPHABETS["base64"], k=60))
+    names = ("AWS_SECRET_ACCESS_KEY=", "DB_PASS=", "auth=", "?a=b&sig=", "export VERY_LONG_NAME_OF_IT=")
+    cases = [(name + value + tail, name + "[SECRET]") for name in names for tail in ("", "==")]
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    cases += [(text, "[SECRET]") for text in (letters, letters.upper(), letters.capitalize())]
+    cases += [("internationalization of Donaudampfschifffahrtsgesellschaft NAME=counterrevolutionary",) * 2]
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in secret_scan.redact(df).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+    digits = "".join(rng.choices("0123456789", k=300))
+    assert secret_scan.battery(digits)[0] == "digits" and secret_scan.battery(digits)[1] > 5
+    for ordinary in ("0" * 40, "0123456789" * 20, "abcdefghijklmnopqrstuvwxyz" * 4, "loremipsumdolorsitametconsectetur"):
+        assert secret_scan.battery(ordinary) is None or secret_scan.battery(ordinary)[1] < 3
+
+
 PAGE = """<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><main><article><header><h1>Real &amp; title</h1></header>
 <p>First <b>para</b>graph<br>line&nbsp;two.</p><div class="ad">Buy now</div><ul><li>one</li><li>two</ul><form>Mail</form><p>Last</p></article>
 <section id="comments"><article><p>Nice post, thanks a lot for it.</p></article></section></main><footer>F</footer><script>var a="</p>no";</script></body></html>"""
