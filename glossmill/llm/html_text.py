@@ -48,6 +48,8 @@ _NOT_TEXT = re.compile(
 _TEXT = re.compile(r"article|content|main|post|entry|story|body|text")
 _COMMENT = re.compile(r"comments?|commentlist|disqus|respond|reply|replies|discussion")
 _HEADERS = frozenset("header banner".split())
+# With one of these a name says what a page has, not what an element is: "comments-open".
+_FLAGS = frozenset("has have no with without open opened closed enabled disabled on off allow allowed".split())
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|(?P<comment>))|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?|[!?/][^>]*+>?)""")
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.IGNORECASE)
@@ -62,45 +64,104 @@ def _names_of(rest: str) -> list[list[str]]:
     return [[p.lower() for p in _PARTS.findall(name)] for m in _NAMES.finditer(rest) for name in (m[2] or m[3] or m[4] or "").split()]
 
 
-def _state(tag: str, rest: str, inside: int, in_content: bool) -> int:
-    """Whether words in an element are plain, outside the article, or never text."""
-    if inside == NEVER or tag in HIDDEN or (rest and _HIDDEN_ATTRIBUTE.search(rest)):
-        return NEVER
-    if inside == OUT or tag in BOILERPLATE or (tag == "header" and not in_content):
-        return OUT
-    if tag in ("html", "body") or not rest:
+NAMED, COMMENT = 1, 2
+
+
+def _named(tag: str, rest: str, in_content: bool) -> int:
+    """Whether an element's names, or that it is a form, put it outside the article; and whether as a reader's comment."""
+    if tag in ("html", "body"):
         return PLAIN
-    for parts in _names_of(rest):
+    if tag == "form":
+        return NAMED
+    for parts in _names_of(rest) if rest else ():
         bad = any(_NOT_TEXT.fullmatch(p) or (p in _HEADERS and not in_content) for p in parts)
-        if bad and (any(_COMMENT.fullmatch(p) for p in parts) or not any(_TEXT.fullmatch(p) for p in parts)):
-            return OUT
+        comment = any(_COMMENT.fullmatch(p) for p in parts)
+        if bad and (comment or not any(_TEXT.fullmatch(p) for p in parts)):
+            return COMMENT if comment and _FLAGS.isdisjoint(parts) else NAMED
     return PLAIN
 
 
+@dataclass(frozen=True, eq=False)
+class Wrapper:
+    """An element outside the article by its names only; ``number``: of the opened tag, ``key``: tells it and those around it by tag and attributes."""
+
+    parent: Wrapper | None
+    number: int
+    key: int
+    comment: bool
+
+
+@dataclass(frozen=True, eq=False)
+class Wrapped:
+    """An ``article`` or ``main`` that names alone put outside."""
+
+    by: Wrapper
+    main: bool
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where an element stands; ``by`` is None where more than names put it outside."""
+
+    state: int = PLAIN
+    content: bool = False
+    by: Wrapper | None = None
+    wrapped: Wrapped | None = None
+
+    def inner(self, tag: str, rest: str, number: int, wrappers: frozenset[int]) -> Place:
+        if self.state == NEVER or tag in HIDDEN or (rest and _HIDDEN_ATTRIBUTE.search(rest)):
+            return Place(NEVER, self.content)
+        if (self.state == OUT and self.by is None) or (tag in BOILERPLATE and tag != "form") or (tag == "header" and not self.content):
+            return Place(OUT, self.content)
+        named = PLAIN if number in wrappers else _named(tag, rest, self.content)
+        by, wrapped = self.by, self.wrapped
+        if named:
+            comment = named == COMMENT or (by is not None and by.comment)
+            by, wrapped = Wrapper(by, number, hash((by and by.key, tag, rest)), comment), None
+        if tag in CONTENT:
+            if by is None:
+                return self if self.content else Place(PLAIN, True)
+            main = tag == "main" and not self.content
+            if wrapped is None and (main or not by.comment):
+                wrapped = Wrapped(by, main)
+        if by is self.by and wrapped is self.wrapped:
+            return self
+        return Place(OUT, self.content, by, wrapped)
+
+
 @dataclass(frozen=True)
 class Token:
-    """A tag, or text between tags; ``state`` and ``content`` say where it stands."""
+    """A tag, or text between tags; ``state`` and ``content`` say where it stands, ``wrapped`` in which element that names put outside."""
 
     tag: str | None
     text: str
     breaks: bool
     state: int
     content: bool
+    wrapped: Wrapped | None = None
+
 
+def tokens(page: str, wrappers: frozenset[int] = frozenset()) -> Iterator[Token]:
+    """Tags and text of a page, in order; broken markup is read as browsers roughly do, in linear time.
 
-def tokens(page: str) -> Iterator[Token]:
-    """Tags and text of a page, in order; broken markup is read as browsers roughly do, in linear time."""
-    stack: list[tuple[str, int, bool]] = []
+    The names of the opened tags numbered in ``wrappers`` do not count.
+    """
+    stack: list[tuple[str, Place]] = []
+    page_itself, number = Place(), 0
     # How many of each are open, so that no close or block looks through a deep stack in vain.
     standing: Counter[str] = Counter()
     at, n, lower = 0, len(page), None
 
     def leave(depth: int) -> None:
-        standing.subtract(t for t, _, _ in stack[depth:])
+        standing.subtract(t for t, _ in stack[depth:])
         del stack[depth:]
 
-    def top() -> tuple[int, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (PLAIN, False)
+    def here() -> Place:
+        return stack[-1][1] if stack else page_itself
+
+    def top() -> tuple[int, bool, Wrapped | None]:
+        place = here()
+        return place.state, place.content, place.wrapped
 
     while at < n:
         start = page.find("<", at)
@@ -123,9 +184,8 @@ def tokens(page: str) -> Iterator[Token]:
         if m["name"] is None:
             continue
         tag = m["name"].lower()
-        state, content = top()
         if m["close"]:
-            yield Token(tag, "", tag in BLOCKS, state, content)
+            yield Token(tag, "", tag in BLOCKS, *top())
             if standing[tag] > 0:
                 leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
@@ -138,8 +198,8 @@ def tokens(page: str) -> Iterator[Token]:
                     break
                 if stack[i][0] in until:
                     break
-        state, content = top()
-        yield Token(tag, "", tag in BLOCKS, state, content)
+        yield Token(tag, "", tag in BLOCKS, *top())
+        number += 1
         if tag in VOID:
             continue
         if tag in RAW:
@@ -148,16 +208,58 @@ def tokens(page: str) -> Iterator[Token]:
             end = lower.find(f"</{tag}", at) if len(lower) == n else next((x.start() for x in re.finditer(f"</{tag}", page[at:], re.IGNORECASE)), -1 - at) + at
             if end < 0:
                 end = n
-            inner = _state(tag, m["rest"], state, content)
-            if end > at and inner != NEVER:
-                yield Token(None, page[at:end], False, inner, content)
+            inner = here().inner(tag, m["rest"], number, wrappers)
+            if end > at and inner.state != NEVER:
+                yield Token(None, page[at:end], False, inner.state, inner.content, inner.wrapped)
             close = page.find(">", end)
             at = n if close < 0 else close + 1
-            yield Token(tag, "", tag in BLOCKS, state, content)
+            yield Token(tag, "", tag in BLOCKS, *top())
             continue
-        inner = _state(tag, m["rest"], state, content)
         standing[tag] += 1
-        stack.append((tag, inner, content or (tag in CONTENT and inner == PLAIN)))
+        stack.append((tag, here().inner(tag, m["rest"], number, wrappers)))
+
+
+def _wrappers(stream: list[Token]) -> set[int]:
+    """Elements that names put outside although they hold the page's content.
+
+    Whatever holds a ``main`` with words does, and what holds an ``article`` that is no
+    reader's comment and has more words than all that is plain. Articles in like
+    elements go with it.
+    """
+    words: Counter[Wrapped] = Counter()
+    for t in stream:
+        if t.tag is None and t.wrapped is not None and t.state == OUT:
+            words[t.wrapped] += len(t.text.split())
+    words += Counter()
+    if not words:
+        return set()
+    chosen = [w for w in words if w.main]
+    if not chosen:
+        most, n = words.most_common(1)[0]
+        if n <= sum(len(t.text.split()) for t in stream if t.tag is None and t.state == PLAIN):
+            return set()
+        chosen = [most]
+    keys, found = {w.by.key for w in chosen}, set()
+    for w in words:
+        by = w.by if w.by.key in keys else None
+        while by is not None and by.number not in found:
+            found.add(by.number)
+            by = by.parent
+    return found
+
+
+def page_tokens(page: str) -> list[Token]:
+    """Tags and text of a page, where names do not count of what holds the page's content.
+
+    With each further reading the plain words are more than twice as many, or the first ``main`` has become content.
+    """
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        stream = list(tokens(page, wrappers))
+        more = _wrappers(stream)
+        if not more:
+            return stream
+        wrappers |= more
 
 
 @dataclass(frozen=True)
@@ -174,7 +276,7 @@ def count_tags(page: str) -> dict[str, tuple[int, int]] | None:
     """Tags inside and outside the content element; None for a page without one."""
     counts: dict[str, list[int]] = {}
     labelled = False
-    for token in tokens(page):
+    for token in page_tokens(page):
         if token.tag is None:
             labelled = labelled or (token.content and bool(token.text.strip()))
         elif token.tag not in CONTENT:
@@ -229,7 +331,7 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, two line ends between them."""
-    stream = list(tokens(page or ""))
+    stream = page_tokens(page or "")
     has_content = any(t.content and t.tag is None and t.state == PLAIN and t.text.strip() for t in stream)
     costs = dict(weights.tag_costs)
     scores = []

@@ -367,6 +367,25 @@ def test_html(spark):
     assert got == want and html_text.fit(pages.filter("false")) == weights
 
 
+def test_wrappers_named_like_boilerplate_keep_their_content():
+    weights, body = html_text.Weights(), PAGE[PAGE.index("<header>") : PAGE.index("</body>")]
+    want = html_text.extract(PAGE, weights)
+    opened = ("<div class='layout has-sidebar'>", "<div id='page' class='nav-open'>", "<div class='legal-news'>", "<div class='navy'>", "<form method=post>", "<div class='comments-open'>")
+    for wrapper in (*opened, "".join(opened)):
+        end = "</form>" if wrapper.startswith("<form") else "</div>"
+        page = f"<html><body>{wrapper}{body}{end * wrapper.count('<')}</body></html>"
+        assert html_text.extract(page, weights) == want
+        assert html_text.extract(page.replace("<main>", "").replace("</main>", ""), weights) == want
+        assert html_text.count_tags(page)
+    # An article of its own names, articles in like wrappers, and teasers, asides and comments that stay outside.
+    assert html_text.extract("<article class='legal-news'><p>One two three.</p></article>", weights) == "One two three."
+    assert html_text.extract("<p>Top</p>" + "<div class='news-banner'><article><p>One two three.</p></article></div>" * 2, weights) == "One two three.\n\nOne two three."
+    text = "<p>A page without an element of its own for its text.</p>"
+    for beside in ("<div class='related'><article>Read this too.</article></div>", "<aside><article>Read this too, and much more, and more, and yet more.</article></aside>", "<div id=comments><article>I do not think so, and I shall tell you why at length.</article></div>"):
+        assert html_text.extract(text + beside, weights) == "A page without an element of its own for its text."
+    assert html_text.extract("<div class=navy><main class=legal>" * 3_000 + "x", weights) == "x"
+
+
 def test_pipeline_is_its_stages(spark, documents):
     labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
     model = queries.toxicity_model(documents, labels)
