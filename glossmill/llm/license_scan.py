@@ -22,7 +22,8 @@ from glossmill.llm.words import byte_words
 # The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-_V = r"(?: v| version)? ?"
+# "gpl 3", "gpl v3", "gplv3", "gpl version 3".
+_V = r"(?: ?v| version)? ?"
 # Licences by label, how each is named in words, and a keyword that every such name contains.
 NAMES = {
     "gpl-1.0": (rf"(?:gnu )?(?:general public licen[cs]e|gpl){_V}1(?: 0)?", "gpl|general public"),
@@ -37,14 +38,14 @@ NAMES = {
     "mit": (r"mit(?: expat| x11)? licen[cs]e", " mit "),
     "mit-0": (r"mit no attribution(?: licen[cs]e)?", " mit no"),
     "bsd-1-clause": (r"(?:1|one) clause bsd(?: licen[cs]e)?|bsd 1 clause(?: licen[cs]e)?", "bsd"),
-    "bsd-2-clause": (r"(?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause(?: licen[cs]e)?|(?:simplified|freebsd) (?:bsd )?licen[cs]e", "bsd"),
+    "bsd-2-clause": (r"(?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause(?: licen[cs]e)?|(?:simplified|freebsd) (?:bsd )?licen[cs]e", "bsd|simplified licen"),
     "bsd-3-clause": (r"(?:3|three) clause bsd(?: licen[cs]e)?|bsd 3 clause(?: licen[cs]e)?|(?:new|modified|revised) bsd licen[cs]e", "bsd"),
     "bsd-4-clause": (r"(?:4|four) clause bsd(?: licen[cs]e)?|bsd 4 clause(?: licen[cs]e)?|original bsd licen[cs]e", "bsd"),
     "0bsd": (r"(?:zero|0) clause bsd(?: licen[cs]e)?|0bsd", "bsd"),
-    "mpl-1.1": (rf"(?:mozilla public licen[cs]e|mpl){_V}1 1", " mpl |mozilla public"),
-    "mpl-2.0": (rf"(?:mozilla public licen[cs]e|mpl){_V}2(?: 0)?", " mpl |mozilla public"),
-    "epl-1.0": (rf"(?:eclipse public licen[cs]e|epl){_V}1(?: 0)?", " epl |eclipse public"),
-    "epl-2.0": (rf"(?:eclipse public licen[cs]e|epl){_V}2(?: 0)?", " epl |eclipse public"),
+    "mpl-1.1": (rf"(?:mozilla public licen[cs]e|mpl){_V}1 1", " mpl|mozilla public"),
+    "mpl-2.0": (rf"(?:mozilla public licen[cs]e|mpl){_V}2(?: 0)?", " mpl|mozilla public"),
+    "epl-1.0": (rf"(?:eclipse public licen[cs]e|epl){_V}1(?: 0)?", " epl|eclipse public"),
+    "epl-2.0": (rf"(?:eclipse public licen[cs]e|epl){_V}2(?: 0)?", " epl|eclipse public"),
     "cddl-1.0": (rf"(?:common development and distribution licen[cs]e|cddl){_V}1(?: 0)?", "cddl|common development and"),
     "cpl-1.0": (rf"common public licen[cs]e{_V}1(?: 0)?", "common public"),
     "eupl-1.2": (rf"(?:european union public licen[cs]e|eupl){_V}1 2", "eupl|european union public"),
@@ -75,7 +76,7 @@ NAMES = {
     "vim": (r"vim licen[cs]e", " vim licen"),
     "curl": (r"curl licen[cs]e", " curl licen"),
     "beerware": (r"beer ?ware licen[cs]e", " beer"),
-    "cc0-1.0": (r"cc0(?: 1 0)?|creative commons zero(?: v?1 0)?|cc zero", "cc0|cc zero|commons zero"),
+    "cc0-1.0": (rf"cc0(?:{_V}1 0)?|creative commons zero(?:{_V}1 0)?|cc zero", "cc0|cc zero|commons zero"),
 }
 # Creative Commons: what may follow "by", in abbreviations and in words, for each version.
 CC_PARTS = {"": ("", ""), "-sa": (" sa", " share ?alike"), "-nd": (" nd", " no ?deriv(?:ative)?s?(?: works)?"), "-nc": (" nc", " non ?commercial"), "-nc-sa": (" nc sa", " non ?commercial share ?alike"), "-nc-nd": (" nc nd", " non ?commercial no ?deriv(?:ative)?s?(?: works)?")}
@@ -83,7 +84,7 @@ CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 for _tail, (_short, _long) in CC_PARTS.items():
     for _version in CC_VERSIONS:
         NAMES[f"cc-by{_tail}-{_version.replace(' ', '.')}"] = (
-            rf"(?:cc by{_short}|creative commons attribution{_long})(?: licen[cs]e| international| unported| generic)*(?: v| version)? ?{_version}",
+            rf"(?:cc by{_short}|creative commons attribution{_long})(?: licen[cs]e| international| unported| generic)*{_V}{_version}",
             "cc by|creative commons",
         )
 # How a text says that a licence holds, the surest way first: priority, words before the name, words after it.
@@ -98,7 +99,7 @@ CLAUSES = (
     ("mit", 85, r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?", "hereby granted"),
     ("isc", 85, r"permission to use copy modify and or distribute this software for any purpose", "permission to use"),
     ("bsd", 85, r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
-    ("bsd-3-clause", 84, r"neither the name of .{1,80}? nor the names of (?:its|any) contributors", "neither the name"),
+    ("bsd-3-clause", 84, r"neither the name of (?:(?! neither the name of | may be used ).)+? nor the names of (?:its|any) contributors", "neither the name"),
     ("bsd-4-clause", 84, r"all advertising materials mentioning features or use of this software", "advertising materials"),
     ("zlib", 85, r"this software is provided as is without any express or implied warranty in no event", "express or implied"),
     ("boost-1.0", 85, r"permission is hereby granted free of charge to any person or organization obtaining a copy", "hereby granted"),

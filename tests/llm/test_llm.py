@@ -182,6 +182,52 @@ def test_licences(odd):
     assert [r.n_words for r in rows][:5] == [0, 0, 0, 3, 3]
 
 
+def spellings(parsed):
+    """Texts that a pattern matches: every branch, each option with and without."""
+    out = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            found = [chr(value)]
+        elif kind == "IN":
+            found = [next(chr(v if str(k) == "LITERAL" else v[0] if str(k) == "RANGE" else ord("x")) for k, v in value)]
+        elif kind == "ANY":
+            found = ["x"]
+        elif kind == "BRANCH":
+            found = [x for branch in value[1] for x in spellings(branch)]
+        elif kind == "SUBPATTERN":
+            found = spellings(value[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            found = ([""] if value[0] == 0 else []) + spellings(value[2])
+        else:
+            assert kind == "ASSERT_NOT", kind
+            found = [""]
+        out = [a + b for a in out for b in found]
+    return out
+
+
+def test_every_spelling_of_a_licence_is_looked_for():
+    kept = [(pattern, keywords) for pattern, keywords in license_scan.NAMES.values()] + [(c[2], c[3]) for c in license_scan.CLAUSES]
+    for pattern, keywords in kept:
+        for text in spellings(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, text) and any(k in f" {text} " for k in keywords.split("|")), (pattern, text)
+
+
+def test_short_names_and_long_holders():
+    def labels(text):
+        _, words = license_scan.normalise(text)
+        return {f.label for f in license_scan.detect(words, license_scan.keywords_in(words))}
+
+    names = {"GPLv2": "gpl-2.0", "GPLv3": "gpl-3.0", "GPLv2+": "gpl-2.0", "LGPLv3": "lgpl-3.0", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3.0", "MPLv2": "mpl-2.0", "MPL2": "mpl-2.0", "EPL2": "epl-2.0", "EPLv1.0": "epl-1.0", "CC0v1.0": "cc0-1.0", "CC BY-SAv4.0": "cc-by-sa-4.0", "simplified license": "bsd-2-clause", "GPL v3": "gpl-3.0", "GPL version 3": "gpl-3.0", "GPL-3.0": "gpl-3.0"}
+    for name, label in names.items():
+        for text in (f"licensed under {name}", name, f"see the {name} for details", f"SPDX-License-Identifier: {name}"):
+            assert label in labels(text)
+    for holder in ("Me", "The Regents of the University of " + "somewhere and " * 40 + "elsewhere"):
+        assert labels(f"Neither the name of {holder} nor the names of its contributors may be used") == {"bsd-3-clause"}
+    assert labels("Neither the name of me may be used to endorse. " + "x " * 50 + "nor the names of its contributors") == set()
+    assert labels("neither the name of " * 50_000) == set()
+
+
 def test_intervals_within_others_go():
     rng = random.Random(4)
     for _ in range(300):
