@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.words import byte_words
+from glossmill.llm.words import folded_words
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -109,7 +109,7 @@ def tiles(item, text, least: int) -> list[tuple[int, int, int]]:
 class Part:
     """Items of a benchmark, as every task gets them."""
 
-    items: tuple[tuple[int, tuple[bytes, ...]], ...]
+    items: tuple[tuple[int, tuple[str, ...]], ...]
     min_match: int
 
 
@@ -120,7 +120,7 @@ class Index:
         import numpy as np
 
         self.part, self.min_match = part, part.min_match
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
         self.items = []
         owners: dict[int, dict[int, list[int]]] = {}
         for at, (_, words) in enumerate(part.items):
@@ -139,7 +139,7 @@ class Index:
         import numpy as np
 
         number = self.number.get
-        ids = np.array([number(w, 0) for w in byte_words(text)], np.int64)
+        ids = np.array([number(w, 0) for w in folded_words(text)], np.int64)
         if not len(ids) or not len(self.seeds):
             return
         rolling, unknown = None, np.zeros(len(ids) + 1, np.int64)
@@ -196,13 +196,13 @@ def parts(benchmark: DataFrame, id: str = "item_id", text: str = "text", min_mat
 
     Items without words are left out; null ids count as ids of their own.
     """
-    size = F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    size = F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{M}\p{N}]+"))
     rows = benchmark.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), size.alias("size")).filter("text is not null").distinct()
     total = rows.agg(F.sum("size")).first()[0] or 0
     n = total // part_words + 1
     for i in range(n):
         chosen = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        items = sorted(((r["id"], tuple(byte_words(r["text"]))) for r in chosen.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        items = sorted(((r["id"], tuple(folded_words(r["text"]))) for r in chosen.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         yield Part(tuple(x for x in items if x[1]), min_match)
 
 
@@ -240,7 +240,7 @@ def leaks(
 ) -> DataFrame:
     """Add the benchmark items that each whole text leaks: an array of ``(item, coverage, n_tiles, matched_words, longest)``.
 
-    Words are compared in lower case and without punctuation. An item shorter than
+    Words are compared without regard to case and without punctuation, in any script. An item shorter than
     ``min_match`` words must occur as a whole. Repeated items with one id and text
     count once; a null or empty text leaks nothing; a column named ``out`` is
     replaced, the others pass. The benchmark is broadcast in parts of a bounded

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import unicodedata
 from array import array
 from pathlib import Path
 
@@ -17,7 +18,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from checks.compare import database, duck_rows, spark_rows
 from glossmill.llm import bpe, components, decontaminate, html_text, license_scan, oracles, quality_model, quality_rules, queries, secret_scan, simhash, toxicity, warc
-from glossmill.llm.words import byte_words
+from glossmill.llm.words import byte_words, folded_words
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(queries.TOKENIZER)
@@ -323,6 +324,25 @@ def test_leaks(spark, odd, none):
     assert decontaminate.clean(odd, bench).count() == len(ROWS) and decontaminate.clean(none, bench.filter("false")).count() == 0
 
 
+def test_leaks_in_capitals_and_with_typographic_signs(spark):
+    items = [
+        "Où était l'élève qui a préféré la forêt à l'école, « déjà » fermée l'été dernier ?",
+        "Über die Straße gehen größere Mädchen mit schönen Äpfeln für ihre älteren Brüder.",
+        "El niño pequeño soñó mañana y año con España, señor, según dicen los demás niños.",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    made = [str.upper, lambda t: t.replace(" ", "\u00a0"), lambda t: t.replace("'", "\u2019").replace(" ", " \u2013 "), lambda t: f"\u201c{t.replace(' ', chr(0x201D) + ' ')}\u2026", lambda t: unicodedata.normalize("NFD", t.upper())]
+    docs = [(i, f(text)) for f in made for i, text in enumerate(items)]
+    df = spark.createDataFrame([*docs, (None, "Ganz andere Wörter für größere Straßen, mit schönen Grüßen")], "want bigint, text string")
+    for rows in (decontaminate.leaks(df, bench).collect(), decontaminate.leaks(df, bench, part_words=10).collect()):
+        assert [[(x.item, x.coverage) for x in r.leaks] for r in rows] == [[] if r.want is None else [(r.want, 1.0)] for r in rows]
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choices("aZ09_-. \tÉé—’\u00a0\u0301हिß٣²", k=12))
+        want = re.split("_+", "".join(c if unicodedata.category(c)[0] in "LMN" else "_" for c in unicodedata.normalize("NFC", text.casefold())))
+        assert folded_words(text) == [w for w in want if w]
+
+
 def plain_base(text):
     out = []
     for kind, pattern, least, group in ((0, secret_scan.ASSIGN, 12, 2), (1, re.compile("AKIA[A-Z0-9]+"), 18, 0), (2, re.compile("[0-9a-f]+"), 16, 0)):
