@@ -20,7 +20,7 @@ from glossmill.llm.words import folded_words
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: Words of items that are sent to every task at once; a larger benchmark takes more passes.
+#: Words of items in one broadcast; a larger benchmark takes more of them.
 PART_WORDS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -244,7 +244,8 @@ def leaks(
     ``min_match`` words must occur as a whole. Repeated items with one id and text
     count once; a null or empty text leaks nothing; a column named ``out`` is
     replaced, the others pass. The benchmark is broadcast in parts of a bounded
-    number of words, with a pass over the texts for each part: documents are never
+    number of words, with a function over the texts for each part, all in one
+    stage and alive together: memory grows with the benchmark. Documents are never
     shuffled, however hot a passage is.
     """
     df = documents.drop(out).withColumn(out, F.array().cast(_FOUND))
