@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import bpe, decontaminate, html_text, license_scan, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
+from glossmill.llm import bpe, decontaminate, fill_middle, html_text, license_scan, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 #: A text is toxic from this score on.
@@ -129,6 +129,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = fill_middle.fill_in_middle(documents)
+    return done.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -142,5 +156,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_secret_scan,
         op10_html_text,
+        op12_fill_in_middle,
     )
 }
