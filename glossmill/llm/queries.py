@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import bpe, decontaminate, fill_middle, html_text, license_scan, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
+from glossmill.llm import align_tokens, bpe, decontaminate, fill_middle, html_text, license_scan, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED_TOKENIZERS = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: A text is toxic from this score on.
 TOXIC_FROM = 0.3
 SHINGLE, MAX_BITS = 3, 3
@@ -143,6 +144,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align_tokens.alignments(documents, *map(public_tokenizers.path, ALIGNED_TOKENIZERS))
+    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -157,5 +165,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secret_scan,
         op10_html_text,
         op12_fill_in_middle,
+        op13_token_alignment,
     )
 }
