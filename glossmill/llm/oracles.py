@@ -45,6 +45,13 @@ select page_id, strlen(p.payload)::bigint as payload_bytes, sha1(p.payload) as p
 from p left join heads on p.payload = heads.payload
 """
 
+OP11 = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from (select doc_id, coalesce(text, '') as t from documents) as d
+window same as (partition by t)
+"""
+
 OP12 = """
 with h as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
 d as (select *, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from h),
@@ -59,4 +66,4 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
 from p
 """
 
-ORACLES = {"op6_quality_rules": OP6, "op7_warc": OP7, "op12_fill_in_middle": OP12}
+ORACLES = {"op6_quality_rules": OP6, "op7_warc": OP7, "op11_exact_dedup": OP11, "op12_fill_in_middle": OP12}

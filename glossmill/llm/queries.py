@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import align_tokens, bpe, decontaminate, fill_middle, html_text, license_scan, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
+from glossmill.llm import align_tokens, bpe, decontaminate, exact_dedup, fill_middle, html_text, license_scan, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
+from glossmill.sources.workspace import work_dir
 
 TOKENIZER = "word_bpe_49k.json"
 ALIGNED_TOKENIZERS = ("byte_bpe_50k.json", "piece_bpe_32k.model")
@@ -151,6 +152,11 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.duplicates(documents, work_dir(spark, "exact-index"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -164,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_secret_scan,
         op10_html_text,
+        op11_exact_dedup,
         op12_fill_in_middle,
         op13_token_alignment,
     )
