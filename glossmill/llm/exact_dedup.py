@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from glossmill.sources.workspace import keep
 
 #: Digests of one bucket, about, when an index is made. Larger buckets get larger filters.
-BUCKET_KEYS = 1 << 14
+BUCKET_KEYS = 1 << 10
 #: Share of a new filter's places that are taken.
 LOAD = 0.85
 #: Digests that one insertion moves on before the filter counts as full.
