@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from collections import Counter
@@ -28,6 +29,9 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Python workers find the package wherever the session was started from.
+    paths = [str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH", "")]
+    spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, paths))
     return spark
 
 

@@ -19,13 +19,17 @@ select doc_id,
 from (select doc_id, source, text, repeat(chr(34), 3) as q3,
         case when cast(doc_id % 14 as int) < 4 then chr(10) || 't = ' || chr(39) || 'a//b' || chr(92) || chr(39) || chr(39) || ' + ' || chr(96) || 'x/*y*/' || chr(96) || '; // n' || chr(10)
             || 'case  /' || chr(92) || '/[/' || chr(34) || ']/.test(u): z(); // n' || chr(13) || chr(10) || 'v = a / b; // n' || chr(10)
+            || case when doc_id % 2 = 1 then 'if (ok) /' || chr(92) || '/' || chr(92) || '//.test(u); d(); // n' || chr(10)
+              || 'w = <p>a // b</p>; // n' || chr(10) || 'y = (a + b) / c; // n' || chr(10) else '' end
           when cast(doc_id % 14 as int) = 4 then chr(10) || 's = ' || chr(39) || 'a#b' || chr(92) || chr(39) || chr(39) || '  # n' || chr(10) || 't = ' || repeat(chr(39), 3) || 'x#' || chr(10) || 'y' || repeat(chr(39), 3) || '  # n' || chr(10)
             || 'def g(a=' || chr(39) || 'k:' || chr(39) || '):' || chr(10) || '    ' || chr(39) || 'one' || chr(39) || ' ' || chr(34) || 'line' || chr(34) || chr(10)
             || '    v = [' || chr(10) || '      ' || chr(34) || 'kept' || chr(34) || chr(10) || '    ]' || chr(10) || 'class C(g):' || chr(10) || chr(10) || '    ' || chr(34) || 'c' || chr(34) || chr(10) || '    x = {g:' || chr(10) || '    ' || chr(34) || 'kept' || chr(34) || chr(10) || '    }' || chr(10)
+            || 'def h(a,' || chr(10) || '      b):' || chr(10) || '    ' || chr(39) || 'one' || chr(39) || chr(10) || '    x = {"a":' || chr(10) || '      ' || repeat(chr(34), 3) || 'operand' || repeat(chr(34), 3) || chr(10) || '    }' || chr(10)
+            || '    y = (a or' || chr(10) || repeat(chr(34), 3) || 'operand' || repeat(chr(34), 3) || ')' || chr(10) || '    z = (1 if b else' || chr(10) || '    ' || chr(39) || 'kept' || chr(39) || ')' || chr(10) || '    ' || chr(39) || 'gone' || chr(39) || chr(10)
           when cast(doc_id % 14 as int) = 5 then chr(10) || 'String t = ' || repeat(chr(34), 3) || ' // no ' || chr(92) || repeat(chr(34), 3) || ' ' || repeat(chr(34), 3) || '; // n' || chr(10) || 'public static int f(int a) { return ' || chr(39) || chr(34) || chr(39) || '; }' || chr(10)
           when cast(doc_id % 14 as int) in (6, 8) then chr(10) || '#include <a//b.h>' || chr(10) || 'auto t = R' || chr(34) || 'x(// no )' || chr(34) || ' )x' || chr(34) || '; int n = 1' || chr(39) || '000' || chr(39) || '0; // n' || chr(10)
           when cast(doc_id % 14 as int) = 7 then chr(10) || '#include <a//b.h>' || chr(10) || 'int n = 0x1' || chr(39) || 'f; char c = ' || chr(39) || chr(34) || chr(39) || '; // n ' || chr(92) || chr(10) || 'more' || chr(10)
-          when cast(doc_id % 14 as int) in (10, 11) then chr(10) || 'a { b: url(http://x/y); c: ' || chr(39) || '/*' || chr(39) || ' } /* n */' || chr(10)
+          when cast(doc_id % 14 as int) in (10, 11) then chr(10) || 'a { b: url(http://x/y); c: ' || chr(39) || '/*' || chr(39) || ' } /* n */' || chr(10) || 'd { e: url(data:image/svg+xml;/*x*/) }' || chr(10)
           else '' end as tail,
         case cast(doc_id % 14 as int) when 0 then '.js' when 1 then '.jsx' when 2 then '.ts' when 3 then '.tsx'
           when 4 then '.py' when 5 then '.java' when 6 then '.cpp' when 7 then '.c' when 8 then '.h'
@@ -59,9 +63,9 @@ ERROR = "case when (doc_id + chunk_index) % 17 = 0 then 'model error ' || cast(d
 # Documented texts to audit: true to the code, changed, shortened, or unchanged.
 AFTER = """case cast(doc_id % 4 as int)
   when 0 then case when language = 'python' then '# note' || chr(10) || replace(content, 'def f(a):' || chr(10), 'def f(a):' || chr(10) || '    ' || repeat(chr(34), 3) || 'Return a.' || repeat(chr(34), 3) || chr(10)) else '/* note */' || chr(10) || content end
-  when 1 then replace(content, 'x += 1', 'x += 2')
+  when 1 then replace(replace(content, 'x += 1', 'x += 2'), 'operand', 'changed')
   when 2 then replace(content, chr(10) || chr(10), chr(10))
-  else content end"""
+  else replace(content, 'a // b</p>', 'a // c</p>') end"""
 
 PAIRS = """
 select b.conv_id, b.turn, b.text as before, a.text as after

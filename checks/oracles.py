@@ -108,19 +108,25 @@ SPLICED = r"//[^\\\r\n]*(?:\\(?:\r\n|[\s\S])?[^\\\r\n]*)*"
 RAW = r'\bR"x\((?:[^)]|\)+[^x)])*\)+x"'
 INCLUDE = r"#[ \t]*include[ \t]*<[^>\n]*>"
 URL = r"[uU][rR][lL]\([^()\"'\n]*\)"
+# After a condition, and between tags that stand on one line.
+AFTER_CONDITION = r"\bif \([a-z]*\) /(?:[^/*\\\[\n]|\\[^\n])(?:[^/\\\[\n]|\\[^\n])*/"
+ELEMENT = r"<[a-z]+>[^<>{}\n]*</[a-z]+>"
 TOKENS = {
-    "javascript": ((REGEX, DQ, SQ, BT), (BLOCK, LINE)),
-    "typescript": ((REGEX, DQ, SQ, BT), (BLOCK, LINE)),
+    "javascript": ((AFTER_CONDITION, ELEMENT, REGEX, DQ, SQ, BT), (BLOCK, LINE)),
+    "typescript": ((AFTER_CONDITION, ELEMENT, REGEX, DQ, SQ, BT), (BLOCK, LINE)),
     "java": ((TDQ, OPEN[0], DQ, SQ), (BLOCK, LINE)),
     "cpp": ((RAW, NUMBER, DQ, SQ, INCLUDE), (BLOCK, SPLICED)),
     "c": ((NUMBER, DQ, SQ, INCLUDE), (BLOCK, SPLICED)),
     "python": ((TDQ, TSQ, *OPEN, DQ, SQ), (HASH,)),
-    "css": ((DQ, SQ), (BLOCK,)),
+    "css": ((URL, DQ, SQ), (BLOCK,)),
     "scss": ((URL, DQ, SQ), (BLOCK, LINE)),
 }
 HTML = r"<!--[\s\S]*?-->"
 
 
+BACK = r"\1\2"
+
+
 def _comments(language: str) -> str:
     literals, comments = TOKENS[language]
     comment = "|".join(comments)
@@ -145,18 +151,27 @@ def _regex(content: str) -> str:
     )
 
 
-def _docstrings(content: str) -> str:
-    strings = rf"(?:{TDQ}|{TSQ}|{DQ}|{SQ})"
-    operand = (
-        rf"[(\[{{,]\s*(?:[rRbBuUfF]{{0,2}}{strings}\s*)+|[=+%\\]\s*[rRbBuUfF]{{0,2}}(?:{TDQ}|{TSQ})"
+# Tokens of python without comments.
+STRING = rf"(?:\b[rRbBuU]{{1,2}})?(?:{TDQ}|{TSQ})|{OPEN[0]}|{OPEN[1]}|(?:\b[rRbBuU]{{1,2}})?(?:{DQ}|{SQ})"
+PYTHON = rf"{STRING}|[()\[\]{{}}]|\\\r?\n|\r?\n|[ \t\f]+|[^\"'()\[\]{{}}\\\r\n \t\f]+|[\s\S]"
+
+
+def _without_docstrings(source: str, key: str, name: str) -> tuple[str, ...]:
+    """``name(key, bare)`` of python texts ``source(key, bare)``: statements by the depth of brackets, and none that is strings only."""
+    return (
+        f"{name}_tokens as (select {key}, unnest(tokens) as token, generate_subscripts(tokens, 1) as i"
+        f" from (select {key}, regexp_extract_all(bare, {_text(PYTHON)}) as tokens from {source}) t)",
+        f"""{name}_depths as (select *, level - least(0, min(level) over (partition by {key} order by i)) as depth from (
+    select *, sum(case when token in ('(', '[', '{{') then 1 when token in (')', ']', '}}') then -1 else 0 end)
+      over (partition by {key} order by i) as level from {name}_tokens) l)""",
+        f"""{name}_statements as (select {key}, statement, min(i) as first_i, string_agg(token, '' order by i) as code,
+    bool_and(regexp_matches(token, '^[ \t\f\r\n]+$') or regexp_full_match(token, {_text(f'(?:[rRbBuU]{{0,2}}(?:{TDQ}|{TSQ}|{DQ}|{SQ}))')})) 
+      and bool_or(regexp_matches(token, {_text("[" + chr(34) + chr(39) + "]$")})) as strings
+  from (select *, coalesce(sum(case when depth = 0 and token in ({NL}, chr(13) || {NL}) then 1 else 0 end)
+      over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0) as statement from {name}_depths) s
+  group by {key}, statement)""",
+        f"{name} as (select {key}, coalesce(string_agg(code, '' order by first_i) filter (not strings), '') as bare from {name}_statements group by {key})",
     )
-    joined, end = rf"(?:[ \t]*[rRbBuU]{{0,2}}{strings})*", r"[ \t]*(?:\r?\n|\z)"
-    alone = rf"(?m:^)[ \t]*[rRbBuU]{{0,2}}(?:{TDQ}|{TSQ}){joined}{end}"
-    header = rf"(?m:^)[ \t]*(?:async[ \t]+)?(?:def|class)[ \t](?:{DQ}|{SQ}|[^\n\"'])*:[ \t]*\r?\n"
-    plain = rf"((?:\A|{header})(?:[ \t]*\r?\n)*)[ \t]*[rRbBuU]{{0,2}}(?:{DQ}|{SQ}){joined}{end}"
-    pattern = rf"({operand})|{alone}|{plain}|({'|'.join(TOKENS['python'][0])})"
-    bare = _replace(content, _comments("python"), r"\1\2")
-    return _tidy(_replace(bare, pattern, r"\1\2\3"))
 
 
 # Lines and chunks
@@ -286,10 +301,9 @@ from {pairs} p join (
   group by {key}) c on {match}"""
 
 
-def _code(text: str) -> str:
-    bare = f"case when language = 'python' then {_docstrings(text)} else {_lexical(text)} end"
-    return f"""list_filter(list_transform(string_split({bare}, {NL}),
-    lambda x: {_trim('x', 'rtrim')}), lambda x: x <> '')"""
+def _code(bare: str) -> str:
+    """Lines that hold code."""
+    return f"list_filter(list_transform(string_split({bare}, {NL}), lambda x: {_trim('x', 'rtrim')}), lambda x: x <> '')"
 
 
 # Edits
@@ -382,7 +396,10 @@ from (select *, {fixtures.OPENED_AS} as opened from files) f"""
         f"select path, language, {_lexical('content')} as content from files {STRIP_FILE}"
     ),
     "strip_docstrings": _with_files(
-        f"select path, {_docstrings('content')} as content from planned where language = 'python'", PLANNED
+        f"select path, {_tidy('bare')} as content from pure",
+        PLANNED,
+        f"plain as (select path, {_replace('content', _comments('python'), BACK)} as bare from planned where language = 'python')",
+        *_without_docstrings("plain", "path", "pure"),
     ),
     "pages_strip_html": f"select page_id, {_tidy(_replace('html', HTML))} as html from pages",
     "blank_lines": f"select doc_id, {_tidy('spaced')} as text from (select doc_id, {fixtures.SPACED} as spaced from documents) d",
@@ -476,10 +493,16 @@ from (select *, min(case when error is not null then chunk_index end) over (part
     ),
     "preservation_audit": _with_files(
         f"""select path, language, code_kept, lines_kept, code_kept and lines_kept as preserved from (
-  select path, language, {_code('before')} = {_code('after')} as code_kept,
-    len(string_split(after, {NL})) >= len(string_split(before, {NL})) as lines_kept from audited) a""",
+  select a.path, language, {_code('b.bare')} = {_code('c.bare')} as code_kept,
+    len(string_split(after, {NL})) >= len(string_split(before, {NL})) as lines_kept
+  from audited a join bare b on b.side = 'b' || a.path join bare c on c.side = 'a' || a.path) a""",
         PLANNED,
         AUDITED,
+        f"""sides as (select 'b' || path as side, language, {_lexical('before')} as bare from audited
+  union all select 'a' || path, language, {_lexical('after')} from audited)""",
+        "plain as (select side, bare from sides where language = 'python')",
+        *_without_docstrings("plain", "side", "pure"),
+        "bare as (select side, bare from sides where language <> 'python' union all select side, bare from pure)",
     ),
     "run_summary": _with_files(_summary("documented"), *PLAIN),
     "strip_files": _with_files(

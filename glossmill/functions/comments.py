@@ -2,7 +2,9 @@ r"""Comment removal as column expressions.
 
 ``regex`` mode deletes whatever looks like a comment. ``lexical`` mode reads the
 text token by token: one alternation in which literals come first and are kept,
-so a comment opener inside a string stays. Both end in the blank-line clean-up.
+so a comment opener inside a string stays. Scripts in which that depends on what
+is open around it, and python's docstrings, are scanned instead (``functions.scan``).
+Both modes end in the blank-line clean-up.
 
 Every pattern reads the text a bounded number of times. Two things would break
 that: an opener without a closer, met again and again (each would scan to the end
@@ -14,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossmill.functions.scan import python_without_docstrings, scripts_without_comments
 from glossmill.functions.text import normalise_blank_lines
 
 C_LIKE = ("javascript", "typescript", "java", "cpp", "c")
+SCRIPTS = ("javascript", "typescript")
 STYLESHEETS = ("css", "scss")
 MARKUP = ("html", "htm")
 
@@ -83,28 +87,18 @@ LEXICONS = {
         (TRIPLE_DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE_OPEN, TRIPLE_SINGLE_OPEN, F_DOUBLE, F_SINGLE, DOUBLE, SINGLE),
         (HASH,),
     ),
-    "css": ("\"'/", (DOUBLE, SINGLE), (BLOCK,)),
+    "css": ("\"'/(", (URL, DOUBLE, SINGLE), (BLOCK,)),
     "scss": ("\"'/(", (URL, DOUBLE, SINGLE), (BLOCK, LINE)),
 }
 
-# A triple-quoted string alone on its line or lines is a docstring, with strings
-# joined to it, unless it is an operand: of a bracket or a comma, with the strings
-# it is joined to, or of an operator or a continued line.
-_TRIPLE = f"(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE})"
-_STRING = f"(?:{TRIPLE_DOUBLE}|{TRIPLE_SINGLE}|{DOUBLE}|{SINGLE})"
-_ENDS_LINE = r"[ \t]*+(?:\r?\n|\z)"
-_JOINED = rf"(?:[ \t]*+[rRbBuU]{{0,2}}{_STRING})*+"
-DOCSTRING = rf"(?dm:^)[ \t]*+[rRbBuU]{{0,2}}{_TRIPLE}{_JOINED}{_ENDS_LINE}"
-# A string in plain quotes is one at the start of a file, or first in the body
-# under a definition's header that is one line; elsewhere it may be an operand.
-_HEADER = (
-    rf"(?dm:^)[ \t]*+(?:async[ \t]++)?+(?:def|class)[ \t][^\n\"':]*+"
-    rf"(?:(?:{DOUBLE}|{SINGLE}|:(?![ \t]*+\r?\n))[^\n\"':]*+)*+:[ \t]*+\r?\n"
-)
-PLAIN_DOCSTRING = rf"(?<head>(?:\A|{_HEADER})(?:[ \t]*+\r?\n)*+)[ \t]*+[rRbBuU]{{0,2}}(?:{DOUBLE}|{SINGLE}){_JOINED}{_ENDS_LINE}"
-OPERAND = (
-    rf"[(\[{{,]\s*+(?:[rRbBuUfF]{{0,2}}{_STRING}\s*+)++|[=+%\\]\s*+[rRbBuUfF]{{0,2}}{_TRIPLE}"
+# Texts of scripts in which a slash, a quote or a brace may mean one thing or another by what is open around it:
+# slashes after a bracket, a sign or a word that this lexicon does not know, tags, and holes in templates.
+AMBIGUOUS = (
+    r"[)}+\-%^~<]\s*+/(?![*/])|\*\s++/(?![*/])|/>|\$\{"
+    r"|(?<!\w)(?:in|of|instanceof|new|delete|void|else|do|default|extends)\s*+/(?![*/])"
 )
+# What a statement that is a string begins with.
+STRING_LINE = r"(?:\A|\n)[ \t\f]*+[rRbBuU]{0,2}[\"']"
 
 
 def _pattern(language: str) -> str:
@@ -127,15 +121,24 @@ def _pattern(language: str) -> str:
     return rf"\A(?:[ \t]*+(?:{comment})[ \t]*+\r?\n)++|(?=[{starts}\r\n])(?:{'|'.join(tokens)})"
 
 
-def _strip_lexical(text: Column, language: str, docstrings: bool) -> Column:
-    _, literals, comments = LEXICONS[language]
-    stripped = F.regexp_replace(
-        text, _pattern(language), "${kept}" + ("${rest}" if BLOCK in comments else "")
-    )
-    if language != "python" or not docstrings:
-        return stripped
-    strings = f"(?<operand>{OPERAND})|{DOCSTRING}|{PLAIN_DOCSTRING}|(?<kept>{'|'.join(literals)})"
-    return F.regexp_replace(stripped, strings, "${operand}${head}${kept}")
+def _strip_lexical(text: Column, language: str) -> Column:
+    _, _, comments = LEXICONS[language]
+    return F.regexp_replace(text, _pattern(language), "${kept}" + ("${rest}" if BLOCK in comments else ""))
+
+
+def _strip_script(text: Column, language: Column) -> Column:
+    """Scripts: by the pattern where it can tell, else by the scanner, which gets nulls for all other texts."""
+    scanned = scripts_without_comments(F.when(language.isin(*SCRIPTS) & text.rlike(AMBIGUOUS), text))
+    return F.coalesce(scanned, _strip_lexical(text, SCRIPTS[0]))
+
+
+def without_docstrings(text: Column, language: Column, hold: bool = False) -> Column:
+    """Python without statements that are strings only, other texts as they are; comments must be gone already.
+
+    ``hold``: ``pass`` stands for those that were all of a body.
+    """
+    asked = (language == "python") & text.rlike(STRING_LINE)
+    return F.coalesce(python_without_docstrings(F.when(asked, text), hold), text)
 
 
 def _delete(text: Column, opener: str, closer: str) -> Column:
@@ -173,14 +176,16 @@ def _strip_regex(text: Column, language: Column) -> Column:
 def strip_comments(text: Column, language: Column, mode: str = "lexical", docstrings: bool = False) -> Column:
     """Text without comments; other languages only get the blank-line clean-up.
 
-    ``docstrings`` (lexical mode) also removes python strings that stand alone
-    on their line. That may empty a body, so it is off by default.
+    ``docstrings`` (lexical mode) also removes python's statements that are strings only.
+    That may empty a body, so it is off by default.
     """
     if mode == "regex":
         return normalise_blank_lines(_strip_regex(text, language), text)
     if mode != "lexical":
         raise ValueError(f"mode must be 'lexical' or 'regex', not {mode!r}")
-    stripped = F.when(language.isin(*MARKUP), _strip_markup(text))
+    stripped = F.when(language.isin(*MARKUP), _strip_markup(text)).when(language.isin(*SCRIPTS), _strip_script(text, language))
     for name in LEXICONS:
-        stripped = stripped.when(language == name, _strip_lexical(text, name, docstrings))
-    return normalise_blank_lines(stripped.otherwise(text), text)
+        if name not in SCRIPTS:
+            stripped = stripped.when(language == name, _strip_lexical(text, name))
+    bare = stripped.otherwise(text)
+    return normalise_blank_lines(without_docstrings(bare, language) if docstrings else bare, text)

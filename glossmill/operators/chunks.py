@@ -105,9 +105,14 @@ def rejoin(pieces: DataFrame, column: str = "text") -> DataFrame:
     """``(path, content)`` from chunk rows, in order.
 
     A group is one file, and the result is that file's text in one row: what is
-    gathered is never more than a row of the result holds.
+    gathered is never more than a row of the result holds. It is gathered as a set, so
+    copies of a row are one; of several pieces of one chunk the least counts.
     """
-    in_order = F.array_sort(F.collect_list(F.struct("chunk_index", F.col(column).alias("piece"))))
-    return pieces.groupBy("path").agg(
-        F.array_join(F.transform(in_order, lambda p: p["piece"]), "\n").alias("content")
-    )
+    in_order = F.array_sort(F.collect_set(F.struct("chunk_index", F.coalesce(column, F.lit("")).alias("piece"))))
+    gathered = pieces.groupBy("path").agg(in_order.alias("pieces"))
+
+    def first_of_chunk(piece: Column, index: Column) -> Column:
+        return (index == 0) | (F.get(F.col("pieces"), index - 1)["chunk_index"] != piece["chunk_index"])
+
+    first = F.filter("pieces", first_of_chunk)
+    return gathered.select("path", F.array_join(F.transform(first, lambda p: p["piece"]), "\n").alias("content"))

@@ -56,7 +56,7 @@ def apply_spans(
     spans that overlap, leave the text or have no start or end is not edited but marked ``applied = false``; one without
     spans stays as it is.
     ``accept`` judges a span by the text it covers and its replacement; a span it
-    turns down is left out. Files are shuffled once. A group of spans is one
+    turns down is left out, but places are judged before, those of such spans too. Files are shuffled once. A group of spans is one
     file's, and its result one row.
     With ``sparse``, for spans in a few of many files, the result is the same, but
     files without spans are told apart before the shuffle and pass beside it;
@@ -77,16 +77,24 @@ def apply_spans(
         .withColumn("blocks", F.when(F.col("spans").isNotNull(), _blocks(F.col("content"))))
     )
     blocks = F.col("blocks")
+
+    def after_last(span: Column, index: Column) -> Column:
+        previous = F.coalesce(F.get(F.col("spans"), index - 1)["end"], F.lit(0))
+        return F.struct(previous.alias("after"), span.alias("span"))
+
+    def misplaced(edit: Column) -> Column:
+        span = edit["span"]
+        wrong = (span["start"] < edit["after"]) | (span["end"] < span["start"]) | (span["end"] > F.col("size"))
+        return F.coalesce(wrong, F.lit(True))
+
+    # Places come first: whether a span is wanted is asked only where all of a file's spans can be.
+    cut = cut.withColumn("applied", F.coalesce(~F.exists(F.transform("spans", after_last), misplaced), F.lit(True)))
     if accept is not None:
 
         def taken(span: Column) -> Column:
             return accept(_between(blocks, span["start"], span["end"]), span["replacement"])
 
-        cut = cut.withColumn("spans", F.filter("spans", taken))
-
-    def after_last(span: Column, index: Column) -> Column:
-        previous = F.coalesce(F.get(F.col("spans"), index - 1)["end"], F.lit(0))
-        return F.struct(previous.alias("after"), span.alias("span"))
+        cut = cut.withColumn("spans", F.when(F.col("applied"), F.filter("spans", taken)).otherwise(F.col("spans")))
 
     # Each span with the end of the one before it: the text between is kept.
     cut = cut.select(
@@ -94,16 +102,12 @@ def apply_spans(
         "content",
         "size",
         "blocks",
+        "applied",
         F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
         F.transform("spans", after_last).alias("edits"),
         F.coalesce(F.try_element_at("spans", F.lit(-1))["end"], F.lit(0)).alias("last"),
     )
 
-    def misplaced(edit: Column) -> Column:
-        span = edit["span"]
-        wrong = (span["start"] < edit["after"]) | (span["end"] < span["start"]) | (span["end"] > F.col("size"))
-        return F.coalesce(wrong, F.lit(True))
-
     def piece(edit: Column) -> Column:
         span = edit["span"]
         return F.concat(_between(blocks, edit["after"], span["start"]), span["replacement"])
@@ -111,8 +115,7 @@ def apply_spans(
     edited = F.concat(
         F.array_join(F.transform("edits", piece), ""), _between(blocks, F.col("last"), F.col("size"))
     )
-    judged = cut.withColumn("applied", F.coalesce(~F.exists("edits", misplaced), F.lit(True)))
-    return judged.select(
+    return cut.select(
         "path",
         F.when(F.col("applied") & (F.col("n_spans") > 0), edited).otherwise(F.col("content")).alias("content"),
         "n_spans",

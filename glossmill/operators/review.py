@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.comments import strip_comments
+from glossmill.functions.comments import strip_comments, without_docstrings
 from glossmill.functions.lines import LINE_SPACE, count_lines, split_lines
 from glossmill.functions.text import js_trim, utf16_length
 
@@ -84,19 +84,28 @@ def preservation_audit(pairs: DataFrame) -> DataFrame:
     """Adds ``code_kept``, ``lines_kept`` and their conjunction ``preserved`` to
     ``(language, before, after)`` rows: a documented text must hold the same code,
     comments, docstrings, blank lines and space at line ends apart, and at least as many lines.
+
+    Equal texts are asked no more, others are compared without comments. Only python that
+    still differs is compared without docstrings, which are statements by themselves and
+    nothing else; a body that has nothing but one counts as not empty.
     """
     before, after, language = F.col("before"), F.col("after"), F.col("language")
+    differ = before != after
     bare = pairs.withColumns(
         {
-            "bare_before": strip_comments(before, language, docstrings=True),
-            "bare_after": strip_comments(after, language, docstrings=True),
+            "__before": F.when(differ, strip_comments(before, language)),
+            "__after": F.when(differ, strip_comments(after, language)),
         }
     )
-    # Most documented texts are the same once stripped, and need no second look.
-    bare_before, bare_after = F.col("bare_before"), F.col("bare_after")
-    same = (bare_before == bare_after) | (_code_text(bare_before) == _code_text(bare_after))
+    one, other = F.col("__before"), F.col("__after")
+    judged = bare.withColumn("__same", ~differ | (one == other) | (_code_text(one) == _code_text(other)))
+    again = ~F.col("__same") & (language == "python")
+    pure = judged.withColumns(
+        {c: without_docstrings(F.when(again, F.col(c)), F.lit("python"), hold=True) for c in ("__before", "__after")}
+    )
+    same = F.col("__same") | F.coalesce(_code_text(one) == _code_text(other), F.lit(False))
     return (
-        bare.withColumns({"code_kept": same, "lines_kept": count_lines(after) >= count_lines(before)})
+        pure.withColumns({"code_kept": same, "lines_kept": count_lines(after) >= count_lines(before)})
         .withColumn("preserved", F.col("code_kept") & F.col("lines_kept"))
-        .drop("bare_before", "bare_after")
+        .drop("__before", "__after", "__same")
     )

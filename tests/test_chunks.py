@@ -143,3 +143,9 @@ def test_edges(spark):
     assert row.n_chunks == 2
     assert [tuple(e) for e in row.edges] == [("  ", "\n"), ("", "\n\n")]
     assert set(chunk_edges(df, 2, False).columns) == {"path", "content", "n_chunks"}
+
+
+def test_copies_of_rows_rejoin_as_one(spark):
+    rows = [("a", 0, "x"), ("a", 0, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 1, None), ("b", 0, "")]
+    got = rejoin(spark.createDataFrame(rows, "path string, chunk_index int, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "x\ny"), ("b", "\n")]

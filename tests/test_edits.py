@@ -140,3 +140,42 @@ def test_audit(spark):
         (True, True, True),
         (False, True, False),
     ]
+
+
+def test_places_are_judged_before_spans_are_taken(spark):
+    files = spark.createDataFrame([(str(i), "abcdef") for i in range(5)], "path string, content string")
+    rows = [
+        ("0", None, 1, "x"), ("0", 2, 3, "y"), ("1", 0, 1, "no"), ("1", 2, 3, "y"), ("2", 0, 3, "no"), ("2", 2, 4, "y"),
+        ("3", 1, None, "no"), ("4", 0, 9, "no"),
+    ]
+    got = apply_spans(files, spark.createDataFrame(rows, SPANS), lambda before, after: after != "no").collect()
+    assert sorted((r.path, r.content, r.n_spans, r.applied) for r in got) == [
+        ("0", "abcdef", 2, False),
+        ("1", "abydef", 1, True),
+        ("2", "abcdef", 2, False),
+        ("3", "abcdef", 1, False),
+        ("4", "abcdef", 1, False),
+    ]
+
+
+def test_audit_fails_closed(spark):
+    """What stripping might take for a comment or docstring must not hide a change."""
+    rows = [
+        ("python", 'x = {"a":\n """select 1"""\n}\n', 'x = {"a":\n """drop table t"""\n}\n', False),
+        ("python", 'x = (a or\n"""b"""\n)\n', 'x = (a or\n"""c"""\n)\n', False),
+        ("python", 'x = (1 if b else\n"""c""")\n', 'x = (1 if b else\n"""d""")\n', False),
+        ("python", 'x = f"""a {b}"""\n', 'x = f"""a {c}"""\n', False),
+        ("python", 'f(a,\n"b"\n)\n', 'f(a,\n"c"\n)\n', False),
+        ("python", "def f(a,\n      b):\n    return a\n", 'def f(a,\n      b):\n    """Return a."""\n    return a\n', True),
+        ("python", 'def f():\n    """Old."""\n', 'def f():\n    """New,\n    longer."""\n', True),
+        ("python", 'def f():\n    """All there is."""\nx\n', "def f():\n# nothing\nx\n", False),
+        ("javascript", r"if (ok) /\/\//.test(u); d();", r"if (ok) /\/\//.test(u); WRONG();", False),
+        ("javascript", "<p>a // b</p>", "<p>a // </div>", False),
+        ("javascript", "<p>a // b</p>", "// d\n<p>a // b</p> // e", True),
+        ("typescript", "`${a /* b */} // c`", "`${a} // d`", False),
+        ("css", "a { b: url(data:x;/*y*/) }", "a { b: url(data:x;/*z*/) }", False),
+    ]
+    # Columns of the caller's own stay.
+    pairs = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "path string, language string, before string, after string, want boolean")
+    got = preservation_audit(pairs).collect()
+    assert [r.path for r in got if r.code_kept != r.want] == []

@@ -173,7 +173,7 @@ def test_docstrings(values):
         ("def f():\n    'kept' \\\n    'too'\n", "def f():\n    'kept' \\\n    'too'\n"),
         ("x = {1:\n'kept'\n}\n", "x = {1:\n'kept'\n}\n"),
         ("x = a or \\\n  'kept'\n", "x = a or \\\n  'kept'\n"),
-        ("async def f(): return\n'kept'\n", "async def f(): return\n'kept'\n"),
+        ("async def f(): return\n'gone'\n", "async def f(): return\n"),
         ('s = """\ndef f():\n  "kept"\n"""\n', 's = """\ndef f():\n  "kept"\n"""\n'),
     ]
     python = strip_comments(F.col("t"), F.lit("python"), docstrings=True)
