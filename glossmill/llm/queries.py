@@ -147,9 +147,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = align_tokens.alignments(documents, *map(public_tokenizers.path, ALIGNED_TOKENIZERS))
-    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+    digest = lambda groups: F.when(groups.isNull(), "").otherwise(F.sha2(groups, 256))
+    found = align_tokens.alignments(documents, *map(public_tokenizers.path, ALIGNED_TOKENIZERS), groups=digest)
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), *counts, F.col("groups").alias("groups_sha256"))
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

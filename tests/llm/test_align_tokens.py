@@ -107,12 +107,12 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert align_tokens.alignments(df.filter("false"), *PATHS).count() == 0
 
 
-def test_memory_starts_anew(soups, monkeypatch):
+def test_memory_is_renewed(soups, monkeypatch):
+    usual = align_tokens.Aligner(*PATHS)
+    want = usual.batch(soups)
     monkeypatch.setattr(align_tokens, "REMEMBERED", 3)
     small = align_tokens.Aligner(*PATHS)
-    monkeypatch.undo()
-    usual = align_tokens.Aligner(*PATHS)
-    assert small.batch(soups) == usual.batch(soups) and len(usual.windows) > 3
+    assert small.batch(soups) == want == small.batch(soups) and len(small.known.keys) <= 3 < len(usual.known.keys)
 
 
 def test_faster_encoder_gives_the_library_s_ids():
