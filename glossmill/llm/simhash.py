@@ -9,12 +9,16 @@ verified by counting the bits that differ.
 
 Fingerprints are made distinct first, so copies never meet in pairs. Rows of a key
 are read as a sorted stream; within a key only a spanning forest of the links is
-written, never all of its pairs.
+written, never all of its pairs. A key that many fingerprints share is indexed once
+more, by deletion variants of its open bits; what then still shares a key has so few
+bits open that its neighbours are looked up, flip by flip.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +30,8 @@ SEED = 42
 BITS = 64
 #: Shingles hashed at a time; bounds memory, not the text.
 BLOCK = 1 << 16
-#: Fingerprints of one key compared in one place; more are compared block by block.
-KEY_ROWS = 16_384
+#: Fingerprints of one key that are compared one with the others; those of larger keys are indexed once more.
+KEY_ROWS = 4_096
 
 _FOUND = "hot boolean, variant int, masked bigint, a bigint, b bigint"
 
@@ -75,44 +79,95 @@ def fingerprint_hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def _variants(value: Column, max_bits: int) -> list[tuple[int, Column]]:
-    """Per variant: the bit left out (-1: none), and what is left of the segment."""
-    segments = max_bits // 2 + 1
-    edges = [BITS * i // segments for i in range(segments + 1)]
-    out = []
-    for low, high in zip(edges, edges[1:]):
-        mask = (1 << high) - (1 << low)
-        for bit in (-1, *range(low, high)):
-            kept = mask & ~(1 << bit) if bit >= 0 else mask
-            signed = kept - (1 << BITS) if kept >> (BITS - 1) else kept
-            out.append((bit, value.bitwiseAND(F.lit(signed).cast("bigint"))))
-    return out
+@dataclass(frozen=True)
+class Variant:
+    """A way to index fingerprints: those that agree in ``mask`` meet, and may link across all bits of ``wild``."""
+
+    mask: int
+    wild: int = 0
+
+    def within(self, max_bits: int) -> list[Variant]:
+        """The variants of what this one leaves open: its free bits, cut into parts that are indexed likewise.
+
+        A wildcard's bit is known to differ, and is no part of them.
+        """
+        free = [b for b in range(BITS) if not (self.mask | self.wild) >> b & 1]
+        parts = (max_bits - self.wild.bit_count()) // 2 + 1
+        edges = [len(free) * i // parts for i in range(parts + 1)]
+        out = []
+        for low, high in zip(edges, edges[1:]):
+            segment = sum(1 << b for b in free[low:high])
+            out.append(Variant(self.mask | segment, self.wild))
+            out += [Variant(self.mask | segment & ~(1 << b), self.wild | 1 << b) for b in free[low:high]]
+        return out
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
 
 
-def forest(values, sides, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the fingerprints of one key.
+def _index(prints: DataFrame, value: str, variants: list[Variant]) -> DataFrame:
+    """``(variant, masked, a)``: every fingerprint under each of the variants, which are known by their number."""
+    masks = F.array(*(F.lit(_signed(v.mask)).cast("bigint") for v in variants))
+    each = prints.select(F.col(value).alias("a"), F.posexplode(masks).alias("variant", "mask"))
+    return each.select("variant", F.col("a").bitwiseAND(F.col("mask")).alias("masked"), "a")
+
+
+def forest(values, wild: int, max_bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the fingerprints of one key, which differ in all bits of ``wild``.
 
-    ``sides``: links only go from one side to the other (None: between any two).
     Each step compares one fingerprint with those not reached yet.
     """
     import numpy as np
 
-    left, out = np.arange(len(values)), []
+    left, out, wild = np.arange(len(values)), [], np.uint64(wild)
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(values[left] ^ values[at]) <= max_bits
-            if sides is not None:
-                near &= sides[left] != sides[at]
+            differ = values[left] ^ values[at]
+            near = (np.bitwise_count(differ) <= max_bits) & (differ & wild == wild)
             found, left = left[near], left[~near]
             out += [(int(values[at]), int(values[i])) for i in found]
             todo += found.tolist()
     return out
 
 
-def _linker(max_bits: int, key_rows: int) -> Callable:
-    """Sorted rows of ``(variant, bit, masked, fingerprint)`` to links, and to the rows of keys with too many."""
+def neighbours(values, mask: int, wild: int, max_bits: int) -> list[tuple[int, int]]:
+    """Links that connect what ``forest`` connects, by looking up what each fingerprint is after a few flips.
+
+    For keys that hold many: their time grows with the flips that their free bits allow, not with their square.
+    """
+    import numpy as np
+
+    values, out = np.unique(values), []
+    label = np.arange(len(values))
+    free = [b for b in range(BITS) if not (mask | wild) >> b & 1]
+    spare = max_bits - wild.bit_count()
+    for n in range(wild == 0, spare + 1):
+        for bits in combinations(free, n):
+            flipped = values ^ np.uint64(wild | sum(1 << b for b in bits))
+            at = np.searchsorted(values, flipped).clip(max=len(values) - 1)
+            one = np.flatnonzero((values[at] == flipped) & (label != label[at]))
+            other = at[one]
+            one, other = one[one < other], other[one < other]
+            while len(one):
+                # One link for each greater label: that many labels go, and no two links go round in a ring.
+                high, low = np.maximum(label[one], label[other]), np.minimum(label[one], label[other])
+                high, first = np.unique(high, return_index=True)
+                out += zip(values[one[first]].tolist(), values[other[first]].tolist())
+                parent = np.arange(len(values))
+                parent[high] = low[first]
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
+                label = parent[label]
+                still = label[one] != label[other]
+                one, other = one[still], other[still]
+    return out
+
+
+def _linker(variants: list[Variant], max_bits: int, key_rows: int, hand_on: bool) -> Callable:
+    """Sorted rows of ``(variant, masked, fingerprint)`` to links and, with ``hand_on``, to the rows of keys with too many."""
 
     def link(batches: Iterator) -> Iterator:
         import numpy as np
@@ -121,6 +176,7 @@ def _linker(max_bits: int, key_rows: int) -> Callable:
         kind = pa.schema(
             [("hot", pa.bool_()), ("variant", pa.int32()), ("masked", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]
         )
+        wilds = np.array([v.wild for v in variants], np.uint64)
 
         def rows(hot, variant, masked, a, b):
             n = len(a)
@@ -131,34 +187,37 @@ def _linker(max_bits: int, key_rows: int) -> Callable:
 
         def found(table: np.ndarray) -> Iterator:
             """Links within whole keys."""
-            starts = np.flatnonzero(np.r_[True, (table[1:, 0] != table[:-1, 0]) | (table[1:, 2] != table[:-1, 2])])
-            sizes = np.diff(np.r_[starts, len(table)])
-            two = starts[sizes == 2]
+            starts = np.flatnonzero(np.r_[True, (table[1:, 0] != table[:-1, 0]) | (table[1:, 1] != table[:-1, 1])])
+            sizes, values = np.diff(np.r_[starts, len(table)]), table[:, 2].view(np.uint64)
+            wild = wilds[table[starts, 0]]
+            # A key whose rows are all alike in a bit that must differ holds no link.
+            apart = np.bitwise_or.reduceat(values, starts) & ~np.bitwise_and.reduceat(values, starts)
+            open_ = (sizes > 1) & (apart & wild == wild)
+            two = starts[open_ & (sizes == 2)]
             if len(two):
-                x, y = table[two, 3].view(np.uint64), table[two + 1, 3].view(np.uint64)
-                bit, differ = table[two, 1], x ^ y
-                across = (bit < 0) | ((differ >> np.maximum(bit, 0).astype(np.uint64)) & np.uint64(1)).astype(bool)
-                good = across & (np.bitwise_count(differ) <= max_bits)
+                x, y = values[two], values[two + 1]
+                good = np.bitwise_count(x ^ y) <= max_bits
                 if good.any():
                     yield rows(False, 0, 0, x[good].view(np.int64), y[good].view(np.int64))
-            for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
-                if size > key_rows:
-                    part = table[start : start + size]
-                    yield rows(True, part[:, 0], part[:, 2], part[:, 3], 0)
+            for start, size in zip(starts[open_ & (sizes > 2)], sizes[open_ & (sizes > 2)]):
+                part = table[start : start + size]
+                variant = variants[part[0, 0]]
+                if size > key_rows and hand_on:
+                    yield rows(True, part[:, 0], part[:, 1], part[:, 2], 0)
                     continue
-                values, bit = table[start : start + size, 3].view(np.uint64), int(table[start, 1])
-                links = forest(values, (values >> np.uint64(bit)) & np.uint64(1) if bit >= 0 else None, max_bits)
+                held = part[:, 2].view(np.uint64)
+                links = neighbours(held, variant.mask, variant.wild, max_bits) if size > key_rows else forest(held, variant.wild, max_bits)
                 if links:
                     ends = np.array(links, np.uint64).view(np.int64)
                     yield rows(False, 0, 0, ends[:, 0], ends[:, 1])
 
-        rest, hot = np.empty((0, 4), np.int64), None
+        rest, hot = np.empty((0, 3), np.int64), None
         for batch in batches:
             table = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns])
             if hot is not None:
-                same = (table[:, 0] == hot[0]) & (table[:, 2] == hot[1])
+                same = (table[:, 0] == hot[0]) & (table[:, 1] == hot[1])
                 if same.any():
-                    yield rows(True, *hot, table[same, 3], 0)
+                    yield rows(True, *hot, table[same, 2], 0)
                     table = table[~same]
                 if not len(table):
                     continue
@@ -166,14 +225,14 @@ def _linker(max_bits: int, key_rows: int) -> Callable:
             table = np.concatenate([rest, table])
             if not len(table):
                 continue
-            last = np.flatnonzero((table[:, 0] != table[-1, 0]) | (table[:, 2] != table[-1, 2]))
+            last = np.flatnonzero((table[:, 0] != table[-1, 0]) | (table[:, 1] != table[-1, 1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             rest, table = table[cut:], table[:cut]
             if len(table):
                 yield from found(table)
-            if len(rest) > key_rows:
-                hot = (int(rest[0, 0]), int(rest[0, 2]))
-                yield rows(True, *hot, rest[:, 3], 0)
+            if len(rest) > key_rows and hand_on:
+                hot = (int(rest[0, 0]), int(rest[0, 1]))
+                yield rows(True, *hot, rest[:, 2], 0)
                 rest = rest[:0]
         if len(rest):
             yield from found(rest)
@@ -181,27 +240,9 @@ def _linker(max_bits: int, key_rows: int) -> Callable:
     return link
 
 
-def _hot_links(hot: DataFrame, bits: list[int], max_bits: int, key_rows: int) -> DataFrame:
-    """Links within keys that hold many fingerprints: every two blocks of a key meet in a group of their own."""
-
-    def meet(key, rows):
-        import numpy as np
-        import pandas as pd
-
-        values, bit = rows["a"].to_numpy().view(np.uint64), bits[key[0]]
-        links = forest(values, (values >> np.uint64(bit)) & np.uint64(1) if bit >= 0 else None, max_bits)
-        return pd.DataFrame(np.array(links, np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
-
-    sizes = hot.groupBy("variant", "masked").agg(F.ceil(F.count("*") / key_rows).alias("blocks"))
-    block = F.pmod(F.xxhash64("a"), F.col("blocks"))
-    return (
-        hot.join(sizes, ["variant", "masked"])
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("variant", "masked", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "a")
-        .groupBy("variant", "masked", "one", "two")
-        .applyInPandas(meet, "a bigint, b bigint")
-    )
+def _linked(index: DataFrame, variants: list[Variant], max_bits: int, key_rows: int, hand_on: bool) -> DataFrame:
+    dealt = index.repartition("variant", "masked").sortWithinPartitions("variant", "masked")
+    return keep(dealt.mapInArrow(_linker(variants, max_bits, key_rows, hand_on), _FOUND), "links")
 
 
 def links(prints: DataFrame, value: str = "fingerprint", max_bits: int = 3, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -210,21 +251,23 @@ def links(prints: DataFrame, value: str = "fingerprint", max_bits: int = 3, key_
     ``prints`` holds each fingerprint once. Not every linked pair is listed, but
     every two linked fingerprints are connected by what is.
     """
-    variants = _variants(F.col(value), max_bits)
-    entries = F.array(
-        *(F.struct(F.lit(i).alias("variant"), F.lit(bit).alias("bit"), masked.alias("masked")) for i, (bit, masked) in enumerate(variants))
-    )
-    index = prints.select(F.explode(entries).alias("entry"), F.col(value).alias("a")).select("entry.*", "a")
-    found = keep(
-        index.repartition("variant", "masked")
-        .sortWithinPartitions("variant", "masked", "a")
-        .mapInArrow(_linker(max_bits, key_rows), _FOUND),
-        "links",
-    )
+    variants = Variant(0).within(max_bits)
+    found = _linked(_index(prints, value, variants), variants, max_bits, key_rows, hand_on=True)
     out, hot = found.filter("not hot").select("a", "b"), found.filter("hot")
-    if not hot.isEmpty():
-        out = out.unionByName(_hot_links(hot, [bit for bit, _ in variants], max_bits, key_rows))
-    return out
+    if hot.isEmpty():
+        return out
+    # Keys whose rows are all alike in the bit that must differ hold no link. The others' rows are indexed again, by
+    # the bits that are still open, which few rows can then share. The tables of variants have a fixed size.
+    spark = prints.sparkSession
+    wilds = spark.createDataFrame([(i, _signed(v.wild)) for i, v in enumerate(variants)], "variant int, wild bigint")
+    apart = F.bit_or("a").bitwiseAND(F.bitwise_not(F.bit_and("a"))).alias("apart")
+    keys = hot.groupBy("variant", "masked").agg(apart).join(F.broadcast(wilds), "variant")
+    open_ = keys.filter(F.col("apart").bitwiseAND(F.col("wild")) == F.col("wild")).select("variant", "masked")
+    inside = [(i, v) for i, outer in enumerate(variants) for v in outer.within(max_bits)]
+    masks = spark.createDataFrame([(i, n, _signed(v.mask)) for n, (i, v) in enumerate(inside)], "variant int, inner int, mask bigint")
+    again = hot.join(open_, ["variant", "masked"]).join(F.broadcast(masks), "variant")
+    index = again.select(F.col("inner").alias("variant"), F.col("a").bitwiseAND(F.col("mask")).alias("masked"), "a")
+    return out.unionByName(_linked(index, [v for _, v in inside], max_bits, key_rows, hand_on=False).select("a", "b"))
 
 
 def _components_of(df: DataFrame, id: str, text: str, shingle: int, max_bits: int, key_rows: int) -> tuple[DataFrame, DataFrame]:

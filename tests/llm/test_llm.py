@@ -113,8 +113,8 @@ def test_links_connect_what_is_near(spark):
     values = sorted(values)
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
     prints = spark.createDataFrame(signed, "fingerprint bigint")
-    # Three to a key: larger ones go block by block.
-    for key_rows in (3, simhash.KEY_ROWS):
+    # Three to a key: larger ones are indexed once more, and neighbours looked up.
+    for key_rows in (1, 3, simhash.KEY_ROWS):
         found = {r.node: r.root for r in components.components(simhash.links(prints, key_rows=key_rows), "a", "b").collect()}
         got = [found.get(s, s) for (s,) in signed]
         want = plain_components(values)
