@@ -206,6 +206,17 @@ chunks as (select t.doc_id, source, path, language, content, chunk_index, start_
     coalesce(next_line, len(ls)) as end_line,
     array_to_string(ls[start_line + 1 : coalesce(next_line, len(ls))], {NL}) as text
   from texts t join ends e on t.doc_id = e.doc_id)"""
+def _bounded(limit: int) -> str:
+    """The last break point within the limit, else the first one after the cut."""
+    after = f"select {{}}(line_index) from points b where b.doc_id = c.doc_id and b.n > {limit} and b.line_index > c.start_line"
+    rest = f"c.n - c.start_line > {limit}"
+    following = f"coalesce(({after.format('max')} and b.line_index <= c.start_line + {limit}), ({after.format('min')}))"
+    cuts = f"""cuts as (select doc_id, n, 0::bigint as start_line from (select doc_id, len(ls) as n from texts)
+  union all
+  select doc_id, n, following from (select c.doc_id, c.n, {following} as following from cuts c where {rest}) f where following is not null)"""
+    return cuts + CHUNKS[CHUNKS.index(",\nends as") :]
+
+
 CHUNKED = (PLANNED, LINES, POINTS, CHUNKS)
 NOT_BLANK = f"not_blank as (select * from planned where {_trim('content')} <> '')"
 SENT = (
@@ -349,7 +360,7 @@ GLOBBED = (
     f"len(list_filter({FOLDERS}, lambda x: starts_with(x, 'node_mod') or regexp_matches(x, '^d.st$') "
     "or x in ('src1', 'src7', 'src8'))) > 0 or starts_with(path, 'repo/src2/') or starts_with(path, 'repo/src3/')"
 )
-AUDITED = f"audited as (select path, language, content as before, {fixtures.AFTER} as after from planned)"
+AUDITED = f"audited as (select path, doc_id, language, content as before, {fixtures.AFTER} as after from planned)"
 PAIRS = f"pairs as ({fixtures.PAIRS})"
 
 
@@ -384,6 +395,13 @@ from (select *, {fixtures.OPENED_AS} as opened from files) f"""
     "scan_tree": _with_files(
         f"select path, language, content, cast(null as varchar) as read_error from files {STRIP_FILE}"
     ),
+    "scan_source_tree": _with_files(
+        f"""select path, extension, language, strlen(content) as size, content, cast(null as varchar) as read_error from files
+{STRIP_FILE} and extension in ('js', 'py', 'htm', 'html', 'scss') and language <> 'python' and starts_with(path, 'repo/src')"""
+    ),
+    "commit_tree": _with_files(
+        f"select path, extension, language, strlen(content) as size, cast(null as varchar) as read_error from files {STRIP_FILE}"
+    ),
     "write_tree": _with_files(
         """select case when doc_id % 29 = 0 then '/' || path else path end as path, doc_id % 29 <> 0 as success,
   case when doc_id % 29 = 0 then 'path leaves the tree' end as error from files"""
@@ -412,6 +430,9 @@ from (select doc_id, {_trim('(' + fixtures.SPACED + ')')} as text from documents
     "declarations": _with_files(f"select path, line_index from lines where {IS_DECLARATION}", PLANNED, LINES),
     "find_break_points": _with_files("select path, line_index from points", PLANNED, LINES, POINTS),
     "chunk_files": _with_files("select path, chunk_index, start_line, end_line, text from chunks", *CHUNKED),
+    "chunk_within_limit": _with_files(
+        "select path, chunk_index, start_line, end_line, text from chunks", PLANNED, LINES, POINTS, _bounded(100)
+    ),
     "chunk_rejoin": _with_files("select path, content from planned", PLANNED),
     "build_requests": _with_files(ENVELOPES, *SENT, _requests("'openai'", "'jsdoc'", "''")),
     "request_envelopes": _with_files(
@@ -435,6 +456,9 @@ from (select *, min(case when error is not null then chunk_index end) over (part
     "generate_batch": _with_files(
         _generated(f"'```' || {NL} || cast(length({_USER}) as varchar) || ' characters' || {NL} || '```'"), *SENT
     ),
+    "ask_once": _with_files(
+        _generated(f"'```' || {NL} || cast(length({_USER}) as varchar) || ' characters' || {NL} || '```'"), *SENT
+    ),
     "document_corpus": _with_files(
         "select path, language, success, error, accepted, output from documented", *PLAIN
     ),
@@ -446,6 +470,9 @@ from (select *, min(case when error is not null then chunk_index end) over (part
         *PLAIN,
         "reviewed as (select path, content as before, output as after from documented where accepted)",
     ),
+    "document_arriving": _with_files(
+        f"select path, language, success, error, accepted, output from documented where success and {_trim('content')} <> ''", *PLAIN
+    ),
     "document_run": _with_files(
         _summary("documented"), *_RUN, *_documented(OUTPUT, _unfence("text"), 0.5)
     ),
@@ -504,6 +531,15 @@ from (select *, min(case when error is not null then chunk_index end) over (part
         *_without_docstrings("plain", "side", "pure"),
         "bare as (select side, bare from sides where language <> 'python' union all select side, bare from pure)",
     ),
+    "review_hunks": _with_files(
+        f"""select path, len(string_split(after, {NL})) - len(string_split(before, {NL})) as lines_more,
+  length(after) - length(before) as characters_more from audited where before <> after""",
+        PLANNED,
+        AUDITED,
+    ),
+    "approve_hunks": _with_files(
+        "select path, case when doc_id % 3 <> 0 then after else before end as content, true as applied from audited", PLANNED, AUDITED
+    ),
     "run_summary": _with_files(_summary("documented"), *PLAIN),
     "strip_files": _with_files(
         f"""select path, language, stripped as content, stripped <> content as changed

@@ -20,12 +20,13 @@ from glossmill.functions.text import (
     utf16_length,
 )
 from glossmill.operators import chunks as chunking
-from glossmill.operators import edits, requests, responses, review, select, summary
+from glossmill.operators import diff, edits, requests, responses, review, select, store, summary
 from glossmill.plans import document
 from glossmill.plans.strip import strip_corpus, strip_results
-from glossmill.sources import sinks, tree
+from glossmill.sources import sinks, source_tree, tree
 from glossmill.sources.tables import source_files
 from glossmill.sources.workspace import keep, work_dir
+from glossmill.streaming.assemble import assemble_available
 from glossmill.streaming.strip import strip_arriving
 
 CONFIG = JobConfig()
@@ -121,6 +122,23 @@ def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.scan_tree(spark, root).select("path", "language", "content", "read_error")
 
 
+def _committed(spark: SparkSession, sf_dir: str) -> str:
+    root = work_dir(spark, "tree")
+    source_tree.commit_tree(_files(spark, sf_dir), root)
+    return root
+
+
+def commit_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and sizes of files that were written with a commit."""
+    return source_tree.list_names(spark, _committed(spark, sf_dir))
+
+
+def scan_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data source, with filters that it applies to names."""
+    files = source_tree.open_tree(spark, _committed(spark, sf_dir))
+    return files.where("extension in ('js', 'py', 'htm', 'html', 'scss') and language <> 'python' and path like 'repo/src%'")
+
+
 def write_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sink's own results; an absolute path is refused."""
     files = _files(spark, sf_dir).withColumn("path", F.expr("case when doc_id % 29 = 0 then '/' || path else path end"))
@@ -200,6 +218,11 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(_planned(spark, sf_dir), CONFIG.min_lines)
 
 
+def chunk_within_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As few chunks of a hundred lines at most as can be."""
+    return chunking.chunks(_planned(spark, sf_dir), CONFIG.min_lines, max_lines=100)
+
+
 def chunk_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.rejoin(chunk_files(spark, sf_dir))
 
@@ -258,6 +281,23 @@ def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(responses.generate(built, answer, batch_size=8), "responses")
 
 
+def ask_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one store: the second sends only what the first got no answer to."""
+
+    def answer(batch: object) -> list[str]:
+        if any("/* file src3 */" in user for user in batch["user"]):
+            raise ValueError("refused")
+        return [f"```\n{len(user)} characters\n```" for user in batch["user"]]
+
+    def refuse(batch: object) -> list[str]:
+        raise ValueError("refused")
+
+    built = requests.build_requests(_chunks(spark, sf_dir), CONFIG)
+    answers = work_dir(spark, "answers")
+    store.ask(built, answer, answers)
+    return store.ask(built, refuse, answers)
+
+
 def _document(spark: SparkSession, sf_dir: str, config: JobConfig) -> DataFrame:
     planned = _planned(spark, sf_dir, fixtures.SOME_BLANK)
     return document.document_corpus(planned, _responses(spark, sf_dir), config)
@@ -277,6 +317,17 @@ def review_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.review_corpus(planned, _responses(spark, sf_dir)).drop("before", "after")
 
 
+def document_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose responses arrive on a stream, those that have an answer to every chunk."""
+    landing, target = work_dir(spark, "landing"), work_dir(spark, "documented")
+    answers = _responses(spark, sf_dir)
+    for part in (0, 1):
+        answers.where(F.pmod("chunk_index", F.lit(2)) == part).write.mode("append").parquet(landing)
+    planned = _planned(spark, sf_dir, fixtures.SOME_BLANK)
+    assemble_available(planned, landing, target, work_dir(spark, "progress"), CONFIG, files_per_batch=8)
+    return spark.read.schema(document.document_corpus(planned, answers).schema).parquet(target)
+
+
 def document_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run with a stand-in model: its one-row summary."""
 
@@ -386,6 +437,24 @@ def preservation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.preservation_audit(pairs).drop("before", "after")
 
 
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir).select("path", "doc_id", "language", F.col("content").alias("before"), F.expr(fixtures.AFTER).alias("after"))
+
+
+def review_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hunks of every changed file, summed up."""
+    found = diff.hunks(_audited(spark, sf_dir))
+    net = F.sum(F.col("lines_added") - F.col("lines_removed")).alias("lines_more")
+    return found.groupBy("path").agg(net, F.sum(F.length("replacement") - F.length("removed")).alias("characters_more"))
+
+
+def approve_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hunks of two files in three are approved, and none of the others."""
+    pairs = _audited(spark, sf_dir)
+    found = diff.hunks(pairs, "doc_id")
+    return diff.apply_hunks(pairs.withColumnRenamed("before", "content"), found, found.where("doc_id % 3 <> 0")).select("path", "content", "applied")
+
+
 # Jobs and summaries
 
 
@@ -426,14 +495,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         detect_languages, decode_bytes, skip_folders, scan_select, scan_ordered, scan_ordered_top,
-        language_scopes, not_blank_files, plan_summary, scan_tree, write_tree, write_table,
+        language_scopes, not_blank_files, plan_summary, scan_tree, scan_source_tree, write_tree, commit_tree, write_table,
         strip_comments_regex, strip_comments_lexical, strip_docstrings, pages_strip_html,
         blank_lines, trim_text, strip_fences,
-        file_lines, declarations, find_break_points, chunk_files, chunk_rejoin,
+        file_lines, declarations, find_break_points, chunk_files, chunk_within_limit, chunk_rejoin,
         build_requests, request_envelopes, resolve_models, normalise_outputs, file_results,
-        generate_batch, document_corpus, document_corpus_edges, review_corpus, document_run,
+        generate_batch, ask_once, document_corpus, document_corpus_edges, review_corpus, document_arriving, document_run,
         apply_spans, apply_spans_sparse, selection_extract, selection_replace, selection_requests, document_selections,
-        length_guard, review_changes, review_stripped, preservation_audit,
+        length_guard, review_changes, review_stripped, review_hunks, approve_hunks, preservation_audit,
         run_summary, strip_files, strip_results_of_files, publish_approved, strip_stream,
     )
 }

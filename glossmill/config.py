@@ -34,7 +34,8 @@ class JobConfig:
 
     ``min_lines`` is the least number of lines of every chunk but a file's last;
     a chunk grows until a declaration follows a blank line, so it has no upper
-    bound. ``generate_partitions`` bounds how many model calls run side by side
+    bound. ``max_lines`` cuts files into as few chunks of that many lines at most as
+    can be instead; only a stretch without a break point is longer. ``generate_partitions`` bounds how many model calls run side by side
     (``None`` leaves it to the session).
     """
 
@@ -42,6 +43,7 @@ class JobConfig:
     model: str = ""
     comment_style: str = "jsdoc"
     min_lines: int = 80
+    max_lines: int | None = None
     skip_patterns: tuple[str, ...] = SKIP_PATTERNS
     review: bool = True
     generate_partitions: int | None = None
@@ -54,6 +56,8 @@ class JobConfig:
             raise ValueError(f"unknown provider {self.provider!r}, expected one of {sorted(DEFAULT_MODELS)}")
         if self.min_lines < 1:
             raise ValueError("min_lines must be at least 1")
+        if self.max_lines is not None and self.max_lines < 1:
+            raise ValueError("max_lines must be at least 1")
         if self.preserve_edges and not self.per_chunk_fences:
             raise ValueError("preserve_edges needs per_chunk_fences: a file-wide clean-up would trim the edges again")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,46 @@ def chunk_texts(text: Column, min_lines: int) -> Column:
     return F.when(
         count_lines(text) > min_lines, F.regexp_extract_all(text, F.lit(chunk), F.lit(1))
     ).otherwise(F.array(text))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bounded_chunk_texts(text: Column, limit: int, unit: str = "lines") -> Column:
+    """The text cut into as few chunks as can be, none of them above ``limit`` where a break point allows it.
+
+    ``unit`` is ``lines`` or ``characters``. Cuts are at break points only, so a stretch without one is a chunk
+    whatever its size. From each cut the next is the last break point within the limit, or else the first one
+    there is; no other choice needs fewer chunks. Joined by a line end the chunks are the text.
+    """
+    if unit not in ("lines", "characters"):
+        raise ValueError(f"unit must be 'lines' or 'characters', not {unit!r}")
+    # Pieces are joined by a line end, which is a character and begins no line that was not counted.
+    size, joint = (count_lines, 0) if unit == "lines" else (F.length, 1)
+
+    def state(starts: Column, held: Column) -> Column:
+        return F.struct(starts.alias("starts"), held.alias("held"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        whole = acc["held"] + joint + piece["size"]
+        fits = (whole <= limit) & (F.size(acc["starts"]) > 0)
+        starting = state(F.concat(acc["starts"], F.array(piece["index"])), piece["size"])
+        return F.when(fits, state(acc["starts"], whole)).otherwise(starting)
+
+    def starts(pieces: Column) -> Column:
+        sized = F.transform(pieces, lambda piece, index: F.struct(index.alias("index"), size(piece).alias("size")))
+        return F.aggregate(sized, state(F.array().cast("array<int>"), F.lit(0)), step, lambda acc: acc["starts"])
+
+    def texts(cut: Column) -> Column:
+        def chunk(start: Column, index: Column) -> Column:
+            end = F.coalesce(F.get(cut["starts"], index + 1), F.size(cut["pieces"]))
+            return F.array_join(F.slice(cut["pieces"], start + 1, end - start), "\n")
+
+        return F.transform(cut["starts"], chunk)
+
+    def cut(pieces: Column) -> Column:
+        return _bound(F.struct(pieces.alias("pieces"), starts(pieces).alias("starts")), texts)
+
+    return F.when(size(text) > limit, _bound(chunk_texts(text, 1), cut)).otherwise(F.array(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.lines import chunk_texts, count_lines, split_lines
+from glossmill.functions.lines import bounded_chunk_texts, chunk_texts, count_lines, split_lines
 from glossmill.functions.text import leading_space, trailing_space
 
 _BITS = 8
@@ -16,12 +16,18 @@ def file_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(split_lines(F.col("content"))).alias("line_index", "line"))
 
 
-def _with_texts(files: DataFrame, min_lines: int) -> DataFrame:
+def _texts(min_lines: int, max_lines: int | None) -> Column:
+    """A file's chunks: of ``min_lines`` at least or, if it is given, of ``max_lines`` at most."""
+    content = F.col("content")
+    return chunk_texts(content, min_lines) if max_lines is None else bounded_chunk_texts(content, max_lines)
+
+
+def _with_texts(files: DataFrame, min_lines: int, max_lines: int | None) -> DataFrame:
     """Adds ``texts``, a file's chunks, and ``counts``, their numbers of lines.
 
     Works inside the row: no shuffle.
     """
-    texts = files.withColumn("texts", chunk_texts(F.col("content"), min_lines))
+    texts = files.withColumn("texts", _texts(min_lines, max_lines))
     return texts.withColumn("counts", F.transform("texts", count_lines))
 
 
@@ -29,16 +35,19 @@ def _total(values: Column, start: Column, length: Column) -> Column:
     return F.aggregate(F.slice(values, start + 1, length), F.lit(0), lambda acc, n: acc + n)
 
 
-def chunks(files: DataFrame, min_lines: int, *keep: str) -> DataFrame:
+def chunks(files: DataFrame, min_lines: int, *keep: str, max_lines: int | None = None) -> DataFrame:
     """``(path, *keep, chunk_index, start_line, end_line, text)``.
 
+    Chunks have ``min_lines`` lines at least, but for a file's last one, and no upper bound. With ``max_lines``
+    there are as few as can be of that many lines at most; only a stretch without a break point is longer.
+
     Line numbers count from 0, ``end_line`` is exclusive. The texts of one file
     joined by a line end give back its content.
     """
     counts, blocks = F.col("counts"), F.col("blocks")
     # A chunk starts after all lines before it: whole blocks of chunks, then the
     # chunks of its own block. That is little work even in a file of thousands.
-    numbered = _with_texts(files, min_lines).withColumn(
+    numbered = _with_texts(files, min_lines, max_lines).withColumn(
         "blocks",
         F.transform(
             F.sequence(F.lit(0), F.shiftright(F.size(counts) - 1, _BITS)),
@@ -74,10 +83,10 @@ def break_points(files: DataFrame) -> DataFrame:
     return starts.select("path", F.col("start_line").alias("line_index"))
 
 
-def chunk_edges(files: DataFrame, min_lines: int, edges: bool) -> DataFrame:
+def chunk_edges(files: DataFrame, min_lines: int, edges: bool, max_lines: int | None = None) -> DataFrame:
     """Adds ``n_chunks`` and, if asked for, ``edges``: each chunk's own leading
     and trailing white space, which a model's trimmed answer has lost."""
-    cut = files.withColumn("texts", chunk_texts(F.col("content"), min_lines))
+    cut = files.withColumn("texts", _texts(min_lines, max_lines))
     cut = cut.withColumn("n_chunks", F.size("texts"))
     if edges:
         cut = cut.withColumn(

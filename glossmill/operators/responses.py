@@ -101,6 +101,13 @@ def gather(responses: DataFrame) -> DataFrame:
     return grouped.withColumn("answers", F.filter("answers", first_of_chunk))
 
 
+def sources_of(files: DataFrame, config: JobConfig, *keep: str) -> DataFrame:
+    """What assembling needs of the source files: ``(path, language, *keep, n_chunks, source_length)`` and their edges, if asked for."""
+    source = chunk_edges(files, config.min_lines, config.preserve_edges, config.max_lines)
+    columns = ["path", "language", *keep, "n_chunks"] + (["edges"] if config.preserve_edges else [])
+    return source.select(*columns, utf16_length(js_trim(F.col("content"))).alias("source_length"))
+
+
 def assemble(files: DataFrame, responses: DataFrame, config: JobConfig, *keep: str) -> DataFrame:
     """Documented files ``(path, language, *keep, success, error, accepted, output)``.
 
@@ -109,11 +116,11 @@ def assemble(files: DataFrame, responses: DataFrame, config: JobConfig, *keep: s
     succeeds without output. ``accepted`` marks outputs to write; the others
     failed, or are too short to be trusted.
     """
-    source = chunk_edges(files, config.min_lines, config.preserve_edges)
-    columns = ["path", "language", *keep, "n_chunks"] + (["edges"] if config.preserve_edges else [])
-    source = source.select(*columns, utf16_length(js_trim(F.col("content"))).alias("source_length"))
-    joined = source.join(gather(responses), "path", "left")
+    return judged(sources_of(files, config, *keep).join(gather(responses), "path", "left"), config, *keep)
+
 
+def judged(joined: DataFrame, config: JobConfig, *keep: str) -> DataFrame:
+    """``assemble``'s rows from those of ``sources_of`` beside a file's ``answers``. Works inside the row."""
     answers = F.col("answers")
     blank = F.col("source_length") == 0
     first_error = F.get(F.filter(answers, lambda a: a["error"].isNotNull()), F.lit(0))["error"]
@@ -137,13 +144,11 @@ def assemble(files: DataFrame, responses: DataFrame, config: JobConfig, *keep: s
     text = F.array_join(F.transform(answers, piece), "\n")
     if not config.per_chunk_fences:
         text = strip_code_fences(text)
-    judged = joined.withColumn("error", error).withColumn(
-        "output", F.when(F.col("error").isNull() & ~blank, text)
-    )
+    done = joined.withColumn("error", error).withColumn("output", F.when(F.col("error").isNull() & ~blank, text))
     guard = F.lit(True)
     if config.guard_ratio is not None:
         guard = length_guard(F.col("source_length"), utf16_length(js_trim(F.col("output"))), config.guard_ratio)
-    return judged.select(
+    return done.select(
         "path",
         "language",
         *keep,

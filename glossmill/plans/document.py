@@ -16,7 +16,8 @@ from glossmill.operators.requests import build_requests
 from glossmill.operators.responses import assemble, generate, normalise_output
 from glossmill.operators.review import line_changes, long_enough, review
 from glossmill.operators.select import not_blank, select_files
-from glossmill.operators.summary import run_summary
+from glossmill.operators.store import ask
+from glossmill.operators.summary import observe_run, observed_summary
 from glossmill.sources.sinks import write_table
 from glossmill.sources.tables import source_files
 from glossmill.sources.workspace import keep
@@ -36,7 +37,7 @@ def corpus_requests(planned: DataFrame, config: JobConfig = JobConfig()) -> Data
 
 
 def _corpus_chunks(planned: DataFrame, config: JobConfig) -> DataFrame:
-    return chunks(not_blank(planned), config.min_lines, "language")
+    return chunks(not_blank(planned), config.min_lines, "language", max_lines=config.max_lines)
 
 
 def document_corpus(planned: DataFrame, responses: DataFrame, config: JobConfig = JobConfig()) -> DataFrame:
@@ -59,27 +60,36 @@ def _changes(done: DataFrame) -> DataFrame:
 
 
 def run_corpus(
-    files: DataFrame, answer: Callable[[Any], Any], target: str, config: JobConfig = JobConfig()
+    files: DataFrame,
+    answer: Callable[[Any], Any],
+    target: str,
+    config: JobConfig = JobConfig(),
+    store: str | None = None,
 ) -> DataFrame:
     """The whole run. Writes ``target/files`` and, if the config asks for it,
     ``target/review``, the line counts of accepted files; returns the one-row summary.
 
     Responses are written before they are used, so no retry calls the model
-    twice, and every later step reads the written files.
+    twice, and every later step reads the written files. With ``store``, a folder of
+    answers that runs share, only requests that it has no answer to are sent, equal ones once.
     """
     spark = files.sparkSession
     planned = plan_files(files, config)
-    dealt = deal(_corpus_chunks(planned, config), config.generate_partitions)
-    responses = keep(generate(build_requests(dealt, config), answer), "responses")
+    if store is None:
+        dealt = deal(_corpus_chunks(planned, config), config.generate_partitions)
+        responses = keep(generate(build_requests(dealt, config), answer), "responses")
+    else:
+        responses = ask(corpus_requests(planned, config), answer, store, partitions=config.generate_partitions)
     if config.review:
         assembled = _with_changes(assemble(planned, responses, config, "content"))
     else:
         assembled = assemble(planned, responses, config)
+    assembled, seen = observe_run(assembled)
     write_table(assembled, f"{target}/files")
     done = spark.read.parquet(f"{target}/files")
     if config.review:
         done.where("accepted").select("path", *CHANGES).write.parquet(f"{target}/review")
-    return run_summary(done)
+    return observed_summary(seen, done)
 
 
 def _with_changes(done: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossmill.config import JobConfig
 from glossmill.functions.comments import strip_comments
 from glossmill.operators.select import select_files
-from glossmill.operators.summary import run_summary
+from glossmill.operators.summary import observe_run, observed_summary
 from glossmill.sources.sinks import write_table
 from glossmill.sources.tables import source_files
 
@@ -62,7 +62,7 @@ def strip_results(
 
 
 def run_strip(files: DataFrame, target: str, config: JobConfig = JobConfig(), mode: str = "lexical", docstrings: bool = False) -> DataFrame:
-    """Strip, write ``target/files`` by language, failures and all, and return the one-row summary."""
-    write_table(strip_results(files, config, mode, docstrings), f"{target}/files")
-    done = files.sparkSession.read.parquet(f"{target}/files")
-    return run_summary(done, first=1)
+    """Strip, write ``target/files`` by language, failures and all, and return the one-row summary, which the write counts."""
+    results, seen = observe_run(strip_results(files, config, mode, docstrings))
+    write_table(results, f"{target}/files")
+    return observed_summary(seen, files.sparkSession.read.parquet(f"{target}/files"), first=1)

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from glossmill.functions.lines import is_declaration
+from glossmill.functions.lines import bounded_chunk_texts, chunk_texts, is_declaration
 from glossmill.functions.text import JS_WS
 from glossmill.operators.chunks import break_points, chunk_edges, chunks, file_lines, rejoin
 
@@ -149,3 +149,47 @@ def test_copies_of_rows_rejoin_as_one(spark):
     rows = [("a", 0, "x"), ("a", 0, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 1, None), ("b", 0, "")]
     got = rejoin(spark.createDataFrame(rows, "path string, chunk_index int, text string")).collect()
     assert sorted(tuple(r) for r in got) == [("a", "x\ny"), ("b", "\n")]
+
+
+def fewest(pieces, limit, joint):
+    """The least number of groups of neighbours within the limit; a piece above it is a group by itself."""
+    best = [0] + [len(pieces) + 1] * len(pieces)
+    for end in range(1, len(pieces) + 1):
+        for start in range(end):
+            if end - start == 1 or sum(pieces[start:end]) + joint * (end - start - 1) <= limit:
+                best[end] = min(best[end], best[start] + 1)
+    return best[-1]
+
+
+def test_bounded_chunks_are_fewest(spark):
+    rng = random.Random(8)
+    texts = ["", "\n", "a", "\n\n\ndef f():"] + [
+        "\n".join(rng.choices(["x", "", "def f(a):", "\n\ndef g(b):", "yy y", "\nclass A:"], k=rng.randrange(60))) for _ in range(150)
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    for limit in (1, 4, 15):
+        for unit, joint in (("lines", 0), ("characters", 1)):
+            rows = df.select("t", chunk_texts(t, 1).alias("pieces"), bounded_chunk_texts(t, limit, unit).alias("got")).collect()
+            size = (lambda x: x.count("\n") + 1) if unit == "lines" else len
+            for r in rows:
+                assert "\n".join(r.got) == r.t
+                assert len(r.got) == fewest([size(p) for p in r.pieces], limit, joint)
+                assert all(size(c) <= limit or c in r.pieces for c in r.got)
+
+
+def test_bounded_chunks_of_long_texts(spark):
+    text = F.repeat(F.lit("x\n\ndef f():\n"), 100_000)
+    start = time.perf_counter()
+    got = spark.range(1).select(F.size(bounded_chunk_texts(text, 60)).alias("n")).first().n
+    assert got == 5000 or got == 5001
+    assert time.perf_counter() - start < 60
+
+
+def test_chunks_within_a_limit_have_places(spark):
+    text = "\n\ndef f():\n    a\n" * 9
+    files = spark.createDataFrame([("p", text)], "path string, content string")
+    got = sorted(chunks(files, 80, max_lines=7).collect(), key=lambda r: r.chunk_index)
+    assert [r.chunk_index for r in got] == list(range(len(got))) and "\n".join(r.text for r in got) == text
+    lines = text.split("\n")
+    assert all(r.text == "\n".join(lines[r.start_line : r.end_line]) and r.end_line - r.start_line <= 7 for r in got)

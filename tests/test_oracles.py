@@ -1,5 +1,10 @@
 """Every registered query against its SQL twin on DuckDB."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as contract
@@ -29,3 +34,14 @@ def test_query(spark, con, name):
     assert sorted(df.columns) == columns
     got = spark_rows(df)
     assert got and got == expected
+
+
+def test_queries_without_what_the_training_texts_need():
+    """Where a package of theirs is missing, all other queries are there."""
+    code = (
+        "import sys; sys.modules['public_tokenizers'] = None\n"
+        "import __spark_entry__ as e; from checks.queries import QUERIES\n"
+        "assert set(e.queries()) == set(e.oracle_sql()) == set(QUERIES)"
+    )
+    root = Path(contract.__file__).parent
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": str(root)}, check=False).returncode == 0
