@@ -19,8 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that weights are learned from, about; chosen by the hash of the page.
+from glossmill.llm.samples import by_least_hash
+
+#: Labelled pages that weights are learned from: so many distinct ones, those whose hashes are least.
 FIT_PAGES = 2_000
+_LABELLED = r"(?i)<(?:article|main)[\s/>]"
 
 # Elements of HTML by what they mean here.
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas audio video map head title select textarea button datalist".split())
@@ -41,7 +44,7 @@ CLOSES = {tag: (frozenset(shut.split()), frozenset(until.split())) for tag, (shu
 _PARAGRAPH, _NOTHING = frozenset(["p"]), frozenset()
 # Words of class, id and role that name what is not the article, and what is.
 _NOT_TEXT = re.compile(
-    r"ads?|adverts?|advert\w+|adsense|sponsor\w*|promo\w*|banners?|sidebars?|menus?|nav\w*|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?"
+    r"ads?|adverts?|advert\w+|adsense|sponsor\w*|promo\w*|banners?|sidebars?|menus?|nav(?:bars?|igations?|links?|menus?|lists?|s)?|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?"
     r"|newsletters?|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion"
     r"|footers?|foot|mastheads?|toolbars?|widgets?|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|navigation|skip|hidden"
 )
@@ -49,7 +52,21 @@ _TEXT = re.compile(r"article|content|main|post|entry|story|body|text")
 _COMMENT = re.compile(r"comments?|commentlist|disqus|respond|reply|replies|discussion")
 _HEADERS = frozenset("header banner".split())
 # With one of these a name says what a page has, not what an element is: "comments-open".
-_FLAGS = frozenset("has have no with without open opened closed enabled disabled on off allow allowed".split())
+_FLAGS = frozenset(
+    "has have is no not js with without open opened close closed enabled disabled on off allow allowed accept accepted dismissed active visible show shown".split()
+)
+# What may stand beside those in the name of an element that is no text: its form and its place. Any other word
+# makes the name one of the text's own subject: "share-price", "legal-history", "navy-blue".
+_FORM = re.compile(
+    r"\d+|box(?:es)?|bars?|blocks?|lists?|items?|links?|icons?|buttons?|btns?|wrap\w*|container|section|area|region|zone|panel|pane|group|row|col\w*|cell|unit|slot"
+    r"|content|inner|outer|top|bottom|left|right|middle|center|main|page|site|post|posts|article|articles|stories|story|news|form|field|input|text|title|head|heading|header"
+    r"|primary|secondary|global|local|fixed|sticky|mobile|desktop|small|large|mini|more|my|the|js|ui|el|tools?|media|email|mail|letter|us|by|of|and|to|in|up|out|a|x|v"
+    r"|google|facebook|twitter|rss|feed|tags?|cloud|meta|info|bio|author"
+)
+# Inside an article these name a chapter as well as what readers say.
+_CHAPTERS = frozenset(["discussion"])
+#: An element that names alone put outside holds the page's content if so many times all other words are in it.
+NEARLY_ALL = 19
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|(?P<comment>))|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?|[!?/][^>]*+>?)""")
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.IGNORECASE)
@@ -74,10 +91,16 @@ def _named(tag: str, rest: str, in_content: bool) -> int:
     if tag == "form":
         return NAMED
     for parts in _names_of(rest) if rest else ():
-        bad = any(_NOT_TEXT.fullmatch(p) or (p in _HEADERS and not in_content) for p in parts)
+        named = [p for p in parts if _NOT_TEXT.fullmatch(p) or (p in _HEADERS and not in_content)]
+        if not named or not _FLAGS.isdisjoint(parts):
+            continue
         comment = any(_COMMENT.fullmatch(p) for p in parts)
-        if bad and (comment or not any(_TEXT.fullmatch(p) for p in parts)):
-            return COMMENT if comment and _FLAGS.isdisjoint(parts) else NAMED
+        if not all(p in named or _FORM.fullmatch(p) or _TEXT.fullmatch(p) for p in parts):
+            continue
+        if in_content and len(parts) == 1 and parts[0] in _CHAPTERS:
+            continue
+        if comment or not any(_TEXT.fullmatch(p) for p in parts):
+            return COMMENT if comment else NAMED
     return PLAIN
 
 
@@ -139,6 +162,7 @@ class Token:
     state: int
     content: bool
     wrapped: Wrapped | None = None
+    by: Wrapper | None = None
 
 
 def tokens(page: str, wrappers: frozenset[int] = frozenset()) -> Iterator[Token]:
@@ -159,9 +183,9 @@ def tokens(page: str, wrappers: frozenset[int] = frozenset()) -> Iterator[Token]
     def here() -> Place:
         return stack[-1][1] if stack else page_itself
 
-    def top() -> tuple[int, bool, Wrapped | None]:
+    def top() -> tuple[int, bool, Wrapped | None, Wrapper | None]:
         place = here()
-        return place.state, place.content, place.wrapped
+        return place.state, place.content, place.wrapped, place.by
 
     while at < n:
         start = page.find("<", at)
@@ -210,7 +234,7 @@ def tokens(page: str, wrappers: frozenset[int] = frozenset()) -> Iterator[Token]
                 end = n
             inner = here().inner(tag, m["rest"], number, wrappers)
             if end > at and inner.state != NEVER:
-                yield Token(None, page[at:end], False, inner.state, inner.content, inner.wrapped)
+                yield Token(None, page[at:end], False, inner.state, inner.content, inner.wrapped, inner.by)
             close = page.find(">", end)
             at = n if close < 0 else close + 1
             yield Token(tag, "", tag in BLOCKS, *top())
@@ -224,19 +248,32 @@ def _wrappers(stream: list[Token]) -> set[int]:
 
     Whatever holds a ``main`` with words does, and what holds an ``article`` that is no
     reader's comment and has more words than all that is plain. Articles in like
-    elements go with it.
+    elements go with it. On a page without either, an element that holds nearly all words does.
     """
     words: Counter[Wrapped] = Counter()
+    outermost: Counter[Wrapper] = Counter()
+    plain = 0
     for t in stream:
-        if t.tag is None and t.wrapped is not None and t.state == OUT:
+        if t.tag is not None:
+            continue
+        if t.wrapped is not None and t.state == OUT:
             words[t.wrapped] += len(t.text.split())
+        elif t.state == PLAIN:
+            plain += len(t.text.split())
+        elif t.by is not None:
+            by = t.by
+            while by.parent is not None:
+                by = by.parent
+            outermost[by] += len(t.text.split())
     words += Counter()
     if not words:
-        return set()
+        by, n = outermost.most_common(1)[0] if outermost else (None, 0)
+        # No more words are asked for than that some are there.
+        return {by.number} if by is not None and not by.comment and n > max(0, NEARLY_ALL * plain) else set()
     chosen = [w for w in words if w.main]
     if not chosen:
         most, n = words.most_common(1)[0]
-        if n <= sum(len(t.text.split()) for t in stream if t.tag is None and t.state == PLAIN):
+        if n <= plain:
             return set()
         chosen = [most]
     keys, found = {w.by.key for w in chosen}, set()
@@ -251,7 +288,8 @@ def _wrappers(stream: list[Token]) -> set[int]:
 def page_tokens(page: str) -> list[Token]:
     """Tags and text of a page, where names do not count of what holds the page's content.
 
-    With each further reading the plain words are more than twice as many, or the first ``main`` has become content.
+    With each further reading the plain words are more than twice as many, or the first ``main`` has become content,
+    or the names of one more element around nearly everything do not count.
     """
     wrappers: frozenset[int] = frozenset()
     while True:
@@ -287,7 +325,7 @@ def count_tags(page: str) -> dict[str, tuple[int, int]] | None:
 def fit(pages: DataFrame, text: str = "html", rows: int = FIT_PAGES) -> Weights:
     """Tag costs from pages that hold an ``article`` or ``main`` element with text.
 
-    About ``rows`` pages, chosen by their hash. A tag costs the more, the more it
+    ``rows`` of them, chosen by their hash. A tag costs the more, the more it
     stands outside content: from 0.02 to 1. Known names of HTML are learned, so what
     is gathered does not grow with the pages. Without labelled pages all tags cost
     the same.
@@ -305,11 +343,9 @@ def fit(pages: DataFrame, text: str = "html", rows: int = FIT_PAGES) -> Weights:
             out.append([{"tag": k, "inside": i, "outside": o} for k, (i, o) in found.items() if k in known])
         return pa.array(out, kind)
 
-    total = pages.count()
-    if not total:
-        return Weights()
-    part = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(min(1.0, rows / total) * 1_000_000)
-    counts = pages.filter(part).select(F.explode(counted(text)).alias("c")).groupBy("c.tag").agg(F.sum("c.inside").alias("i"), F.sum("c.outside").alias("o"))
+    labelled = pages.select(F.col(text).alias("page")).filter(F.col("page").rlike(_LABELLED))
+    sample = by_least_hash(labelled, "page", rows)
+    counts = sample.select(F.explode(counted("page")).alias("c")).groupBy("c.tag").agg(F.sum("c.inside").alias("i"), F.sum("c.outside").alias("o"))
     costs = []
     for r in counts.collect():
         odds = math.log((r["o"] + 1) / (r["i"] + 1))
@@ -341,7 +377,7 @@ def extract(page: str | None, weights: Weights) -> str:
             continue
         n = len(t.text.split())
         if t.state != PLAIN:
-            scores.append(-min(n, 3) * (0.01 if t.content else 1.0))
+            scores.append(-math.log1p(n) * (0.01 if t.content else 1.0))
         elif has_content and not t.content:
             scores.append(weights.outside * n)
         else:
