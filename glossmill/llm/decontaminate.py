@@ -10,18 +10,23 @@ when its tiles cover ``COVERAGE`` of its words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.words import folded_words
+from glossmill.sources.workspace import keep
 
 MIN_MATCH = 5
 COVERAGE = 0.5
 #: Words of items in one broadcast; a larger benchmark takes more of them.
 PART_WORDS = 1_000_000
+#: A seed of more items than this is common.
+COMMON = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _FOUND = "array<struct<item:bigint,coverage:double,n_tiles:int,matched_words:int,longest:int>>"
@@ -111,6 +116,7 @@ class Part:
 
     items: tuple[tuple[int, tuple[str, ...]], ...]
     min_match: int
+    coverage: float
 
 
 class Index:
@@ -131,6 +137,18 @@ class Index:
                 for place, print_ in enumerate(Rolling(ids).windows(size).tolist()):
                     owners.setdefault(print_, {}).setdefault(at, []).append(place)
         self.owners = owners
+        # Seeds that many items have, an opening as a rule, do not lead to an item by themselves, unless it could be
+        # leaked without any other.
+        common = [print_ for print_, own in owners.items() if len(own) > COMMON]
+        covered: dict[int, np.ndarray] = {}
+        for print_ in common:
+            for at, places in owners[print_].items():
+                ids, size = self.items[at]
+                reach = covered.setdefault(at, np.zeros(len(ids), bool))
+                for place in places:
+                    reach[place : place + size] = True
+        self.by_common = {at for at, reach in covered.items() if reach.sum() >= part.coverage * len(reach)}
+        self.leading = {print_: [at for at in owners[print_] if at in self.by_common] for print_ in common}
         self.sizes = sorted({size for _, size in self.items if size})
         self.seeds = np.array(sorted(owners), np.uint64)
 
@@ -145,6 +163,7 @@ class Index:
         rolling, unknown = None, np.zeros(len(ids) + 1, np.int64)
         np.cumsum(ids == 0, out=unknown[1:])
         hits: dict[int, list[tuple[int, int, int]]] = {}
+        shared_by_many: list[tuple[int, int, int]] = []
         for size in self.sizes:
             if size > len(ids):
                 break
@@ -156,9 +175,17 @@ class Index:
             nearest = np.minimum(np.searchsorted(self.seeds, prints), len(self.seeds) - 1)
             seen = self.seeds[nearest] == prints
             for place, print_ in zip(places[seen].tolist(), prints[seen].tolist()):
-                for at in self.owners[print_]:
+                own = self.leading.get(print_)
+                if own is None:
+                    own = self.owners[print_]
+                else:
+                    shared_by_many.append((place, print_, size))
+                for at in own:
                     if self.items[at][1] == size:
                         hits.setdefault(at, []).append((place, print_, size))
+        for at, found in hits.items():
+            if at not in self.by_common:
+                found += [hit for hit in shared_by_many if hit[2] == self.items[at][1] and at in self.owners[hit[1]]]
         for at, found in sorted(hits.items()):
             item, least = self.items[at]
             # No tile reaches beyond the seeds, on either side.
@@ -191,7 +218,9 @@ def _index(shared) -> Index:
     return _indexes[0]
 
 
-def parts(benchmark: DataFrame, id: str = "item_id", text: str = "text", min_match: int = MIN_MATCH, part_words: int = PART_WORDS) -> Iterator[Part]:
+def parts(
+    benchmark: DataFrame, id: str = "item_id", text: str = "text", min_match: int = MIN_MATCH, part_words: int = PART_WORDS, coverage: float = COVERAGE
+) -> Iterator[Part]:
     """A benchmark in parts of about ``part_words`` words, each gathered once its size is known.
 
     Items without words are left out; null ids count as ids of their own.
@@ -203,12 +232,11 @@ def parts(benchmark: DataFrame, id: str = "item_id", text: str = "text", min_mat
     for i in range(n):
         chosen = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
         items = sorted(((r["id"], tuple(folded_words(r["text"]))) for r in chosen.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        yield Part(tuple(x for x in items if x[1]), min_match)
+        yield Part(tuple(x for x in items if x[1]), min_match, coverage)
 
 
-def _leaks(df: DataFrame, part: Part, coverage: float) -> Column:
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(part)
+def _search(shared, coverage: float) -> Callable[[Column], Column]:
+    """The leaks of a part that every task gets."""
 
     @F.arrow_udf(_FOUND)
     def search(texts):
@@ -243,16 +271,31 @@ def leaks(
     Words are compared without regard to case and without punctuation, in any script. An item shorter than
     ``min_match`` words must occur as a whole. Repeated items with one id and text
     count once; a null or empty text leaks nothing; a column named ``out`` is
-    replaced, the others pass. The benchmark is broadcast in parts of a bounded
-    number of words, with a function over the texts for each part, all in one
-    stage and alive together: memory grows with the benchmark. Documents are never
-    shuffled, however hot a passage is.
+    replaced, the others pass. A benchmark of up to ``part_words`` words is broadcast as it is. A longer one is
+    taken in parts of about that size, one after the other: each part's leaks are written, and its broadcast ends,
+    before the next is gathered. Documents are then written once, and joined with what was found.
     """
-    df = documents.drop(out).withColumn(out, F.array().cast(_FOUND))
-    for part in parts(benchmark, item_id, item_text, min_match, part_words):
+    rest = documents.drop(out)
+    spark, made = documents.sparkSession, parts(benchmark, item_id, item_text, min_match, part_words, coverage)
+    first, second = next(made, None), next(made, None)
+    if second is None:
+        if first is None or not first.items:
+            return rest.withColumn(out, F.array().cast(_FOUND))
+        return rest.withColumn(out, _search(spark.sparkContext.broadcast(first), coverage)(F.col(text)))
+    numbered = keep(rest.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    found = []
+    for part in chain((first, second), made):
         if part.items:
-            df = df.withColumn(out, F.concat(out, _leaks(df, part, coverage)(F.col(text))))
-    return df
+            shared = spark.sparkContext.broadcast(part)
+            leaked = numbered.select("__row", _search(shared, coverage)(F.col(text)).alias(out))
+            found.append(keep(leaked.filter(F.size(out) > 0), "leaks"))
+            shared.destroy()
+    if not found:
+        return numbered.withColumn(out, F.array().cast(_FOUND)).drop("__row")
+    # Few documents leak; each has as many leaks as it holds items.
+    merged = reduce(DataFrame.unionByName, found).groupBy("__row").agg(F.sort_array(F.flatten(F.collect_list(out))).alias("__leaks"))
+    joined = numbered.join(merged, "__row", "left")
+    return joined.select(*(F.col(c) for c in rest.columns), F.coalesce("__leaks", F.array().cast(_FOUND)).alias(out))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
