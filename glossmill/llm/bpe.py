@@ -31,8 +31,8 @@ LEAF_CHARS = 16_384
 LEAF_SYMBOLS = 48
 #: Tokens taken from either side of a join at first.
 WINDOW = 4
-#: Words and runs that a worker remembers; both memories start anew when full.
-REMEMBERED = 100_000
+#: Words and runs that a worker remembers, of so many characters at most; both memories start anew when full.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 
 _NO_RANK = 1 << 60
 # White space that separates runs: the Unicode property. str.split() also takes
@@ -186,9 +186,10 @@ class Encoder:
             else:
                 ids = self.tree([*(self.inner[b] for b in data[:-1]), self.final[data[-1]]])
             found = array("i", ids).tobytes()
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = found
+            if len(word) <= REMEMBERED_CHARS:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def run(self, run: str) -> bytes:
@@ -206,9 +207,10 @@ class Encoder:
             for i, part in enumerate(parts):
                 if part is None:
                     parts[i] = self.run(runs[i])
-                    if len(self.runs) >= REMEMBERED:
-                        self.runs.clear()
-                    self.runs[runs[i]] = parts[i]
+                    if len(runs[i]) <= REMEMBERED_CHARS:
+                        if len(self.runs) >= REMEMBERED:
+                            self.runs.clear()
+                        self.runs[runs[i]] = parts[i]
         return b"".join(parts)
 
     def cut(self, text: str, leaf: int) -> list[dict]:
