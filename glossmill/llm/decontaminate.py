@@ -116,7 +116,7 @@ class Part:
 
     items: tuple[tuple[int, tuple[str, ...]], ...]
     min_match: int
-    coverage: float
+    coverage: float = COVERAGE
 
 
 class Index:
