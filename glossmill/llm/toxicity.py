@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult, threat, target, negation, reported speech, other.
-Three transducers read the symbols of a clause one after the other, and are
+Three weighted transducers read the symbols of a clause one after the other, and are
 composed into one before any text is read: the first marks what a negation
 reaches, the second what somebody else is reported to have said, the third what
-is aimed at a target. A path through the composed transducer ends in a weight for
-each pattern it has matched; a clause weighs what its patterns weigh, and a text
-is scored by its clauses.
+is aimed at a target before it. A fourth reads what these write from right to left,
+for targets that come after. Weights stand on the arcs and are multiplied along the
+path, in the composition and over both ways; a clause weighs what the patterns it has
+matched weigh, and a text is scored by its clauses.
 
 Weights and further insults are learned from labelled rows (``fit``); the lists
 below are where learning starts from.
@@ -18,6 +19,7 @@ import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -56,16 +58,11 @@ MANNERS = ("plain", "negated", "reported")
 PATTERNS = tuple(f"{kind}_{manner}_{aim}" for kind in ("insult", "threat") for manner in MANNERS for aim in ("bare", "aimed"))
 #: Words that a negation reaches, and words between a target and what is aimed at it.
 NEGATION_REACH, TARGET_REACH = 3, 4
-#: A clause of this weight counts as matched: a plain insult, an aimed threat, not a bare or a negated one.
-CLAUSE_WEIGHT = 0.9
+#: A clause of this weight counts as matched: a plain insult, an aimed threat, not a bare or a negated one, nor two reported ones.
+CLAUSE_WEIGHT = 0.91
 #: Labelled rows that weights are learned from, at most; they are the first by hash.
 FIT_ROWS = 20_000
 
-# Weights before learning, in log-odds.
-PRIOR = {"bias": -3.0, "clauses": 1.5, "strongest": 1.0} | {
-    p: {"plain": 1.0, "negated": 0.2, "reported": 0.3}[p.split("_")[1]] * (1.5 if p.endswith("aimed") else 1.0) * (0.5 if p == "threat_plain_bare" else 1.0)
-    for p in PATTERNS
-}
 FEATURES = ("bias", "clauses", "strongest", *PATTERNS)
 
 _CLAUSE_END = re.compile(r"[.!?;:\n|]")
@@ -73,30 +70,43 @@ _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 _QUOTES = frozenset("\"“”«»„")
 
 
+# What an arc does to the weight of an insult or threat.
+NEGATED, REPORTED, AIMED, BARE_THREAT = Fraction(1, 5), Fraction(3, 10), Fraction(3, 2), Fraction(1, 2)
+_ONE = Fraction(1)
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: ``arcs[state, symbol] = (state, symbol)``, 0 is the first state."""
+    """Deterministic: ``arcs[state, symbol] = (state, symbol, weight)``, 0 is the first state."""
 
-    arcs: dict[tuple[int, int], tuple[int, int]]
+    arcs: dict[tuple[int, int], tuple[int, int, Fraction]]
 
     def then(self, other: Transducer) -> Transducer:
-        """The composition: what this one writes the other reads."""
+        """The composition: what this one writes the other reads; weights are multiplied."""
         inputs = {s for _, s in self.arcs}
         arcs, number, todo = {}, {(0, 0): 0}, [(0, 0)]
         while todo:
             at = todo.pop()
             for symbol in inputs:
-                mine, middle = self.arcs[at[0], symbol]
-                theirs, out = other.arcs[at[1], middle]
+                mine, middle, weight = self.arcs[at[0], symbol]
+                theirs, out, more = other.arcs[at[1], middle]
                 to = (mine, theirs)
                 if to not in number:
                     number[to] = len(number)
                     todo.append(to)
-                arcs[number[at], symbol] = (number[to], out)
+                arcs[number[at], symbol] = (number[to], out, weight * more)
         return Transducer(arcs)
 
+    def run(self, symbols: Iterable[int]) -> list[tuple[int, Fraction]]:
+        state, out = 0, []
+        for symbol in symbols:
+            state, written, weight = self.arcs[state, symbol]
+            out.append((written, weight))
+        return out
 
-# After the first two transducers a symbol is 0 other, 1 target, or 2 and up: kind and manner.
+
+# After the first two transducers a symbol is 0 other, 1 target, or 2 and up: kind and manner. After the third it is
+# 0 other, 1 target, or 2 and up: the pattern.
 def _marked(kind: int, manner: int) -> int:
     return 2 + kind * len(MANNERS) + manner
 
@@ -107,36 +117,83 @@ def _negation() -> Transducer:
     for left in range(NEGATION_REACH + 1):
         for symbol in range(6):
             to = NEGATION_REACH if symbol == NEGATION else max(0, left - 1)
-            arcs[left, symbol] = (to, symbol + 5 if left and symbol in (INSULT, THREAT) else symbol)
+            reached = left and symbol in (INSULT, THREAT)
+            arcs[left, symbol] = (to, symbol + 5 if reached else symbol, NEGATED if reached else _ONE)
     return Transducer(arcs)
 
 
 def _report() -> Transducer:
-    """From a reporting word to the end of the clause, what is said is somebody else's."""
+    """From a reporting word to the end of the clause, what is said is somebody else's, negated or not."""
     arcs = {}
     for reported in (0, 1):
         for symbol in range(8):
-            out = OTHER
+            out, weight = OTHER, _ONE
             if symbol == TARGET:
                 out = 1
             elif symbol in (INSULT, THREAT, INSULT + 5, THREAT + 5):
-                kind = (symbol - 1) % 5
-                out = _marked(kind, 2 if reported else 1 if symbol > 5 else 0)
-            arcs[reported, symbol] = (1 if symbol == REPORT else reported, out)
+                kind, negated = (symbol - 1) % 5, symbol > 5
+                out = _marked(kind, 2 if reported else 1 if negated else 0)
+                if reported:
+                    weight = REPORTED / NEGATED if negated else REPORTED
+            arcs[reported, symbol] = (1 if symbol == REPORT else reported, out, weight)
     return Transducer(arcs)
 
 
+def _aimed(pattern: int) -> Fraction:
+    """What a pattern gains by being aimed: a threat that is neither negated nor reported says little by itself."""
+    return AIMED / BARE_THREAT if PATTERNS[pattern] == "threat_plain_bare" else AIMED
+
+
 def _aim() -> Transducer:
-    """Writes 0, or one more than the pattern; the state counts words left in a target's reach."""
+    """Writes a target, or the pattern; the state counts words left in a target's reach."""
     arcs = {}
     for left in range(TARGET_REACH + 1):
         for symbol in range(2 + 2 * len(MANNERS)):
-            out = 0 if symbol < 2 else 1 + 2 * (symbol - 2) + (1 if left else 0)
-            arcs[left, symbol] = (TARGET_REACH if symbol == 1 else max(0, left - 1), out)
+            to, out, weight = max(0, left - 1), symbol, _ONE
+            if symbol == 1:
+                to = TARGET_REACH
+            elif symbol > 1:
+                bare = 2 * (symbol - 2)
+                weight = AIMED if left else BARE_THREAT if PATTERNS[bare] == "threat_plain_bare" else _ONE
+                out = 2 + bare + (1 if left else 0)
+            arcs[left, symbol] = (to, out, weight)
+    return Transducer(arcs)
+
+
+def _aim_back() -> Transducer:
+    """The same from right to left, over what ``_aim`` has written: bare patterns in reach of a target become aimed."""
+    arcs = {}
+    for left in range(TARGET_REACH + 1):
+        for symbol in range(2 + len(PATTERNS)):
+            reached = left and symbol > 1 and PATTERNS[symbol - 2].endswith("bare")
+            to = TARGET_REACH if symbol == 1 else max(0, left - 1)
+            arcs[left, symbol] = (to, symbol + 1 if reached else symbol, _aimed(symbol - 2) if reached else _ONE)
     return Transducer(arcs)
 
 
-GRAMMAR = _negation().then(_report()).then(_aim())
+GRAMMAR, BACK = _negation().then(_report()).then(_aim()), _aim_back()
+
+
+def read(symbols: list[int]) -> list[tuple[int, float] | None]:
+    """Of every symbol of a clause the pattern that it completes and the weight of the path, or None."""
+    there = GRAMMAR.run(symbols)
+    back = BACK.run(out for out, _ in reversed(there))[::-1]
+    return [(out - 2, float(weight * more)) if out > 1 else None for (_, weight), (out, more) in zip(there, back)]
+
+
+def _pattern_weights() -> dict[str, float]:
+    """The weights of all patterns, by reading a clause for each."""
+    found = {}
+    for trigger in (INSULT, THREAT):
+        for before in ([], [NEGATION], [REPORT]):
+            for after in ([], [TARGET]):
+                pattern, weight = read([*before, trigger, *after])[len(before)]
+                found[PATTERNS[pattern]] = weight
+    return found
+
+
+# Weights before learning, in log-odds.
+PRIOR = {"bias": -3.0, "clauses": 1.5, "strongest": 1.0} | _pattern_weights()
 
 
 @dataclass(frozen=True)
@@ -183,34 +240,18 @@ def measure(text: str, model: Model) -> list[float]:
     matched, strongest, patterns = 0, 0.0, [0.0] * len(PATTERNS)
     for clause in clauses(text.lower(), finder):
         words, weight = _TOKEN.findall(clause), 0.0
-        for word, pattern in _read(words, symbols, sum(w in _QUOTES for w in words) > 1):
-            strength = weights.get(word, 1.0)
-            patterns[pattern] += strength
-            weight += strength * PRIOR[PATTERNS[pattern]]
+        quoted = sum(w in _QUOTES for w in words) > 1
+        path = read([REPORT if quoted and w in _QUOTES else symbols.get(w, OTHER) for w in words])
+        for word, step in zip(words, path):
+            if step:
+                strength = weights.get(word, 1.0)
+                patterns[step[0]] += strength
+                weight += strength * step[1]
         matched += weight >= CLAUSE_WEIGHT
         strongest = max(strongest, weight)
     return [1.0, math.log1p(matched), min(strongest, 4.0), *(math.log1p(p) for p in patterns)]
 
 
-def _read(words: list[str], symbols: dict[str, int], quoted: bool) -> list[tuple[str, int]]:
-    """Trigger words with the patterns that they complete.
-
-    The transducer sees targets before a trigger; those after it are met on the way back.
-    """
-    read = [REPORT if quoted and w in _QUOTES else symbols.get(w, OTHER) for w in words]
-    found, state = {}, 0
-    for i, symbol in enumerate(read):
-        state, out = GRAMMAR.arcs[state, symbol]
-        if out:
-            found[i] = out - 1
-    reach = 0
-    for i in range(len(read) - 1, -1, -1):
-        if i in found and reach:
-            found[i] |= 1
-        reach = TARGET_REACH if read[i] == TARGET else max(0, reach - 1)
-    return [(words[i], pattern) for i, pattern in found.items()]
-
-
 def score(text: Column, model: Model) -> Column:
     """Between 0 and 1; a null or empty text has the score of one without a match."""
 
