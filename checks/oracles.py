@@ -371,6 +371,16 @@ def _enough(ratio: float) -> str:
 STRIP = f"where language in {CODE} and not {SKIPPED}"
 STRIP_FILE = f"where language in {SUPPORTED} and not {SKIPPED}"
 
+BARE_SIDES = (
+        PLANNED,
+        AUDITED,
+        f"""sides as (select 'b' || path as side, language, {_lexical('before')} as bare from audited
+  union all select 'a' || path, language, {_lexical('after')} from audited)""",
+        "plain as (select side, bare from sides where language = 'python')",
+        *_without_docstrings("plain", "side", "pure"),
+        "bare as (select side, bare from sides where language <> 'python' union all select side, bare from pure)",
+)
+
 ORACLES: dict[str, str] = {
     "detect_languages": _with_files(
         f"""select path, extension, language,
@@ -523,13 +533,15 @@ from (select *, min(case when error is not null then chunk_index end) over (part
   select a.path, language, {_code('b.bare')} = {_code('c.bare')} as code_kept,
     len(string_split(after, {NL})) >= len(string_split(before, {NL})) as lines_kept
   from audited a join bare b on b.side = 'b' || a.path join bare c on c.side = 'a' || a.path) a""",
-        PLANNED,
-        AUDITED,
-        f"""sides as (select 'b' || path as side, language, {_lexical('before')} as bare from audited
-  union all select 'a' || path, language, {_lexical('after')} from audited)""",
-        "plain as (select side, bare from sides where language = 'python')",
-        *_without_docstrings("plain", "side", "pure"),
-        "bare as (select side, bare from sides where language <> 'python' union all select side, bare from pure)",
+        *BARE_SIDES,
+    ),
+    "audit_places": _with_files(
+        """select path, (at_line - 1)::int as code_line, ours[at_line] as line_before, theirs[at_line] as line_after
+from (select path, ours, theirs, list_min(list_filter(range(1, greatest(len(ours), len(theirs)) + 1), lambda i: ours[i] is distinct from theirs[i])) as at_line
+  from codes where ours <> theirs) c""",
+        *BARE_SIDES,
+        f"""codes as (select a.path, {_code('b.bare')} as ours, {_code('c.bare')} as theirs
+  from audited a join bare b on b.side = 'b' || a.path join bare c on c.side = 'a' || a.path)""",
     ),
     "review_hunks": _with_files(
         f"""select path, len(string_split(after, {NL})) - len(string_split(before, {NL})) as lines_more,

@@ -455,6 +455,14 @@ def approve_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.apply_hunks(pairs.withColumnRenamed("before", "content"), found, found.where("doc_id % 3 <> 0")).select("path", "content", "applied")
 
 
+def audit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the code of each file that was not kept changes first."""
+    found = review.preservation_audit(_audited(spark, sf_dir), places=True)
+    # Taken out of a list: a condition on what was judged would be pushed down, and everything judged twice.
+    places = found.select("path", F.inline(F.array_compact(F.array("change"))))
+    return places.select("path", "code_line", F.col("before").alias("line_before"), F.col("after").alias("line_after"))
+
+
 # Jobs and summaries
 
 
@@ -502,7 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         build_requests, request_envelopes, resolve_models, normalise_outputs, file_results,
         generate_batch, ask_once, document_corpus, document_corpus_edges, review_corpus, document_arriving, document_run,
         apply_spans, apply_spans_sparse, selection_extract, selection_replace, selection_requests, document_selections,
-        length_guard, review_changes, review_stripped, review_hunks, approve_hunks, preservation_audit,
+        length_guard, review_changes, review_stripped, review_hunks, approve_hunks, preservation_audit, audit_places,
         run_summary, strip_files, strip_results_of_files, publish_approved, strip_stream,
     )
 }

@@ -59,7 +59,7 @@ def chunk_texts(text: Column, min_lines: int) -> Column:
     ).otherwise(F.array(text))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -97,6 +97,6 @@ def bounded_chunk_texts(text: Column, limit: int, unit: str = "lines") -> Column
         return F.transform(cut["starts"], chunk)
 
     def cut(pieces: Column) -> Column:
-        return _bound(F.struct(pieces.alias("pieces"), starts(pieces).alias("starts")), texts)
+        return bound(F.struct(pieces.alias("pieces"), starts(pieces).alias("starts")), texts)
 
-    return F.when(size(text) > limit, _bound(chunk_texts(text, 1), cut)).otherwise(F.array(text))
+    return F.when(size(text) > limit, bound(chunk_texts(text, 1), cut)).otherwise(F.array(text))

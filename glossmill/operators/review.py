@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.comments import strip_comments, without_docstrings
-from glossmill.functions.lines import LINE_SPACE, count_lines, split_lines
+from glossmill.functions.lines import LINE_SPACE, bound, count_lines, split_lines
 from glossmill.functions.text import js_trim, utf16_length
 
 
@@ -80,7 +80,29 @@ def _code_text(bare: Column) -> Column:
     return F.ltrim(F.regexp_replace(bare, line_ends, "\n"), F.lit("\n"))
 
 
-def preservation_audit(pairs: DataFrame) -> DataFrame:
+def _first_change(before: Column, after: Column, text: Column) -> Column:
+    """Where two code texts part: the number of the code line, the line on either side, and where it stands in ``text``."""
+
+    def lines(code: Column) -> Column:
+        return F.split(F.rtrim(code, F.lit("\n")), "\n", -1)
+
+    def place(both: Column) -> Column:
+        one, other = both["one"], both["other"]
+        at = F.array_position(F.zip_with(one, other, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
+        return F.struct(at.alias("code_line"), F.get(one, at).alias("before"), F.get(other, at).alias("after"), other.alias("code"))
+
+    def found(change: Column) -> Column:
+        # Of the lines that hold this code, the one that as many came before as among the code lines.
+        earlier = F.size(F.filter(F.slice(change["code"], F.lit(1), F.greatest(change["code_line"], F.lit(0))), lambda c: c == change["after"]))
+        numbered = F.transform(split_lines(text), lambda line, i: F.struct(i.alias("i"), F.contains(line, change["after"]).alias("holds")))
+        line = F.get(F.filter(numbered, lambda x: x["holds"]), earlier)["i"]
+        return F.struct(change["code_line"].alias("code_line"), change["before"].alias("before"), change["after"].alias("after"), line.alias("line"))
+
+    both = F.struct(lines(before).alias("one"), lines(after).alias("other"))
+    return bound(both, lambda b: bound(place(b), found))
+
+
+def preservation_audit(pairs: DataFrame, places: bool = False) -> DataFrame:
     """Adds ``code_kept``, ``lines_kept`` and their conjunction ``preserved`` to
     ``(language, before, after)`` rows: a documented text must hold the same code,
     comments, docstrings, blank lines and space at line ends apart, and at least as many lines.
@@ -88,9 +110,14 @@ def preservation_audit(pairs: DataFrame) -> DataFrame:
     Equal texts are asked no more, others are compared without comments. Only python that
     still differs is compared without docstrings, which are statements by themselves and
     nothing else; a body that has nothing but one counts as not empty.
+
+    With ``places`` there is also ``change``, null where the code was kept: ``code_line`` counts the lines that
+    hold code, from 0, up to the first that differs; ``before`` and ``after`` are that line on either side, null
+    where a side has ended; ``line`` is its place in the text after, null if a comment stood within it.
     """
     before, after, language = F.col("before"), F.col("after"), F.col("language")
     differ = before != after
+    # Python's code without docstrings is worked out only where the code with them differs.
     bare = pairs.withColumns(
         {
             "__before": F.when(differ, strip_comments(before, language)),
@@ -101,11 +128,23 @@ def preservation_audit(pairs: DataFrame) -> DataFrame:
     judged = bare.withColumn("__same", ~differ | (one == other) | (_code_text(one) == _code_text(other)))
     again = ~F.col("__same") & (language == "python")
     pure = judged.withColumns(
-        {c: without_docstrings(F.when(again, F.col(c)), F.lit("python"), hold=True) for c in ("__before", "__after")}
+        {
+            f"{c}_pure": without_docstrings(F.when(again, F.col(c)), F.lit("python"), hold=True)
+            for c in ("__before", "__after")
+        }
     )
-    same = F.col("__same") | F.coalesce(_code_text(one) == _code_text(other), F.lit(False))
-    return (
-        pure.withColumns({"code_kept": same, "lines_kept": count_lines(after) >= count_lines(before)})
-        .withColumn("preserved", F.col("code_kept") & F.col("lines_kept"))
-        .drop("__before", "__after", "__same")
+    ours, theirs = F.col("__before_pure"), F.col("__after_pure")
+    same = F.col("__same") | F.coalesce(_code_text(ours) == _code_text(theirs), F.lit(False))
+    audited = pure.withColumns({"code_kept": same, "lines_kept": count_lines(after) >= count_lines(before)})
+    added = audited.withColumn("preserved", F.col("code_kept") & F.col("lines_kept"))
+    helpers = ["__before", "__after", "__same", "__before_pure", "__after_pure"]
+    if not places:
+        return added.drop(*helpers)
+    lost = ~F.col("code_kept")
+    added = added.withColumns(
+        {
+            "__before": F.when(lost, _code_text(F.coalesce(ours, one))),
+            "__after": F.when(lost, _code_text(F.coalesce(theirs, other))),
+        }
     )
+    return added.withColumn("change", F.when(lost, _first_change(one, other, after))).drop(*helpers)

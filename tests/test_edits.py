@@ -179,3 +179,19 @@ def test_audit_fails_closed(spark):
     pairs = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "path string, language string, before string, after string, want boolean")
     got = preservation_audit(pairs).collect()
     assert [r.path for r in got if r.code_kept != r.want] == []
+
+
+def test_audit_says_where(spark):
+    rows = [
+        ("c", "a;\nb;\nb;\n", "// n\na;\n\nb; // m\nx;\n", (2, "b;", "x;", 4)),
+        ("c", "a;\nb;\n", "a;\n", (1, "b;", None, None)),
+        ("c", "a;\n", "a;\n// n\nc; /* d */\n", (1, None, "c; /* d */"[:2], 2)),
+        ("c", "a;\nb c;\n", "a;\nb /* n */ d;\n", (1, "b c;", "b  d;", None)),
+        ("python", 's = """\nx\n"""\n', '# n\ns = """\ny\n"""\n', (1, "x", "y", 2)),
+        ("python", "def f():\n    return 1\n", 'def f():\n    """Doc."""\n    return 2\n', (1, "    return 1", "    return 2", 2)),
+        ("c", "", "x;", (0, "", "x;", 0)),
+        ("c", "a;\n", "/* n */\na;\n", None),
+    ]
+    pairs = spark.createDataFrame([(str(i), *r[:3]) for i, r in enumerate(rows)], "path string, language string, before string, after string")
+    got = preservation_audit(pairs, places=True).collect()
+    assert {r.path: r.change and tuple(r.change) for r in got} == {str(i): r[3] for i, r in enumerate(rows)}
