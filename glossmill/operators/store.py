@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +36,13 @@ def read_answers(spark: SparkSession, store: str) -> DataFrame:
 
     Of several answers to a digest, which a run that was cut off may have left, the least counts.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not (system.exists(path) and system.listStatus(path)):
+    try:
+        kept = spark.read.schema(ANSWERS).parquet(store)
+    except AnalysisException as cause:
+        if cause.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ANSWERS)
-    return spark.read.schema(ANSWERS).parquet(store).groupBy("request_key").agg(F.min("output").alias("output"))
+    return kept.groupBy("request_key").agg(F.min("output").alias("output"))
 
 
 def ask(
