@@ -275,7 +275,9 @@ _FIELD = rf"\{{(?:[^{{}}\"'\n\\]++|{_PLAIN}|\{{[^{{}}\n]*+\}})*+\}}"
 _FORMATTED = "|".join(rf"{q}(?:[^{q}\\{{\n]++|\\(?s:.)|\{{\{{|{_FIELD})*+{q}" for q in "\"'")
 _MARK, _FORMAT_MARK = r"(?:(?<!\w)[rRbBuU]{1,2})?+", r"(?<!\w)(?:[fFtT][rR]?|[rR][fFtT])"
 _PYTHON = re.compile(
-    rf"(?P<triple>{_MARK}(?:{_TRIPLE}))|(?P<other>{_FORMAT_MARK}(?:{_TRIPLE}|{_FORMATTED})|\"\"\"(?s:.)*+|'''(?s:.)*+)"
+    # Words up to one that a quote follows, which may be the mark of a string.
+    r"(?P<words>(?:[^\s\"'()\[\]{}\\]++(?![\"'])[ \t\f]*+)++)"
+    rf"|(?P<triple>{_MARK}(?:{_TRIPLE}))|(?P<other>{_FORMAT_MARK}(?:{_TRIPLE}|{_FORMATTED})|\"\"\"(?s:.)*+|'''(?s:.)*+)"
     rf"|(?P<plain>{_MARK}(?:{_PLAIN}))|(?P<open>[(\[{{])|(?P<close>[)\]}}])"
     r"|(?P<joined>\\\r?\n)|(?P<end>\r?\n)|[ \t\f]++|(?P<code>[\w.=,:]++|.)"
 )
@@ -311,7 +313,7 @@ def drop_string_statements(text: str, hold: bool = False) -> str:
             depth, others = depth + 1, True
         elif kind == "close":
             depth, others = max(0, depth - 1), True
-        elif kind in ("other", "joined", "code"):
+        elif kind in ("words", "other", "joined", "code"):
             others = True
         elif kind == "end" and depth == 0:
             end = min(token.end(), len(text))
