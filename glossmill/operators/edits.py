@@ -7,23 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.functions.bitmaps import BITMAP_BITS, is_set
+
 _BITS = 8
 _BLOCK = 1 << _BITS
 #: Paths are marked by their hash in so many bits, which are sent to every task: 16 MB, however many paths.
 MARK_BITS = 1 << 27
-#: Bits of one bitmap of ``bitmap_construct_agg``.
-_BITMAP_BITS = 1 << 15
 
 
 def _marked(files: DataFrame, spans: DataFrame) -> DataFrame:
     """``(path, content, marked)``: files that have no spans are almost all not marked, those that have some all are."""
     slot = F.pmod(F.xxhash64("path"), F.lit(MARK_BITS))
-    bucket, position = F.floor(slot / _BITMAP_BITS).alias("bucket"), F.pmod(slot, F.lit(_BITMAP_BITS))
+    bucket, position = F.floor(slot / BITMAP_BITS).alias("bucket"), F.pmod(slot, F.lit(BITMAP_BITS))
     bitmaps = spans.groupBy(bucket).agg(F.bitmap_construct_agg(position).alias("bitmap"))
-    byte = F.substring("bitmap", (F.floor(position / 8) + 1).cast("int"), F.lit(1))
-    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(position, F.lit(8)).cast("int"))
     placed = files.select("path", "content", bucket).join(F.broadcast(bitmaps), "bucket", "left")
-    return placed.select("path", "content", F.coalesce(bit == 1, F.lit(False)).alias("marked"))
+    return placed.select("path", "content", F.coalesce(is_set(F.col("bitmap"), position), F.lit(False)).alias("marked"))
 
 
 def _blocks(text: Column) -> Column:

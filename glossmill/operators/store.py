@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.functions.bitmaps import BITMAP_BITS, is_set
 from glossmill.operators.responses import generate
 from glossmill.sources.workspace import keep
 
@@ -45,6 +46,34 @@ def read_answers(spark: SparkSession, store: str) -> DataFrame:
     return kept.groupBy("request_key").agg(F.min("output").alias("output"))
 
 
+def _bounds(missing: DataFrame, rounds: int) -> list[int | None]:
+    """Places that cut the missing requests into rounds of about as many; open at both ends."""
+    cuts = []
+    if rounds > 1:
+        shares = [number / rounds for number in range(1, rounds)]
+        cuts = sorted(set(missing.agg(F.percentile_approx("request_place", shares)).first()[0]))
+    return [None, *cuts, None]
+
+
+def _due(sent: DataFrame, missing: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """The requests of one round: those at the missing places above ``low`` and up to ``high``.
+
+    Places grow along the files of ``sent``, so a range of them is a few row groups, and the others are not read.
+    Which of them are missing is told by a bit for each request, which is sent to every task: no text is shuffled.
+    """
+    place, bits = F.col("request_place"), BITMAP_BITS.bit_length() - 1
+    bucket = F.shiftright(place, bits).alias("bucket")
+
+    def within(df: DataFrame) -> DataFrame:
+        df = df if low is None else df.where(place > low)
+        return df if high is None else df.where(place <= high)
+
+    position = F.pmod(place, F.lit(BITMAP_BITS))
+    bitmaps = within(missing).groupBy(bucket).agg(F.bitmap_construct_agg(position).alias("bitmap"))
+    placed = within(sent).withColumn("bucket", bucket).join(F.broadcast(bitmaps), "bucket")
+    return placed.where(is_set(F.col("bitmap"), position)).drop("bucket", "bitmap")
+
+
 def ask(
     requests: DataFrame,
     answer: Callable[[Any], Any],
@@ -62,16 +91,16 @@ def ask(
     """
     spark = requests.sparkSession
     numbered = requests.withColumn("request_key", request_key(requests)).withColumn("request_place", F.monotonically_increasing_id())
-    sent = keep(numbered, "requests")
+    sent = keep(numbered, "requests", compression="zstd")
     # One place for each digest: no text is shuffled for that, and copies are one row for each task.
     asked = sent.groupBy("request_key").agg(F.min("request_place").alias("request_place"))
     missing = keep(asked.join(read_answers(spark, store), "request_key", "left_anti"), "missing")
     rounds = min(ROUNDS, -(-missing.count() // round_requests))
     usual = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     failures = []
-    for number in range(rounds):
-        turn = missing.where(F.pmod(F.xxhash64("request_key"), F.lit(rounds)) == number).select("request_place")
-        due = sent.join(turn, "request_place", "left_semi").repartition(usual, "request_key")
+    bounds = _bounds(missing, rounds)
+    for low, high in zip(bounds[:-1], bounds[1:]) if rounds else ():
+        due = _due(sent, missing, low, high).repartition(usual, "request_key")
         # The digest takes the place of the path, which is what a response is known by.
         named = due.withColumn("path", F.col("request_key")).withColumn("chunk_index", F.lit(0))
         told = keep(generate(named, answer, batch_size), "answers")

@@ -28,15 +28,16 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/glossmill-{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage: a task that is lost later reads the table, it does not run
-    what made it again. That matters for model calls above all.
+    what made it again. That matters for model calls above all. ``compression`` is
+    the session's own unless it is given.
     """
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

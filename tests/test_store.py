@@ -6,6 +6,7 @@ import os
 import pytest
 
 from glossmill.config import JobConfig
+from glossmill.operators import store as stores
 from glossmill.operators.requests import build_requests
 from glossmill.operators.store import ask, read_answers, request_key
 from glossmill.plans.document import run_corpus
@@ -114,3 +115,24 @@ def test_a_second_run_over_an_unchanged_corpus_makes_no_call(spark, tmp_path, as
     assert read("one") == read("two") == [(f"d/f{i}.py", f"// x = {i % 3}") for i in range(9)]
     plain = run_corpus(files, answer, str(tmp_path / "three")).collect()
     assert plain == first and len(asked()) == 9
+
+
+def test_a_round_shuffles_its_own_texts_only(spark, tmp_path, asked, monkeypatch):
+    """Before its requests are dealt out, no round shuffles what the others ask."""
+    plans, sizes, plain = [], [], stores.generate
+
+    def seen(requests, *rest):
+        plans.append(requests._jdf.queryExecution().executedPlan().toString())
+        sizes.append(requests.count())
+        return plain(requests, *rest)
+
+    monkeypatch.setattr(stores, "generate", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(f"p{i}.py", 0, "python", f"t{i % 60}") for i in range(90)]
+        done = ask(requests_of(spark, rows), teller(asked.folder), str(tmp_path / "store"), round_requests=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 3 and sizes == [20, 20, 20]
+    assert not [p for p in plans if "SortMergeJoin" in p]
+    assert sorted(r.output for r in done) == sorted(f"// t{i % 60}" for i in range(90)) and len(asked()) == 60
