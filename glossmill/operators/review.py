@@ -74,9 +74,11 @@ def _code_text(bare: Column) -> Column:
     """Text without blank lines and space at line ends.
 
     A run of spaces is looked at from its first one only, however long it is, and
-    plain characters are passed over before anything else is asked of them.
+    plain characters are passed over before anything else is asked of them. So are
+    plain spaces before them: the class of all spaces is a slow one.
     """
-    line_ends = rf"(?![!-~])(?<!{LINE_SPACE})(?:{LINE_SPACE}*+\n)++"
+    first = rf"(?<![ \t])(?![ \t]++[!-~])(?:(?<=[!-~])|(?<!{LINE_SPACE}))"
+    line_ends = rf"(?![!-~]){first}(?:\n|(?![!-~]){LINE_SPACE}*+\n)++"
     return F.ltrim(F.regexp_replace(bare, line_ends, "\n"), F.lit("\n"))
 
 
@@ -102,6 +104,15 @@ def _first_change(before: Column, after: Column, text: Column) -> Column:
     return bound(both, lambda b: bound(place(b), found))
 
 
+def _worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once for each row, however often they are used.
+
+    Where two Python functions follow each other the optimizer puts the arguments of both into one step, and with
+    them a copy of the text between them for every use. What comes out of a list it takes as it is.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(value.alias(name) for name, value in columns.items())))))
+
+
 def preservation_audit(pairs: DataFrame, places: bool = False) -> DataFrame:
     """Adds ``code_kept``, ``lines_kept`` and their conjunction ``preserved`` to
     ``(language, before, after)`` rows: a documented text must hold the same code,
@@ -117,34 +128,32 @@ def preservation_audit(pairs: DataFrame, places: bool = False) -> DataFrame:
     """
     before, after, language = F.col("before"), F.col("after"), F.col("language")
     differ = before != after
-    # Python's code without docstrings is worked out only where the code with them differs.
-    bare = pairs.withColumns(
-        {
-            "__before": F.when(differ, strip_comments(before, language)),
-            "__after": F.when(differ, strip_comments(after, language)),
-        }
+    bare = _worked_out(
+        pairs,
+        __before=F.when(differ, strip_comments(before, language)),
+        __after=F.when(differ, strip_comments(after, language)),
     )
     one, other = F.col("__before"), F.col("__after")
-    judged = bare.withColumn("__same", ~differ | (one == other) | (_code_text(one) == _code_text(other)))
+    judged = _worked_out(bare, __same=~differ | (one == other) | (_code_text(one) == _code_text(other)))
+    # Python's code without docstrings is worked out only where the code with them differs.
     again = ~F.col("__same") & (language == "python")
-    pure = judged.withColumns(
-        {
+    pure = _worked_out(
+        judged,
+        **{
             f"{c}_pure": without_docstrings(F.when(again, F.col(c)), F.lit("python"), hold=True)
             for c in ("__before", "__after")
-        }
+        },
     )
     ours, theirs = F.col("__before_pure"), F.col("__after_pure")
     same = F.col("__same") | F.coalesce(_code_text(ours) == _code_text(theirs), F.lit(False))
-    audited = pure.withColumns({"code_kept": same, "lines_kept": count_lines(after) >= count_lines(before)})
+    audited = _worked_out(pure, code_kept=same).withColumn("lines_kept", count_lines(after) >= count_lines(before))
     added = audited.withColumn("preserved", F.col("code_kept") & F.col("lines_kept"))
     helpers = ["__before", "__after", "__same", "__before_pure", "__after_pure"]
     if not places:
         return added.drop(*helpers)
     lost = ~F.col("code_kept")
-    added = added.withColumns(
-        {
-            "__before": F.when(lost, _code_text(F.coalesce(ours, one))),
-            "__after": F.when(lost, _code_text(F.coalesce(theirs, other))),
-        }
+    change = bound(
+        F.struct(_code_text(F.coalesce(ours, one)).alias("one"), _code_text(F.coalesce(theirs, other)).alias("other")),
+        lambda code: _first_change(code["one"], code["other"], after),
     )
-    return added.withColumn("change", F.when(lost, _first_change(one, other, after))).drop(*helpers)
+    return added.withColumn("change", F.when(lost, change)).drop(*helpers)

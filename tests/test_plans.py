@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.config import JobConfig
+from glossmill.functions.comments import strip_comments
+from glossmill.functions.languages import detect_language
 from glossmill.operators import chunks as chunking
 from glossmill.operators import review
 from glossmill.operators.edits import apply_spans
@@ -54,6 +56,16 @@ def test_review_and_audit_are_narrow(files):
         assert exchanges(df) == 0
 
 
+@pytest.mark.parametrize("places", [False, True])
+def test_the_audit_strips_each_side_once(files, places):
+    """Python's functions in a row had every text between them worked out again for each use."""
+    pairs = files.select("path", detect_language(F.col("path")).alias("language"), F.col("content").alias("before"), F.upper("content").alias("after"))
+    text = review.preservation_audit(pairs, places=places)._jdf.queryExecution().optimizedPlan().toString()
+    once = strip_comments(F.col("before"), F.col("language"))
+    stripped = pairs.select(once)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < text.count("(?<rest>") <= 2 * stripped.count("(?<rest>")
+
+
 def responses_of(files):
     planned = document.plan_files(files)
     return planned, chunking.chunks(planned, 80).select(
