@@ -320,7 +320,7 @@ def review_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose responses arrive on a stream, those that have an answer to every chunk."""
     landing, target = work_dir(spark, "landing"), work_dir(spark, "documented")
-    answers = _responses(spark, sf_dir)
+    answers = keep(_responses(spark, sf_dir), "responses")
     for part in (0, 1):
         answers.where(F.pmod("chunk_index", F.lit(2)) == part).write.mode("append").parquet(landing)
     planned = _planned(spark, sf_dir, fixtures.SOME_BLANK)

@@ -4,10 +4,12 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from glossmill.config import RESPONSES, JobConfig
 from glossmill.operators.chunks import chunks
 from glossmill.operators.responses import assemble
+from glossmill.streaming import assemble as streaming
 from glossmill.streaming.assemble import assemble_arriving, assemble_available
 
 TEXT = "\n\ndef f():\n    a\n"
@@ -74,3 +76,29 @@ def test_what_fails_comes_out_by_time(spark, tmp_path):
 @pytest.mark.parametrize("rows", [[], [(None, 0, "x", None), ("p0.py", None, "x", None)]])
 def test_odd_responses(spark, tmp_path, rows):
     assert run(spark, tmp_path, [rows]) == []
+
+
+def test_batches_do_not_read_the_files_again(spark, tmp_path, monkeypatch):
+    """Each batch cut all files into chunks anew, twice; and files share a bucket's state."""
+    monkeypatch.setattr(streaming, "BUCKETS", 2)
+    reads, landing = spark.sparkContext.accumulator(0), str(tmp_path / "landing")
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    rows = responses_of(spark)
+    random.Random(2).shuffle(rows)
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], RESPONSES).coalesce(1).write.mode("append").parquet(landing)
+    files = files_of(spark).withColumn("content", counted("content"))
+    assemble_available(files, landing, str(tmp_path / "target"), str(tmp_path / "progress"), CONFIG, files_per_batch=1)
+    got = sorted(map(tuple, spark.read.schema(query_schema(spark)).parquet(str(tmp_path / "target")).collect()))
+    assert got == batch(spark, rows) and len(got) == 30
+    assert reads.value == len(FILES)
+
+
+def test_files_of_one_bucket_wait_by_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "BUCKETS", 1)
+    test_what_fails_comes_out_by_time(spark, tmp_path)
