@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,36 @@ def _between(blocks: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, F.lit("")).when(first == last, head).otherwise(across)
 
 
+def _gathered(batches: Iterator[Any]) -> Iterator[Any]:
+    """Of each batch a row for each path: its different spans, as lists side by side."""
+    import pyarrow as pa
+
+    names = ["start", "end", "replacement"]
+    for batch in batches:
+        distinct = pa.Table.from_batches([batch]).group_by(["path", *names], use_threads=False).aggregate([])
+        listed = distinct.group_by("path", use_threads=False).aggregate([(name, "list") for name in names])
+        yield from listed.select(["path", *(f"{name}_list" for name in names)]).rename_columns(["path", *names]).to_batches()
+
+
+def _spans_of(spans: DataFrame) -> DataFrame:
+    """``(path, spans)``, a file's different spans in order.
+
+    A file's spans mostly come one after the other. They are put together before the shuffle, in lists: a row for
+    each of them would be sorted, and is several times as long as what it says.
+    """
+    plain = spans.select("path", "start", "end", F.coalesce("replacement", F.lit("")).alias("replacement"))
+    kinds = dict(plain.dtypes)
+    listed = plain.mapInArrow(_gathered, "path string, " + ", ".join(f"`{c}` array<{kinds[c]}>" for c in plain.columns[1:]))
+    # Side by side they are shorter than structs, and are made into these after the shuffle.
+    lists = F.collect_list(F.struct("start", "end", "replacement"))
+    zipped = F.transform(lists, lambda part: F.arrays_zip(part["start"], part["end"], part["replacement"]))
+    named = F.flatten(zipped).cast(f"array<struct<start:{kinds['start']},end:{kinds['end']},replacement:string>>")
+    sorted_spans = listed.groupBy("path").agg(F.array_sort(named).alias("spans"))
+    # The same span from several rows is one.
+    first = F.filter("spans", lambda span, i: (i == 0) | ~span.eqNullSafe(F.get(F.col("spans"), i - 1)))
+    return sorted_spans.withColumn("spans", first)
+
+
 def apply_spans(
     files: DataFrame, spans: DataFrame, accept: Callable[[Column, Column], Column] | None = None, sparse: bool = False
 ) -> DataFrame:
@@ -64,13 +95,9 @@ def apply_spans(
         marked = _marked(files, spans)
         untouched = marked.where("not marked").select("path", "content", F.lit(0).alias("n_spans"), F.lit(True).alias("applied"))
         return apply_spans(marked.where("marked"), spans, accept).unionByName(untouched)
-    replacement = F.coalesce("replacement", F.lit("")).alias("replacement")
-    grouped = spans.groupBy("path").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end", replacement))).alias("spans")
-    )
     cut = (
         files.select("path", "content")
-        .join(grouped, "path", "left")
+        .join(_spans_of(spans), "path", "left")
         .withColumn("size", F.length("content"))
         .withColumn("blocks", F.when(F.col("spans").isNotNull(), _blocks(F.col("content"))))
     )

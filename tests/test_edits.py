@@ -195,3 +195,28 @@ def test_audit_says_where(spark):
     pairs = spark.createDataFrame([(str(i), *r[:3]) for i, r in enumerate(rows)], "path string, language string, before string, after string")
     got = preservation_audit(pairs, places=True).collect()
     assert {r.path: r.change and tuple(r.change) for r in got} == {str(i): r[3] for i, r in enumerate(rows)}
+
+
+def test_spans_are_short_when_they_are_shuffled(spark):
+    """Spans were sorted and shuffled as a struct each, of some 39 bytes in this case."""
+    n, each = 300, 400
+    files = spark.range(n, numPartitions=4).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.repeat(F.lit("x"), 10 * each + 9).alias("content"))
+    spans = files.select("path", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("i"))
+    spans = spans.select("path", (F.col("i") * 10).alias("start"), (F.col("i") * 10 + 3).cast("bigint").alias("end"), F.lit("<>").alias("replacement"))
+    spans = spans.unionAll(spans.where("start = 0"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = apply_spans(files, spans)
+        rows = done.collect()
+        plan = done._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(rows) == n and {(r.content, r.n_spans, r.applied) for r in rows} == {("<>xxxxxxx" * each + "x" * 9, each, True)}
+
+    def sizes(node):
+        own = [node.metrics().apply("dataSize").value()] if node.nodeName() == "Exchange" else []
+        children = node.children()
+        return own + [size for k in range(children.size()) for size in sizes(children.apply(k))]
+
+    shuffled = sum(sizes(plan)) - n * (10 * each + 9)
+    assert 0 < shuffled < 30 * n * each
