@@ -10,6 +10,9 @@ neighbours are the encoding of theirs; the window brings that about at the join
 and leaves it as it was elsewhere, so the result is exact.
 
 The same tree encodes a long word inside one task, from leaves of ``LEAF_SYMBOLS``.
+
+Between tasks and on disk ids are packed into as few bytes as hold the vocabulary's
+largest one, and texts are decoded only in the rows that hold them.
 """
 
 from __future__ import annotations
@@ -82,6 +85,7 @@ class Encoder:
         self.latin = _PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and all(
             self.normalise(c) == c.lower() for c in sample if not _SPACE.match(c)
         )
+        self.id_bytes = max(1, (max([*self.vocab.values(), *self.special.values()]).bit_length() + 7) // 8)
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -213,6 +217,21 @@ class Encoder:
                         self.runs[runs[i]] = parts[i]
         return b"".join(parts)
 
+    def pack(self, ids: bytes) -> bytes:
+        """32-bit integers in ``id_bytes`` each, the lowest first."""
+        import numpy as np
+
+        wide = np.frombuffer(ids, np.int32).astype("<i4", copy=False).view(np.uint8)
+        return wide.reshape(-1, 4)[:, : self.id_bytes].tobytes()
+
+    def unpack(self, packed: bytes) -> bytes:
+        import numpy as np
+
+        short = np.frombuffer(packed, np.uint8).reshape(-1, self.id_bytes)
+        wide = np.zeros((len(short), 4), np.uint8)
+        wide[:, : self.id_bytes] = short
+        return wide.view("<i4").astype(np.int32, copy=False).tobytes()
+
     def cut(self, text: str, leaf: int) -> list[dict]:
         """Leaves of about ``leaf`` code points or symbols each; an ``open`` one ends inside a word."""
         out, at = [], 0
@@ -330,33 +349,51 @@ def _cut_texts(path: str, leaf: int):
         kind = pa.list_(
             pa.struct([("leaf", pa.int32()), ("open", pa.bool_()), ("text", pa.string()), ("pieces", pa.list_(pa.binary()))])
         )
-        return pa.array([own.cut(t, leaf) for t in texts.to_pylist()], kind)
+        cuts = [own.cut(t, leaf) for t in texts.to_pylist()]
+        return pa.array([[x | {"pieces": x["pieces"] and [own.pack(w) for w in x["pieces"]]} for x in cut] for cut in cuts], kind)
 
     return cut_texts
 
 
 def _encode_leaves(path: str):
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary")
     def encode_leaves(texts, pieces):
+        import pyarrow as pa
+
         own = encoder(path)
-        return _lists(
+        symbols = lambda word: array("i", own.unpack(word)).tolist()
+        return pa.array(
             [
-                own.encode(text) if text is not None else b"".join(array("i", own.tree(array("i", w).tolist())).tobytes() for w in words)
+                own.pack(own.encode(text) if text is not None else b"".join(array("i", own.tree(symbols(w))).tobytes() for w in words))
                 for text, words in zip(texts.to_pylist(), pieces.to_pylist(), strict=True)
-            ]
+            ],
+            pa.binary(),
         )
 
     return encode_leaves
 
 
-def _join_leaves(path: str, decoded: bool):
-    @F.arrow_udf(_CODED if decoded else "array<int>")
+def _join_leaves(path: str):
+    @F.arrow_udf("binary")
     def join_leaves(leaves):
+        import pyarrow as pa
+
+        own = encoder(path)
+        ids = lambda leaf: array("i", own.unpack(leaf["ids"])).tolist()
+        joined = (own.concatenate([x | {"ids": ids(x)} for x in of_text]) for of_text in leaves.to_pylist())
+        return pa.array([own.pack(array("i", x).tobytes()) for x in joined], pa.binary())
+
+    return join_leaves
+
+
+def _unpack_ids(path: str, decoded: bool):
+    @F.arrow_udf(_CODED if decoded else "array<int>")
+    def unpack_ids(packed):
         own = encoder(path)
-        lists = _lists([array("i", own.concatenate(x)).tobytes() for x in leaves.to_pylist()])
+        lists = _lists([own.unpack(x) for x in packed.to_pylist()])
         return _coded(lists, path) if decoded else lists
 
-    return join_leaves.asNondeterministic()
+    return unpack_ids.asNondeterministic()
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -367,8 +404,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     repeated rows and null keys pass through.
     Texts of up to ``leaf_chars`` code points stay where they are. Longer ones are
     cut into leaves, which are dealt out singly, each once however many copies the
-    text has; a text's ids meet again in the row that holds them. This part runs at
-    once, and its ids are a written table.
+    text has; a text's ids meet again in the row that holds them, packed until then,
+    and are decoded there. This part runs at once, and its ids are a written table.
     """
     added = [ids] if decoded is None else [ids, decoded]
     df = df.drop(*added)
@@ -382,10 +419,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     joined = (
         encoded.groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("leaf", "open", "ids"))).alias("leaves"))
-        .select(key, _join_leaves(path, decoded is not None)(F.col("leaves")).alias(coded))
+        .select(key, _join_leaves(path)(F.col("leaves")).alias(coded))
     )
     # Written, so that a long text with many copies can be split as a skewed key.
-    return short.unionByName(long.join(keep(joined, "long-texts"), key).select(*columns, *values))
+    found = long.join(keep(joined, "long-texts", compression="zstd"), key)
+    return short.unionByName(found.withColumn(coded, _unpack_ids(path, decoded is not None)(F.col(coded))).select(*columns, *values))
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -1,8 +1,12 @@
 """Bounds that hold at every size: samples, memories, a benchmark in parts; names of the caller's own."""
 
 import random
+from array import array
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from glossmill.llm import bpe, decontaminate, html_text, quality_rules
 from glossmill.llm.samples import by_least_hash
@@ -88,3 +92,58 @@ def test_a_benchmark_in_parts_and_one_in_common(spark):
     assert any(len(own) > decontaminate.COMMON for own in every.owners.values())
     assert decontaminate.leaks(docs, bench.filter("false"), part_words=1).filter("size(leaks) > 0").count() == 0
     assert decontaminate.clean(docs, bench, part_words=500).count() == 3
+
+
+def test_ids_are_packed_and_unpacked_at_any_width(monkeypatch):
+    own = bpe.encoder(PATH)
+    assert own.id_bytes == 2
+    for width in (1, 2, 3, 4):
+        monkeypatch.setattr(own, "id_bytes", width)
+        most = min((1 << 8 * width) - 1, (1 << 31) - 1)
+        for ids in ([], [0], [most], [0, 1, most, most // 2, 0, most - 1]):
+            packed = own.pack(array("i", ids).tobytes())
+            assert len(packed) == width * len(ids) and array("i", own.unpack(packed)).tolist() == ids
+
+
+def test_long_texts_take_two_bytes_a_token_between_tasks(spark, monkeypatch):
+    """Ids were shuffled twice and written once in four bytes, the decoded text beside them."""
+    library, rng, plans, plain = Tokenizer.from_file(PATH), random.Random(4), [], bpe.keep
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=4_000)) for _ in range(8)] + ["".join(rng.choices("abcd", k=40_000))]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0], texts[0], "short", None])]
+    files = []
+
+    def seen(df, *rest, **more):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan())
+        kept = plain(df, *rest, **more)
+        files.extend(kept.inputFiles())
+        return kept
+
+    def sizes(node):
+        own = [node.metrics().apply("dataSize").value()] if node.nodeName() == "Exchange" else []
+        children = node.children()
+        return own + [size for k in range(children.size()) for size in sizes(children.apply(k))]
+
+    monkeypatch.setattr(bpe, "keep", seen)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        coded = bpe.encode(spark.createDataFrame(rows, "doc_id int, text string"), PATH, decoded="decoded", leaf_chars=5_000)
+        coded = coded.select("doc_id", "ids", "decoded")
+        got = {r.doc_id: r for r in coded.collect()}
+        plans.append(coded._jdf.queryExecution().executedPlan())
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    for i, text in rows:
+        assert got[i].ids == library.encode(text or "", add_special_tokens=False).ids
+        assert got[i].decoded == library.decode(got[i].ids, skip_special_tokens=False)
+    n = sum(len(got[i].ids) for i in range(len(texts)))
+    to_texts, from_leaves = sizes(plans[0])[:2]
+    assert 2 * n < to_texts < 2 * n + 20_000
+    # The long word's 40,000 symbols are packed too.
+    assert from_leaves < sum(len(t or "") for _, t in rows) + 40_000 + 20_000
+    assert 2 * n < sum(sizes(plans[1])) < 2 * n + 20_000
+    assert sum(Path(unquote(urlparse(f).path)).stat().st_size for f in files) < 2 * n + 20_000
